@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import language, ngram_join, quality
 from .ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,30 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=90, words=3)
 
 
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labelled rows outside the fold that is held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = quality.fit(docs, labels.where(fold != 0))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (fold == 0).alias("held_out"), F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows outside the fold that is held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language.fit(docs.where(fold != 2))
+    named = language.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def queries() -> dict[str, Query]:
     """Every registered corpus query by name."""
     return dict(_queries)
