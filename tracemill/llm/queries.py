@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, ngram_join, quality
+from . import decontaminate, language, ngram_join, pieces, quality
+from .digests import with_crc32
 from .ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +27,33 @@ def _query(f: Query) -> Query:
     return run
 
 
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within the edit budget, one row for each document and item."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode(decontaminate.HITS).alias("hit")).select("doc_id", "hit.item_id", "hit.distance", "hit.start", "hit.length")
+
+
 @_query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents by 3-word shingles at Jaccard 0.9."""
     return ngram_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=90, words=3)
 
 
+@_query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and the text that they decode to, as counts, checksums and a comparison."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return with_crc32(both, "pieces").select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    )
+
+
 @_query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labelled rows outside the fold that is held out."""
@@ -56,6 +78,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's result."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     """Every registered corpus query by name."""
     return dict(_queries)
