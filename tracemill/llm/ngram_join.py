@@ -30,7 +30,7 @@ from .textkeys import mix, shingle_sets, slices
 
 SLACK = 1
 #: Sets that meet in a block, and shingles that a block holds on average at most.
-BLOCK, BLOCK_SHINGLES = 64, 200_000
+BLOCK, BLOCK_SHINGLES = 192, 200_000
 #: In the cost model: keys that a chance meeting of two sets is worth.
 CHANCE = 10_000
 
