@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_join, pieces, quality
+from . import decontaminate, language, ngram_join, pieces, quality, store, tokenids, wordpiece
 from .digests import with_crc32
 from .ship import ship
 
@@ -27,6 +27,16 @@ def _query(f: Query) -> Query:
     return run
 
 
+@_query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document in flat files, read back from them."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = store.shared_dir(spark)
+    return tokenids.read(tokenids.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0), folder)
+
+
 @_query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within the edit budget, one row for each document and item."""
@@ -35,6 +45,15 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", F.explode(decontaminate.HITS).alias("hit")).select("doc_id", "hit.item_id", "hit.distance", "hit.start", "hit.length")
 
 
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return wordpiece.count(docs, wordpiece.load(public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "n_words", "n_tokens")
+
+
 @_query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents by 3-word shingles at Jaccard 0.9."""
