@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_join, pieces, quality, store, tokenids, wordpiece
+from . import decontaminate, language, licenses, ngram_join, pieces, quality, store, tokenids, wordpiece
 from .digests import with_crc32
 from .ship import ship
 
@@ -27,6 +27,37 @@ def _query(f: Query) -> Query:
     return run
 
 
+@_query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document, by line or as the whole text."""
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_oracles["op2_license_scan"] = """
+WITH templates(license, text) AS (VALUES {templates}),
+tw AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM templates),
+tb AS (SELECT license, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw WHERE len(w) > 1),
+tc AS (SELECT license, g, count(*) AS n FROM tb GROUP BY ALL),
+ts AS (SELECT license, sum(n) AS m FROM tc GROUP BY ALL),
+lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS unit FROM lines
+  UNION ALL SELECT doc_id, 0, array_to_string(l, ' ') FROM lines WHERE len(l) > 1
+),
+uw AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM units),
+ub AS (SELECT doc_id, line_no, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM uw WHERE len(w) > 1),
+uc AS (SELECT doc_id, line_no, g, count(*) AS n FROM ub GROUP BY ALL),
+us AS (SELECT doc_id, line_no, sum(n) AS m FROM uc GROUP BY ALL),
+both_ AS (SELECT uc.doc_id, uc.line_no, tc.license, sum(least(uc.n, tc.n)) AS c FROM uc JOIN tc USING (g) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, line_no, license, 2.0 * c::DOUBLE / (us.m + ts.m)::DOUBLE AS dice
+  FROM both_ JOIN us USING (doc_id, line_no) JOIN ts USING (license)
+)
+SELECT doc_id, line_no::INTEGER AS line_no, license, round(dice, 6) AS dice FROM scored WHERE dice >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) = 1
+""".format(templates=", ".join("('{}', '{}')".format(*t) for t in licenses.TEMPLATES), threshold=licenses.THRESHOLD)
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of every document in flat files, read back from them."""
