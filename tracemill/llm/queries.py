@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, ngram_join, pieces, quality, store, tokenids, wordpiece
+from . import decontaminate, language, licenses, ngram_join, pieces, quality, store, tokenids, vectors, wordpiece
 from .digests import with_crc32
 from .ship import ship
 
@@ -27,6 +27,12 @@ def _query(f: Query) -> Query:
     return run
 
 
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of embeddings at cosine 0.98 within a label."""
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
 @_query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document, by line or as the whole text."""
