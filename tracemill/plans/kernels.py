@@ -170,7 +170,7 @@ def turn_machine(spark, d):
         *_KEYS, "r.error", "r.answer", F.size("r.calls").alias("n_calls"), "r.turns_used")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, k NOT IN (1, 2) AS answer_correct, true AS used_tool, k <> 2 AS parseable_completion, k NOT IN (4, 6) AS tool_call_count_correct, k IN (0, 1, 2) AS exact_trace,
+@query(f"""SELECT l_orderkey, l_linenumber, k NOT IN (1, 2) AS answer_correct, true AS used_tool, k <> 2 AS parseable_completion, k NOT IN (4, 6) AS tool_call_count_correct, k IN (0, 1, 2) OR (k = 3 AND p = s AND q = p * s) AS exact_trace,
   k IN (0, 3) AS task_success FROM ({_N})""")
 def row_metrics(spark, d):
     """Metrics of a prediction against its plan; an answer that is missing is never right."""
