@@ -28,22 +28,22 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang")
 
 
-@query(f"WITH {_SIZES} {_share('s', '300')}")
+@query(f"WITH {_SIZES} {_share('s', '150')}")
 def largest_remainder(spark, d):
     """Quotas of the strata."""
-    return sampling.quotas(sampling.sizes_of(_docs(spark, d), "lang"), "lang", "size", 300)
+    return sampling.quotas(sampling.sizes_of(_docs(spark, d), "lang"), "lang", "size", 150)
 
 
-@query(f"WITH {_SIZES} {_share('s', '300', '')}")
+@query(f"WITH {_SIZES} {_share('s', '150', '')}")
 def largest_remainder_by_name(spark, d):
     """Quotas with ties by name alone."""
-    return sampling.quotas(sampling.sizes_of(_docs(spark, d), "lang"), "lang", "size", 300, tie_by_size=False)
+    return sampling.quotas(sampling.sizes_of(_docs(spark, d), "lang"), "lang", "size", 150, tie_by_size=False)
 
 
-@query(f"WITH {_SIZES}, q AS ({_share('s', '300')}), r AS ({_drawn('7')}) SELECT doc_id, lang FROM r JOIN q USING (lang) WHERE draw <= quota")
+@query(f"WITH {_SIZES}, q AS ({_share('s', '150')}), r AS ({_drawn('7')}) SELECT doc_id, lang FROM r JOIN q USING (lang) WHERE draw <= quota")
 def stratified_sample(spark, d):
     """A stratified sample in hash order."""
-    return sampling.stratified(_docs(spark, d), "lang", "doc_id", 300, 7)
+    return sampling.stratified(_docs(spark, d), "lang", "doc_id", 150, 7)
 
 
 @query(f"""WITH {_SIZES}, q1 AS ({_share('s', 'round_even(sum(size) OVER () * 0.8, 0)')}),
@@ -55,12 +55,12 @@ def stratified_split(spark, d):
     return sampling.split(_docs(spark, d), "lang", "doc_id", 0.8, 0.1, 11)
 
 
-@query(f"""WITH {_SIZES}, q1 AS ({_share('s', '100')}), q2 AS ({_share('s', '200')}), q3 AS ({_share('s', '300')}), r AS ({_drawn('5')})
-SELECT doc_id, lang, CASE WHEN draw <= q1.quota THEN 100 WHEN draw <= q2.quota THEN 200 ELSE 300 END AS arm
+@query(f"""WITH {_SIZES}, q1 AS ({_share('s', '50')}), q2 AS ({_share('s', '100')}), q3 AS ({_share('s', '150')}), r AS ({_drawn('5')})
+SELECT doc_id, lang, CASE WHEN draw <= q1.quota THEN 50 WHEN draw <= q2.quota THEN 100 ELSE 150 END AS arm
 FROM r JOIN q1 USING (lang) JOIN q2 USING (lang) JOIN q3 USING (lang) WHERE draw <= q3.quota""")
 def nested_sample(spark, d):
     """Growing samples that hold one another."""
-    return sampling.nested(_docs(spark, d), "lang", "doc_id", [100, 200, 300], 5)
+    return sampling.nested(_docs(spark, d), "lang", "doc_id", [50, 100, 150], 5)
 
 
 @query(f"""WITH a AS (SELECT doc_id, 'length' AS domain FROM ({_drawn('3:length')}) WHERE lang = 'en' AND draw <= 40),
