@@ -67,7 +67,7 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             end_block()
         if end:
             if any(t == tag for t, _ in state.path):
