@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     # Equal sets: the smallest doc_id stands for all.
     named = described.select("doc_id", "n_shingles", "h1", "h2").where("n_shingles > 0")
     classes = named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copied = classes.where("copies > 1").select("n_shingles", "h1", "h2", "rep")
+    copied = store.written(classes.where("copies > 1").select("n_shingles", "h1", "h2", "rep"), folder, "copied")
     copies = store.written(named.join(copied, ["n_shingles", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), folder, "copies")
     # Sets that share a key, without the keys of a single set.
     keyed = described.select("doc_id", "keys").join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
