@@ -8,8 +8,8 @@ A part's first id has as its place in the whole the sum of the earlier parts' si
 table of parts that the writer returns.
 
 Texts are cut before every blank that a visible character follows. The byte-level pattern always starts a
-token there, so the parts' ids put together are the text's ids; each distinct part is encoded once by the
-tokenizers library while it stays in a bounded table. A retried task writes the same files again; each comes
+token there, so the words' ids put together are the text's ids; each distinct word is encoded once by the
+tokenizers library, many at a time, while it stays in a bounded table. A retried task writes the same files again; each comes
 into being by a rename.
 """
 
@@ -30,19 +30,20 @@ from pyspark.sql.window import Window
 
 from . import store
 
-#: Parts of texts that a worker keeps encoded, and documents encoded at a time.
-KEPT, AT_ONCE = 400_000, 400
+#: Words that a worker keeps encoded, documents encoded at a time, and words that are encoded as one text.
+KEPT, AT_ONCE, JOINED = 500_000, 400, 500
 #: Characters that no Unicode version counts as white space.
 _VISIBLE = "!-~¡-ᙿᚁ-᠍"
 _AWKWARD, _BOUNDARY = re.compile(f" (?![{_VISIBLE}])"), re.compile(f"(?= [{_VISIBLE}])")
 
 
-def cut(text: str) -> list[str]:
-    """The text in parts that tokens never cross."""
+def cut(text: str) -> tuple[str, list[str]]:
+    """What stands before the first boundary, and the words after each, without their blank."""
     if _AWKWARD.search(text):
-        return [x for x in _BOUNDARY.split(text) if x]
+        first, *rest = _BOUNDARY.split(text)
+        return first, [x[1:] for x in rest]
     first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+    return first, rest
 
 
 class Encoder:
@@ -54,19 +55,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(len(vocabulary), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
+        #: Bytes of each token; the file writes one character for every byte.
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
         self.kept: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a blank in front. Many words make one text, whose tokens' bytes tell where each ends."""
+        out = []
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            ends = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in group])
+            sums = np.cumsum(self.length[ids])
+            at = np.searchsorted(sums, ends)
+            if at[-1] >= len(sums) or (sums[at] != ends).any():
+                raise ValueError("a token crosses a word's end; the tokenizer isn't a byte-level one")
+            data, size = ids.tobytes(), self.kind.itemsize
+            cuts = ((at + 1) * size).tolist()
+            out += [data[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.kept) > KEPT:
             self.kept.clear()
         kept, rows = self.kept, [cut(t or "") for t in texts]
-        new = list({p for row in rows for p in row if p not in kept})
-        fresh = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        both = {p: fresh[p] if p in fresh else kept[p] for row in rows for p in row} if fresh else kept
-        out = [b"".join([both[p] for p in row]) + self.end for row in rows]
-        kept.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
+        found = [list(map(kept.get, words)) for _, words in rows]
+        new = list({w for (_, words), ids in zip(rows, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        kept.update(zip(new, self.words(new), strict=True))
+        firsts = self._ids([first for first, _ in rows])
+        out = [
+            b"".join([first.tobytes(), *(map(kept.__getitem__, words) if None in ids else ids), self.end])
+            for first, (_, words), ids in zip(firsts, rows, found, strict=True)
+        ]
+        for w in new:
+            if len(w) > 24:
+                del kept[w]
         return out
 
 
