@@ -7,10 +7,10 @@ Format of a folder: for each part NNNNN, in ascending order of doc_id over the p
 A part's first id has as its place in the whole the sum of the earlier parts' sizes, the prefix sum of the
 table of parts that the writer returns.
 
-Texts are cut before every blank that a visible character follows. The byte-level pattern always starts a
-token there, so the words' ids put together are the text's ids; each distinct word is encoded once by the
-tokenizers library, many at a time, while it stays in a bounded table. A retried task writes the same files again; each comes
-into being by a rename.
+Texts are cut before every blank that a visible character follows, and on both sides of a line feed between visible
+characters. The byte-level pattern always ends a token there, so the parts' ids put together are the text's ids;
+each distinct part is encoded once by the tokenizers library, many at a time, while it stays in a bounded table.
+A retried task writes the same files again; each comes into being by a rename.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,20 @@ from pyspark.sql.window import Window
 
 from . import store
 
-#: Words that a worker keeps encoded, documents encoded at a time, and words that are encoded as one text.
-KEPT, AT_ONCE, JOINED = 500_000, 400, 500
+#: Parts that a worker keeps encoded, documents encoded at a time, and parts that are encoded as one text.
+KEPT, AT_ONCE, JOINED = 800_000, 400, 500
 #: Characters that no Unicode version counts as white space.
 _VISIBLE = "!-~¡-ᙿᚁ-᠍"
 _AWKWARD, _BOUNDARY = re.compile(f" (?![{_VISIBLE}])"), re.compile(f"(?= [{_VISIBLE}])")
+_LINE = re.compile(f"(?<=[{_VISIBLE}])\\n(?=[{_VISIBLE}])")
 
 
 def cut(text: str) -> tuple[str, list[str]]:
-    """What stands before the first boundary, and the words after each, without their blank."""
+    """What stands before the first boundary, and the parts after it: words without their blank, or words after a line feed with it."""
     if _AWKWARD.search(text):
         first, *rest = _BOUNDARY.split(text)
         return first, [x[1:] for x in rest]
-    first, *rest = text.split(" ")
+    first, *rest = (_LINE.sub(" \n", text) if "\n" in text else text).split(" ")
     return first, rest
 
 
@@ -68,11 +70,11 @@ class Encoder:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a blank in front. Many words make one text, whose tokens' bytes tell where each ends."""
+        """Ids of each part, with a blank in front of words. Many make one text, whose tokens' bytes tell where each ends."""
         out = []
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in group])
+        for group, ids in zip(groups, self._ids(["".join([w if w[0] == "\n" else " " + w for w in g]) for g in groups]), strict=True):
+            ends = np.cumsum([(w[0] != "\n") + (len(w) if w.isascii() else len(w.encode())) for w in group])
             sums = np.cumsum(self.length[ids])
             at = np.searchsorted(sums, ends)
             if at[-1] >= len(sums) or (sums[at] != ends).any():
@@ -83,17 +85,23 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        if len(self.kept) > KEPT:  # the parts met first are mostly the frequent ones
+            self.kept = dict(islice(self.kept.items(), KEPT // 2))
         kept, rows = self.kept, [cut(t or "") for t in texts]
-        found = [list(map(kept.get, words)) for _, words in rows]
-        new = list({w for (_, words), ids in zip(rows, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        ids_of, bodies, late, new = kept.__getitem__, [], [], set()
+        for k, (_, words) in enumerate(rows):
+            try:
+                bodies.append(b"".join(map(ids_of, words)))
+            except KeyError:
+                bodies.append(b"")
+                late.append(k)
+                new.update(words)
+        new = [w for w in new if w not in kept]
         kept.update(zip(new, self.words(new), strict=True))
+        for k in late:
+            bodies[k] = b"".join(map(ids_of, rows[k][1]))
         firsts = self._ids([first for first, _ in rows])
-        out = [
-            b"".join([first.tobytes(), *(map(kept.__getitem__, words) if None in ids else ids), self.end])
-            for first, (_, words), ids in zip(firsts, rows, found, strict=True)
-        ]
+        out = [first.tobytes() + body + self.end for first, body in zip(firsts, bodies, strict=True)]
         for w in new:
             if len(w) > 24:
                 del kept[w]
