@@ -83,8 +83,8 @@ def test_allocation_covers_every_difference():
     for percent in (50, 80, 90, 95):
         low = 1
         for high in ngram_join.bands(percent, 2000):
-            most, m, double = ngram_join.allocation(percent, low, high)
-            assert m + double == most + 1 + ngram_join.SLACK and 0 <= double <= m
+            most, m, double, slack = ngram_join.allocation(percent, low, high)
+            assert m + double == most + 1 + slack and 0 <= double <= m
             low = high + 1
 
 

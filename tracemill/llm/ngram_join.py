@@ -4,9 +4,9 @@ Method: universe-partition pigeonhole. Shingles are hashed; a hash range is a se
 Sets are grouped in bands of sizes, and two sets that link have sizes of one band or of neighbouring
 bands, so each set carries keys for its own band and for the next. In a band, two linked sets differ in
 at most H shingles. Every segment gets a value: 1, whose key is the segment's whole subset, or 2, whose
-keys are the subset and all its one-deletion neighbours. The values add up to H + 1 + SLACK, so segments
-of a total value of SLACK + 1 at least agree, and a set may leave out up to SLACK keys of empty subsets
-(which very many sets share) without losing a link. A cost model allocates the values by band.
+keys are the subset and all its one-deletion neighbours. The values add up to H + 1 + slack, so segments
+of a total value of slack + 1 at least agree, and a set may leave out up to slack keys of empty subsets
+(which very many sets share) without losing a link. A cost model allocates values and slack by band.
 
 Keys only bring up candidates. Sets that share a key meet in blocks of at most BLOCK sets, where exact
 intersections are counted for the whole block at once; a block returns the edges of a spanning forest of
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,6 @@ from pyspark.sql.window import Window
 from . import store
 from .textkeys import mix, shingle_sets, slices
 
-SLACK = 1
 #: Sets that meet in a block, and shingles that a block holds on average at most.
 BLOCK, BLOCK_SHINGLES = 192, 200_000
 #: In the cost model: keys that a chance meeting of two sets is worth.
@@ -46,67 +45,89 @@ def bands(percent: int, upto: int) -> list[int]:
 
 
 @lru_cache(maxsize=None)
-def allocation(percent: int, low: int, high: int) -> tuple[int, int, int]:
-    """(H, segments, segments of value 2) for sets of `low` to `high` shingles.
+def allocation(percent: int, least: int, high: int) -> tuple[int, int, int, int]:
+    """(H, segments, segments of value 2, slack) for a band up to `high` shingles whose keys sets of `least` or more carry.
 
-    Cost: keys of a set, and chance meetings through more than SLACK empty subsets.
+    Cost: the keys of a set, and the chance of a set to carry a key of an empty subset, which very many
+    sets share. Only the choice of segments and slack hangs on it, never the result.
     """
     most = (100 - percent) * 2 * high // (100 + percent)
     best = None
-    for double in range((most + 1 + SLACK) // 2 + 1):
-        m = most + 1 + SLACK - double
-        empty = min(1.0, m * exp(-low / m))
-        cost = (m - double) + double * (1 + high / m) + CHANCE * empty ** (SLACK + 1)
-        if best is None or cost < best[0]:
-            best = cost, m, double
-    return most, best[1], best[2]
-
-
-def set_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of one set, given as sorted distinct hashes; none for an empty set."""
+    for slack in range(0, most // 2 + 8, max(1, most // 40)):
+        half = (most + 1 + slack) // 2
+        for double in range(0, half + 1, max(1, half // 16)):
+            m = most + 1 + slack - double
+            empty = (1 - 1 / m) ** least
+            mean = (m - double) * empty
+            over = 1.0 if mean > slack + 1 else exp(slack + 1 - mean + (slack + 1) * log(mean / (slack + 1))) if mean else 0.0
+            cost = (m - double) + double * (1 + high / m) + CHANCE * min(1.0, over + double * (empty + least / m * (1 - 1 / m) ** (least - 1)))
+            if best is None or cost < best[0]:
+                best = cost, m, double, slack
+    return most, *best[1:]
+
+
+def set_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys of one set, given as sorted distinct hashes, and how many of them it shares at least with any set that it links with.
+
+    An empty set has none. Of the agreeing segments, of a total value of slack + 1, at most those that are
+    empty in this set go without a shared key; a segment of value 2 gives one shared key at least.
+    """
     n = len(hashes)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 1
     highs = bands(percent, n)
     own = int(np.searchsorted(highs, n))
     sums = np.zeros(n + 1, np.uint64)
     mixed = mix(hashes, 11)
     np.cumsum(mixed, out=sums[1:])
-    out = []
+    out, least = [], n
     for band in (own, own + 1):
-        low = highs[band - 2] + 1 if band >= 2 else 1
-        _, m, double = allocation(percent, low, highs[band])
+        _, m, double, slack = allocation(percent, highs[band - 2] + 1 if band >= 2 else 1, highs[band])
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         cut = np.concatenate(([0], np.searchsorted(hashes, edges), [n]))
         subset = sums[cut[1:]] - sums[cut[:-1]]
         label = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 24), 13)
         single = np.arange(m) >= double
         blank = single & (cut[1:] == cut[:-1])
-        keep = ~blank if int(blank.sum()) <= SLACK else np.ones(m, bool)
+        blanks = int(blank.sum())
+        keep = ~blank if blanks <= slack else np.ones(m, bool)
+        least = min(least, -(-max(1, slack + 1 - blanks) // (2 if double else 1)))
         out.append(mix(subset[keep] + label[keep], 17))
         if double:
             inside = cut[double]
             at = np.searchsorted(cut[1 : double + 1], np.arange(inside), "right")
             out.append(mix(subset[at] - mixed[:inside] + label[at], 17))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), least
 
 
-def _describe(percent: int, words: int):
-    """doc_id, text -> doc_id, n_shingles, two 64-bit sums that name the set, keys."""
+def _describe(words: int):
+    """doc_id, text -> doc_id, n_shingles, two 64-bit sums that name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 rows = list(shingle_sets(data, offsets, words))
-                keys = [set_keys(x, percent) for x in rows]
-                ends = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(x) for x in rows], pa.int64()),
                     pa.array([int(mix(x, 3).sum(dtype=np.uint64).view(np.int64)) for x in rows], pa.int64()),
                     pa.array([int(mix(x, 5).sum(dtype=np.uint64).view(np.int64)) for x in rows], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+                ], ["doc_id", "n_shingles", "h1", "h2"])
+
+    return run
+
+
+def _keys(percent: int, words: int):
+    """doc_id, text -> doc_id, least (keys shared with any set that links), key; a row for each key of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(1)):
+                ids = batch.column(0).slice(a, b - a).to_numpy()
+                keys, least = zip(*(set_keys(x, percent) for x in shingle_sets(data, offsets, words)), strict=True)
+                sizes = [len(x) for x in keys]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(np.array(least, np.int32), sizes)), pa.array(np.concatenate(keys).view(np.int64)),
+                ], ["doc_id", "least", "key"])
 
     return run
 
@@ -178,46 +199,49 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     spark = docs.sparkSession
     folder = store.shared_dir(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = store.written(
-        docs.mapInArrow(_describe(percent, words), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), folder, "described"
-    )
+    described = store.written(docs.mapInArrow(_describe(words), "doc_id long, n_shingles long, h1 long, h2 long"), folder, "described")
     # Equal sets: the smallest doc_id stands for all.
-    named = described.select("doc_id", "n_shingles", "h1", "h2").where("n_shingles > 0")
+    named = described.where("n_shingles > 0")
     classes = named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copied = store.written(classes.where("copies > 1").select("n_shingles", "h1", "h2", "rep"), folder, "copied")
     copies = store.written(named.join(copied, ["n_shingles", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), folder, "copies")
     # Sets that share a key, without the keys of a single set.
-    keyed = described.select("doc_id", "keys").join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    singles = docs.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
+    keyed = singles.mapInArrow(_keys(percent, words), "doc_id long, least int, key long")
     by_key = Window.partitionBy("key")
     met = store.written(
-        keyed.select("key", "doc_id", F.min("doc_id").over(by_key).alias("hub"), F.max("doc_id").over(by_key).alias("last"))
-        .where("hub < last").select("key", "doc_id", "hub"),
+        keyed.select("key", "doc_id", "least", F.min("doc_id").over(by_key).alias("hub"), F.max("doc_id").over(by_key).alias("last")).where("hub < last").drop("last"),
         folder, "met",
     )
-    # Blocks: sets with the same smallest fellow, split by hash into parts of a bounded expected size.
-    home = met.groupBy("doc_id").agg(F.min("hub").alias("home")).join(named.select("doc_id", "n_shingles"), "doc_id")
+    # Sets with as many met keys as a link needs, in blocks: those with the same smallest fellow, split by hash into parts of a bounded expected size.
+    home = (
+        met.groupBy("doc_id").agg(F.min("hub").alias("home"), F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least")
+        .join(named.select("doc_id", "n_shingles"), "doc_id")
+    )
     parts = home.groupBy("home").agg(
         F.greatest(F.ceil(F.count("*") * 2 / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("parts")
     )
-    block = F.struct("home", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
-    blocks = store.written(home.join(parts, "home").select("doc_id", block.alias("block")), folder, "blocks")
-    present = met.join(blocks, "doc_id").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-    pairs = present.select(F.posexplode("blocks").alias("i", "p"), "blocks").select(
-        "p", F.explode(F.expr("slice(blocks, i + 1, size(blocks) - i)")).alias("q")
-    ).distinct()
-    pairs = store.written(pairs, folder, "pairs")
+    block = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block")
+    blocks = store.written(home.join(parts, "home").select("doc_id", "least", block), folder, "blocks")
+    # The blocks on each key, named by their hash. A set goes to a pair of blocks if it has as many keys as a link needs in common with the other one.
+    held = store.written(met.select("key", "doc_id").join(blocks, "doc_id"), folder, "held")
+    on_key = held.groupBy("key", "block").agg((F.count("*") > 1).alias("several")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "several"))).alias("blocks"))
+    listed = store.written(on_key.select("key", F.xxhash64("blocks").alias("list"), "blocks"), folder, "listed")
+    other = F.col("other.block")
+    needed = (
+        held.join(listed.select("key", "list"), "key").groupBy("doc_id", "least", "block", "list").agg(F.count("*").alias("n"))
+        .join(listed.select("list", "blocks").distinct(), "list").select("doc_id", "least", "block", "n", F.explode("blocks").alias("other"))
+        .where("other.block <> block or other.several")
+        .groupBy("doc_id", "least", "block", other.alias("other")).agg(F.sum("n").alias("n")).where("n >= least")
+        .select("doc_id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.expr("if(block = other, 0, if(block < other, 1, 2))").alias("side"))
+    )
+    needed = store.written(needed, folder, "needed")
     hashes = store.written(
-        docs.join(blocks.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, hashes binary"),
+        docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, hashes binary"),
         folder, "hashes",
     )
-    filled = blocks.join(hashes, "doc_id")
-    sides = pairs.select(
-        F.explode(F.expr(
-            "if(p = q, array(named_struct('block', p, 'side', 0)), array(named_struct('block', p, 'side', 1), named_struct('block', q, 'side', 2)))"
-        )).alias("s"), F.struct("p", "q").alias("pair"),
-    ).select("s.block", "s.side", "pair")
     # Within a block only its pair with itself links its own sets; side tells the two apart.
-    links = filled.join(sides, "block").select("pair", "doc_id", "side", "hashes").groupBy("pair").applyInArrow(_verify(percent), "a long, b long")
+    links = needed.join(hashes, "doc_id").groupBy("p", "q").applyInArrow(_verify(percent), "a long, b long")
     links = store.written(links, folder, "links")
     joined = store.components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), folder)
     return described.select("doc_id", "n_shingles").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
