@@ -81,7 +81,7 @@ def test_wordpiece(odd):
 
 def test_pieces(odd):
     model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    codec, scores = pieces.Codec(model), {p[0]: p[1] for p in model.pieces if p}
+    codec, scores = pieces.Encoder(model), {p[0]: p[1] for p in model.pieces if p}
 
     def best(text):
         top = [0.0]
@@ -99,7 +99,7 @@ def test_pieces(odd):
             if i in known:
                 got, at = got + known[i][1], at + len(known[i][0])
         unknown = len(units) - at
-        assert got + unknown * codec.unknown == pytest.approx(best(units), rel=1e-12) and codec.decode(ids) == text
+        assert got + unknown * codec.unknown == pytest.approx(best(units), rel=1e-12) and pieces.Decoder(model).decode(ids) == text
     both = pieces.decode(pieces.encode(odd, model), model)
     for r in both.collect():
         assert r.decoded == (r.text or "").replace("▁", " ") and r.license == "l"

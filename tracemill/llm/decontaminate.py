@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as ddl
 
+from .resident import resident
+
 #: Share of an item's characters that may differ, and characters of items that are sent out at a time.
 ERROR_RATE, CHUNK = 0.08, 4_000_000
 #: The column that find() adds.
@@ -114,9 +117,6 @@ class Index:
         return sorted(out)
 
 
-_built: dict[str, Index] = {}
-
-
 def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, chunk: int = CHUNK) -> DataFrame:
     """docs with the column bench_hits: the benchmark items that occur in the text, each at its best place.
 
@@ -139,15 +139,12 @@ def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
 def _scan(docs: DataFrame, rows: list[tuple[int, str]], error_rate: float) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((rows, error_rate))
-    name = f"{spark.sparkContext.applicationId}-{id(held)}"
+    name = uuid4().hex
     schema = StructType([*docs.schema[:-1], StructField(HITS, ddl(_TYPE))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = Index(*held.value)
-        index = _built[name]
+        index = resident(name, lambda: Index(*held.value))
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

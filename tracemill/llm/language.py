@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from .resident import release
 from .textkeys import mix, slices
 
 #: Sampled rows, buckets, centroids of a language, and rounds of k-means.
@@ -145,6 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema[:-1], StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rejected", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = held.value
         table = np.ascontiguousarray(m.centroids.T)
         for batch in batches:

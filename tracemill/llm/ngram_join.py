@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store
+from .resident import release
 from .textkeys import mix, shingle_sets, slices
 
 #: Sets that meet in a block, and shingles that a block holds on average at most.
@@ -104,6 +105,7 @@ def _describe(words: int):
     """doc_id, text -> doc_id, n_shingles, two 64-bit sums that name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 rows = list(shingle_sets(data, offsets, words))
@@ -120,6 +122,7 @@ def _keys(percent: int, words: int):
     """doc_id, text -> doc_id, least (keys shared with any set that links), key; a row for each key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
@@ -136,6 +139,7 @@ def _sets(words: int):
     """doc_id, text -> doc_id, the sorted hashes of its set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 rows = [x.tobytes() for x in shingle_sets(data, offsets, words)]

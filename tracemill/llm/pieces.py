@@ -16,12 +16,15 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .resident import resident
+
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: Words that a worker keeps solved.
@@ -56,8 +59,8 @@ def load(path: str) -> Model:
     return Model(pieces, byte)
 
 
-class Codec:
-    """Encoder and decoder over one model."""
+class Encoder:
+    """The automaton over one model's pieces, and the words solved with it."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -92,9 +95,6 @@ class Codec:
         self.unknown = min((p[1] for p in model.pieces if p), default=0.0) - PENALTY
         self.wide = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
         self.kept: dict[str, bytes] = {}
-        self.bytes_of = [p[0].replace(MARK, " ").encode("utf-8", "surrogatepass") if p else b"" for p in model.pieces]
-        for value, i in enumerate(model.byte):
-            self.bytes_of[i] = bytes([value])
 
     def solve(self, word: str) -> list[int]:
         """Ids of the best segmentation of a marked word."""
@@ -142,6 +142,15 @@ class Codec:
             out.append(ids)
         return np.frombuffer(b"".join(out), self.wide)
 
+
+class Decoder:
+    """The bytes of one model's pieces."""
+
+    def __init__(self, model: Model):
+        self.bytes_of = [p[0].replace(MARK, " ").encode("utf-8", "surrogatepass") if p else b"" for p in model.pieces]
+        for value, i in enumerate(model.byte):
+            self.bytes_of[i] = bytes([value])
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
         table = self.bytes_of
@@ -149,26 +158,15 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(name: str, held) -> Codec:
-    """The worker's codec, built once."""
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(held.value)
-    return _codecs[name]
-
-
-def _mapped(df: DataFrame, model: Model, source: str, target: StructField, run_rows) -> DataFrame:
+def _mapped(df: DataFrame, model: Model, source: str, target: StructField, kind: type, run_rows) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(model)
-    name = f"{df.sparkSession.sparkContext.applicationId}-{id(held)}"
+    name = uuid4().hex
     df = df.drop(target.name) if target.name != source else df
     at = df.columns.index(source)
     schema = StructType([*(f for f in df.schema if f.name != target.name), target])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, held)
+        codec = resident(name, lambda: kind(held.value))
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
@@ -180,19 +178,19 @@ def _mapped(df: DataFrame, model: Model, source: str, target: StructField, run_r
     return df.mapInArrow(run, schema)
 
 
-def _encode_rows(codec: Codec, texts: pa.Array) -> pa.Array:
+def _encode_rows(codec: Encoder, texts: pa.Array) -> pa.Array:
     rows = [codec.encode(t.as_py()) for t in texts]
     ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32))
 
 
-def _decode_rows(codec: Codec, lists: pa.ListArray) -> pa.Array:
+def _decode_rows(codec: Decoder, lists: pa.ListArray) -> pa.Array:
     return pa.array([codec.decode(x) if x is not None else None for x in lists.to_numpy(zero_copy_only=False)], pa.string())
 
 
 def encode(docs: DataFrame, model: Model, column: str = "text", into: str = "pieces") -> DataFrame:
     """docs with the piece ids of a text column, array<int>. Null and empty texts have an empty list."""
-    return _mapped(docs, model, column, StructField(into, ArrayType(IntegerType())), _encode_rows)
+    return _mapped(docs, model, column, StructField(into, ArrayType(IntegerType())), Encoder, _encode_rows)
 
 
 def decode(docs: DataFrame, model: Model, column: str = "pieces", into: str = "decoded") -> DataFrame:
@@ -200,4 +198,4 @@ def decode(docs: DataFrame, model: Model, column: str = "pieces", into: str = "d
 
     decode(encode(x)) is x but for the mark U+2581 itself, which comes back as a blank.
     """
-    return _mapped(docs, model, column, StructField(into, StringType()), _decode_rows)
+    return _mapped(docs, model, column, StructField(into, StringType()), Decoder, _decode_rows)

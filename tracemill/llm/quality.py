@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .resident import release
 from .textkeys import mix, slices, span_hashes, word_spans
 
 #: Labelled rows that a fit uses at most, buckets of the indicators, and passes of the descent.
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = held.value
         for batch in batches:
             margin = np.zeros(batch.num_rows)

@@ -33,7 +33,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
     if len(_power[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, (1 << 21) + 1)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import store
+from .resident import resident
 
 #: Parts that a worker keeps encoded, documents encoded at a time, and parts that are encoded as one text.
 KEPT, AT_ONCE, JOINED = 800_000, 400, 500
@@ -108,9 +109,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def _finish(where: fs.FileSystem, path: str, data: bytes | None, suffix: str) -> None:
     if data is not None:
         with where.open_output_stream(path + suffix) as out:
@@ -131,9 +129,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, end_id) not in _encoders:
-            _encoders[tokenizer, end_id] = Encoder(tokenizer, end_id)
-        encoder = _encoders[tokenizer, end_id]
+        encoder = resident((tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         task = TaskContext.get()
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)

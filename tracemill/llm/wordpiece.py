@@ -13,11 +13,14 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .resident import resident
+
 #: Words that a worker keeps counted, and the most bytes of a vocabulary that is sent to the executors.
 KEPT, LARGEST = 400_000, 64 << 20
 
@@ -101,9 +104,6 @@ class Counter:
         return len(words), total
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count(docs: DataFrame, vocabulary: list[bytes], column: str = "text") -> DataFrame:
     """docs with n_words and n_tokens (long) of a text column, for whole texts.
 
@@ -112,15 +112,12 @@ def count(docs: DataFrame, vocabulary: list[bytes], column: str = "text") -> Dat
     if sum(map(len, vocabulary)) > LARGEST:
         raise ValueError("the vocabulary is too large to send to every executor")
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    name = f"{docs.sparkSession.sparkContext.applicationId}-{id(held)}"
+    name = uuid4().hex
     docs = docs.drop("n_words", "n_tokens")
     at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _counters:
-            _counters.clear()
-            _counters[name] = Counter(held.value)
-        counter = _counters[name]
+        counter = resident(name, lambda: Counter(held.value))
         for batch in batches:
             got = [counter.text(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(at)]
             columns = [pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)]
