@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .resident import release
+from .resident import release, trim
 from .textkeys import mix, slices
 
 #: Sampled rows, buckets, centroids of a language, and rounds of k-means.
@@ -88,7 +88,8 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     centre = x[start]
     for _ in range(ROUNDS):
         own = (x @ centre.T).argmax(1)
-        sums = np.stack([x[own == j].sum(0) if (own == j).any() else centre[j] for j in range(len(centre))])
+        members = (own == np.arange(len(centre))[:, None]).astype(x.dtype)
+        sums = np.where(members.any(1)[:, None], members @ x, centre)
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centre
 
@@ -130,8 +131,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_R
     share = size.crossJoin(F.broadcast(size.agg(F.count("*").alias("langs")))).select("lang", (each / F.col("n")).alias("share"))
     drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     got = drawn.select("text", "lang").mapInArrow(_counts, "buckets array<int>, counts array<int>, lang string").toArrow()
-    lists = [got.column(c).to_numpy(zero_copy_only=False) for c in ("buckets", "counts")]
-    return fit_rows(list(lists[0]), list(lists[1]), got.column("lang").to_pylist())
+    model = fit_rows(*(list(got.column(c).to_numpy(zero_copy_only=False)) for c in ("buckets", "counts")), got.column("lang").to_pylist())
+    del got
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .resident import release
+from .resident import release, trim
 from .textkeys import mix, slices, span_hashes, word_spans
 
 #: Labelled rows that a fit uses at most, buckets of the indicators, and passes of the descent.
@@ -142,7 +142,7 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
         flat = np.concatenate([r for r, y in zip(rows, label, strict=True) if y == value] or [np.zeros(0, np.int64)])
         count = np.bincount(flat, minlength=size) + ALPHA
         ratio += sign * np.log(count / count.sum())
-    values = [ratio[r] / max(1.0, np.sqrt(len(r))) for r in rows]
+    values = [(ratio[r] / max(1.0, np.sqrt(len(r)))).astype(np.float32) for r in rows]
     y = np.where(label == 1, 1.0, -1.0)
     costs = COST * len(y) / 2 / np.where(label == 1, (label == 1).sum(), (label == 0).sum())
     # Margins of rows that a model hasn't seen fit the curve: two halves score each other.
@@ -168,8 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     )
     table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
     got = table.mapInArrow(_rows, "buckets array<int>, label int").toArrow()
-    rows = [np.asarray(x, np.int64) for x in got.column("buckets").to_numpy(zero_copy_only=False)]
-    return fit_rows(rows, got.column("label").to_numpy().astype(np.int64))
+    model = fit_rows(list(got.column("buckets").to_numpy(zero_copy_only=False)), got.column("label").to_numpy().astype(np.int64))
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

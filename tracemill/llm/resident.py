@@ -1,4 +1,4 @@
-"""What a Python worker keeps from task to task: one built model at most, whichever operator it belongs to."""
+"""What a Python process keeps: one built model at most in a worker, whichever operator it belongs to, and no free memory after a fit."""
 
 from __future__ import annotations
 
@@ -7,18 +7,26 @@ import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _held: dict[object, object] = {}
 
 
+def trim() -> None:
+    """Hands free memory back, where Arrow and the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back:
+        back(0)
+
+
 def release() -> None:
-    """Lets go of what is kept, and hands free memory back where the C library can."""
+    """Lets go of what is kept."""
     if _held:
         _held.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
 
 def resident(name: object, build: Callable[[], T]) -> T:
