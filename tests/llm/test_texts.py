@@ -203,6 +203,20 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in language.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_rejects_any_length(spark):
+    rng = random.Random(5)
+    parts = {"xx": ["tion", "ent", "qu", "oi"], "yy": ["sch", "ung", "ei", "ich"], "zz": ["ков", "ест", "ый", "про"], "ww": ["ładz", "źdźb", "wyży", "kó"]}
+    text = lambda k, n: " ".join("".join(rng.choices(parts[k], k=3)) for _ in range(n))
+    learnt = [(text(k, rng.randint(3, 60)), k) for k in ("xx", "yy") for _ in range(150)]
+    # Rows so unlike the others that they are centroids of their own, long and short ones.
+    learnt += [(f"{w} " * n, k) for k in ("xx", "yy") for w, n in (("mmm", 3), ("mf", 900))]
+    model = language.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(learnt)], "doc_id long, text string, lang string"))
+    lengths = [2, 5, 12, 25, 60, 400]
+    rows = [(i, text(k, n), k) for i, (k, n) in enumerate((k, n) for k in parts for n in lengths for _ in range(4))]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert {(r.lang, r.lang_rejected) for r in got} == {("xx", False), ("yy", False), ("zz", True), ("ww", True)}
+
+
 def test_blocks():
     page = """<!DOCTYPE html><head><title>no</title></head><body><!-- no > --><p title="a>b">One &amp; &lt;two&nbsp;
       <b>bold<br>line<p>Next<script>if (a < b) "</p>"</script> more</p><ul><li>x<li>y</ul><div class='Side-Bar x' id=q>z</div>t<style>p{}</style>&am"""

@@ -3,8 +3,8 @@
 Texts are lower-cased (ASCII and Latin-1 capitals) and every run of ASCII bytes other than letters counts as
 one blank; byte n-grams of 1 to 4 bytes are hashed to buckets, weighted by log counts times inverse document
 frequency and normalised. Each language has several centroids, found by spherical k-means, and a text goes to
-the nearest by cosine. It is rejected when it lies farther from its centroid than any training text did,
-with a margin for short texts.
+the nearest by cosine. It is rejected when it lies much farther from its centroid than the training texts of
+that language with about as many n-grams did; a text of any length can be rejected.
 
 The fit uses a bounded sample by hash, about PER_LANGUAGE rows of each language and about MAX_ROWS in all.
 """
@@ -25,8 +25,10 @@ from .textkeys import mix, slices
 
 #: Sampled rows, buckets, centroids of a language, and rounds of k-means.
 PER_LANGUAGE, MAX_ROWS, BITS, CENTROIDS, ROUNDS = 800, 6400, 15, 4, 8
-#: Grams from which a text can be rejected, and the share of the least training cosine that it must reach.
+#: Grams from which the least cosine of a centroid's own training rows counts too, and the share of a least training cosine that a text must reach.
 REJECT_FROM, REJECT_SHARE = 1000, 0.4
+#: Bands of gram counts, each twice as wide as the last, and the share of a band's median cosine below which a training row is an odd one.
+BANDS, ODD_BELOW = 48, 0.5
 SIZES = (1, 2, 3, 4)
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -37,7 +39,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 @dataclass(frozen=True)
 class Model:
-    """idf: of the buckets; centroids: unit rows; lang: of each centroid; least: cosine that isn't rejected."""
+    """idf: of the buckets; centroids: unit rows; lang: of each centroid; least: cosine that isn't rejected, by centroid and band of gram counts."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -94,15 +96,54 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return centre
 
 
+def _band(grams: np.ndarray) -> np.ndarray:
+    """The band of gram counts; band k begins at 2**k."""
+    return np.minimum(np.log2(np.maximum(grams, 1)).astype(np.int64), BANDS - 1)
+
+
+def _unseen_cosine(x: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Cosine of each row with the nearest centroid, were the row not part of its own one; NaN for a row without others."""
+    rows, own = np.arange(len(x)), cosine.argmax(1)
+    members = (own == np.arange(cosine.shape[1])[:, None]).astype(x.dtype)
+    sums = members @ x
+    dot = np.einsum("ij,ij->i", x, sums[own])
+    rest = (sums * sums).sum(1)[own] - 2 * dot + 1
+    out = cosine.astype(np.float64)
+    out[rows, own] = np.where(members.sum(1)[own] > 1, (dot - 1) / np.sqrt(np.maximum(rest, 1e-9)), -1)
+    out[:, members.sum(1) == 0] = -1
+    best = out.max(1)
+    return np.where(best < 0, np.nan, best)
+
+
+def _by_band(grams: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """By band the least cosine of its rows and those of the bands beside it, odd ones left out.
+
+    A band without rows has what the next shorter one has; below the first one with rows it falls with the
+    root of the count, as cosines of short texts do. Longer texts don't lie farther, so a band has no less than
+    ODD_BELOW times what any shorter one has.
+    """
+    grams, cosine = grams[~np.isnan(cosine)], cosine[~np.isnan(cosine)]
+    if not len(grams):
+        return np.zeros(BANDS)
+    near = [cosine[abs(_band(grams) - k) <= 1] for k in range(BANDS)]
+    low = np.array([c[c >= ODD_BELOW * np.median(c)].min() if len(c) else np.nan for c in near])
+    first = int(np.flatnonzero(~np.isnan(low))[0])
+    low[:first] = low[first] * 2.0 ** ((np.arange(first) - first) / 2)
+    for k in range(first + 1, BANDS):
+        if np.isnan(low[k]):
+            low[k] = low[k - 1]
+    return np.maximum(low, ODD_BELOW * np.maximum.accumulate(low))
+
+
 def fit_rows(buckets: list[np.ndarray], counts: list[np.ndarray], langs: list[str]) -> Model:
     """The model for rows of buckets with their counts and languages; rows without buckets are left out."""
     rows = [i for i in range(len(buckets)) if len(buckets[i])]
     size = 1 << BITS
     if not rows:
-        return Model(np.zeros(size), np.zeros((0, size), np.float32), [], np.zeros(0))
+        return Model(np.zeros(size), np.zeros((0, size), np.float32), [], np.zeros((0, BANDS)))
     seen = np.bincount(np.concatenate([buckets[i] for i in rows]), minlength=size)
     idf = (np.log((1 + len(rows)) / (1 + seen)) + 0.1) * (seen > 0)
-    centroids, lang, least = [], [], []
+    centroids, lang, least, seen_by = [], [], [], {}
     for name in sorted({langs[i] for i in rows}):
         own = [i for i in rows if langs[i] == name]
         x = np.zeros((len(own), size), np.float32)
@@ -110,13 +151,20 @@ def fit_rows(buckets: list[np.ndarray], counts: list[np.ndarray], langs: list[st
             x[j, buckets[i]] = (1 + np.log(counts[i])) * idf[buckets[i]]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         centre = _kmeans(x, CENTROIDS)
-        cosine, long = x @ centre.T, np.array([counts[i].sum() >= REJECT_FROM for i in own])
+        cosine, total = x @ centre.T, np.array([counts[i].sum() for i in own])
+        long, seen_by[name] = total >= REJECT_FROM, (total, _unseen_cosine(x, cosine))
         for j in range(len(centre)):
             mine = cosine[(cosine.argmax(1) == j) & long, j]
             least.append(REJECT_SHARE * float(mine.min()) if len(mine) else 0.0)
             centroids.append(centre[j])
             lang.append(name)
-    return Model(idf, np.stack(centroids), lang, np.array(least))
+    # A language whose rows tell nothing of how far others of it lie, as a single one, takes what all languages have.
+    every = _by_band(*(np.concatenate(c) for c in zip(*seen_by.values(), strict=True)))
+    bands = {name: every if np.isnan(c).all() else _by_band(t, c) for name, (t, c) in seen_by.items()}
+    far = REJECT_SHARE * np.stack([bands[name] for name in lang])
+    from_band = int(np.ceil(np.log2(REJECT_FROM)))
+    far[:, from_band:] = np.maximum(far[:, from_band:], np.array(least)[:, None])
+    return Model(idf, np.stack(centroids), lang, far)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
@@ -141,8 +189,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, lang_score (cosine with the nearest centroid, 0 to 1) and lang_rejected.
 
     lang_pred is the language of the nearest centroid, for whole texts; a text that is null or has no letter
-    gets `und`, score 0 and is rejected, as does every text when nothing was learnt. Ties go to the first
-    language in order. Existing columns of these names are replaced.
+    gets `und`, score 0 and is rejected, as does every text when nothing was learnt. Any other text is rejected
+    when its cosine is below what its centroid has for its number of n-grams. Ties go to the first language in
+    order. Existing columns of these names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected").withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -165,9 +214,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                         best[a + i] = near.argmax()
                         cosine[a + i], count[a + i] = near[best[a + i]], len(x)
             known = letter & bool(m.lang)
-            least = m.least[best] if len(m.lang) else np.zeros(batch.num_rows)
+            least = m.least[best, _band(count)] if len(m.lang) else np.zeros(batch.num_rows)
             names = np.array([*m.lang, "und"], object)[np.where(known, best, len(m.lang))]
-            rejected = ~known | ((count >= REJECT_FROM) & (cosine < least))
+            rejected = ~known | (cosine < least)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.clip(cosine, 0, 1)), pa.array(rejected)],
                 [*batch.schema.names[:-1], "lang_pred", "lang_score", "lang_rejected"],
