@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracemill.llm import decontaminate, extract, language, licenses, pieces, quality, store, tokenids, wordpiece
 from tracemill.llm.html_blocks import blocks
 from tracemill.llm.ship import ship
-from tracemill.llm.textkeys import slices, word_spans
+from tracemill.llm.textkeys import shingle_sets, slices, word_spans
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "\n\n", "a", "  a  b\n\tc ", "Ünï 漢字 🎉🎉 ok\x85x", "▁", "<|endoftext|> x", "x" * 5000, "the the the " * 900]
@@ -36,6 +36,20 @@ def test_words():
     assert got == [(t or "").encode().split() for t in rows]
 
 
+@pytest.mark.parametrize("size", range(1, 6))
+@pytest.mark.parametrize("count", range(7))
+def test_shingles_of_few_words(size, count):
+    words = [f"w{i}" for i in range(count)]
+    text = lambda w: np.frombuffer(" ".join(w).encode(), np.uint8)
+    one = lambda w: list(shingle_sets(text(w), np.array([0, len(text(w))]), size))[0].tolist()
+    got = one(words)
+    assert len(got) == (max(1, count - size + 1) if count else 0)
+    if count > size:
+        assert got == sorted(one(words[i : i + size])[0] for i in range(count - size + 1))
+    far = text(words + [f"x{i}" for i in range(9)])
+    assert next(shingle_sets(far, np.array([0, len(text(words)), len(far)]), size)).tolist() == got
+
+
 def test_token_files(spark, odd):
     from tokenizers import Tokenizer
 

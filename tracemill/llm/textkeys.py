@@ -93,10 +93,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     words = span_hashes(data, starts, ends)
-    grams = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    grams = np.zeros(max(0, len(words) - size + 1), np.uint64)  # none where all texts together have fewer words than a shingle
     factor = mix(np.arange(size, dtype=np.uint64), 7) | np.uint64(1)
     for i in range(size):
-        grams += words[i : len(words) - size + 1 + i] * factor[i]
+        grams += words[i : i + len(grams)] * factor[i]
     grams = mix(grams, 1)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
