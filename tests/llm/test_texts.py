@@ -71,6 +71,23 @@ def test_token_files(spark, odd):
     assert tokenids.read(tokenids.write(df.limit(0), folder, BPE), folder).count() == 0
 
 
+def test_token_files_of_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tracemill.llm import queries
+
+    t, mark = Tokenizer.from_file(BPE), "<|endoftext|>"
+    rng = random.Random(4)
+    alphabet = [mark, mark, *" \t\n ab'9!é漢🎉<|>", " the", "<|endof", "text|>", " " + mark + " "]
+    rows = list(enumerate([*ODD, f"{mark} x", mark, f"a{mark}{mark}\n b", *("".join(rng.choices(alphabet, k=rng.randint(0, 20))) for _ in range(300))]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r in queries.queries()["op3_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect():
+        ids = t.encode(rows[r.doc_id][1] or "", add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
 def test_wordpiece(odd):
     vocabulary = wordpiece.load(BPE)
     counter, known, rng = wordpiece.Counter(vocabulary), set(vocabulary), random.Random(2)

@@ -71,7 +71,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = store.shared_dir(spark)
-    return tokenids.read(tokenids.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0), folder)
+    return tokenids.read(tokenids.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added=True), folder)
 
 
 @_query

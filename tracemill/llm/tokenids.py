@@ -10,6 +10,7 @@ table of parts that the writer returns.
 Texts are cut before every blank that a visible character follows, and on both sides of a line feed between visible
 characters. The byte-level pattern always ends a token there, so the parts' ids put together are the text's ids;
 each distinct part is encoded once by the tokenizers library, many at a time, while it stays in a bounded table.
+A text that holds an added token of the file, such as <|endoftext|>, is encoded whole where these count as tokens.
 A retried task writes the same files again; each comes into being by a rename.
 """
 
@@ -38,6 +39,7 @@ KEPT, AT_ONCE, JOINED = 800_000, 400, 500
 _VISIBLE = "!-~¡-ᙿᚁ-᠍"
 _AWKWARD, _BOUNDARY = re.compile(f" (?![{_VISIBLE}])"), re.compile(f"(?= [{_VISIBLE}])")
 _LINE = re.compile(f"(?<=[{_VISIBLE}])\\n(?=[{_VISIBLE}])")
+_SPACED = re.compile(r"\s")
 
 
 def cut(text: str) -> tuple[str, list[str]]:
@@ -50,14 +52,17 @@ def cut(text: str) -> tuple[str, list[str]]:
 
 
 class Encoder:
-    """Texts to the bytes of their ids, with an end id after each."""
+    """Texts to the bytes of their ids, with an end id after each. added: whether special tokens written in a text are tokens, as in the library's plain encode."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        #: Parts put together must not make a token that holds white space.
+        self.joined = 1 if any(_SPACED.search(t) for t in self.added) else JOINED
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(len(vocabulary), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
@@ -73,7 +78,7 @@ class Encoder:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of each part, with a blank in front of words. Many make one text, whose tokens' bytes tell where each ends."""
         out = []
-        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        groups = [words[k : k + self.joined] for k in range(0, len(words), self.joined)]
         for group, ids in zip(groups, self._ids(["".join([w if w[0] == "\n" else " " + w for w in g]) for g in groups]), strict=True):
             ends = np.cumsum([(w[0] != "\n") + (len(w) if w.isascii() else len(w.encode())) for w in group])
             sums = np.cumsum(self.length[ids])
@@ -88,7 +93,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.kept) > KEPT:  # the parts met first are mostly the frequent ones
             self.kept = dict(islice(self.kept.items(), KEPT // 2))
-        kept, rows = self.kept, [cut(t or "") for t in texts]
+        kept, rows = self.kept, [(t, []) if t and any(a in t for a in self.added) else cut(t or "") for t in texts]
         ids_of, bodies, late, new = kept.__getitem__, [], [], set()
         for k, (_, words) in enumerate(rows):
             try:
@@ -116,12 +121,13 @@ def _finish(where: fs.FileSystem, path: str, data: bytes | None, suffix: str) ->
     where.move(path + suffix, path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
     """Writes the files and returns the table of parts: part, n_docs, n_tokens, base_docs, base_tokens, width.
 
     docs: doc_id (long) and text. A null text is an empty one, which is its end id alone; rows with a null
     doc_id are left out; documents with equal doc_ids stand in the order of their texts. An empty table gives
-    parts of no documents. folder must be shared by driver and executors (any file system that pyarrow opens).
+    parts of no documents. With added, special tokens of the file that stand in a text are their own ids, as the
+    library's plain encode(text, add_special_tokens=False) has them; else they are text. folder must be shared by driver and executors (any file system that pyarrow opens).
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,7 +135,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = resident((tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
+        encoder = resident((tokenizer, end_id, added), lambda: Encoder(tokenizer, end_id, added))
         task = TaskContext.get()
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
