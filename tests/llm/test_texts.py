@@ -258,6 +258,20 @@ def test_blocks():
     assert blocks(None) == [] == blocks("")
 
 
+@pytest.mark.parametrize("tag", ["noscript", "template", "svg", "object"])
+def test_blocks_without_end_tags(tag):
+    text = lambda page: [b.text for b in blocks(page)]
+    head = "<html><head><meta charset=utf-8><title>t</title><script>x</script><style>p{}</style>"
+    for page in (f"{head}<body><article><p>One<p>Two</article>", f"{head}<p>One<p>Two", "<html><head>One<p>Two"):
+        assert text(page) == ["One", "Two"] and not any(t == "head" for b in blocks(page) for t, _ in b.path)
+    assert text(f"{head}<{tag}></head><body><p>One<p>Two") == ["One", "Two"]
+    assert text(f"<p>One<{tag} class='a>b'><p>Two") == ["One", "Two"]
+    assert text(f"<p>One<{tag}><p>Two<{tag}>no</{tag}><p>Three<{tag}") == ["One", "Two", "Three"]
+    assert text(f"<p>One<{tag}>no<{tag}>no</{tag}>no</{tag}> more") == ["One more"]
+    assert text(f"<p>One<{tag}>no<!-- <{tag}> --><script>'<{tag}>'</script></{tag}> more") == ["One more"]
+    assert text(f"<p>One<!-- </{tag}> --><{tag}/>Two") == ["OneTwo"]
+
+
 def test_extraction(spark):
     ship(spark)
     weights = extract.train()

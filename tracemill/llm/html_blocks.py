@@ -6,19 +6,28 @@ import html
 import re
 from dataclasses import dataclass, field
 
-#: Elements whose content is no page text, elements that stand inside a line, elements without
-#: an end tag, and elements that end an open one of the same kind (or of those named).
-UNSEEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object"}
+#: Elements whose content is no page text, those of them whose content is tags and not mere text, elements
+#: that stand inside a line, elements without an end tag (or, as head, with one that pages leave out), and elements
+#: that end an open one of the same kind (or of those named).
+UNSEEN = {"script", "style", "noscript", "template", "title", "svg", "iframe", "object"}
+NESTED = {"noscript", "template", "svg", "object"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img",
 }
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+VOID = {"area", "base", "br", "col", "embed", "head", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S
 )
+_SPANS = {
+    tag: re.compile(
+        rf"<!--(?:.*?-->|.*\Z)|<(script|style|title|iframe)(?=[\s/>])(?:.*?</\1(?=[\s/>])|.*\Z)"
+        rf"|<(/?){tag}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<(/?){tag}(?=[\s/>])([^>]*)(?:>|\Z)", re.S | re.I
+    )
+    for tag in NESTED
+}
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -40,10 +49,24 @@ class _Open:
     seen: tuple | None = None
 
 
+def _spans(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a kind that has an end tag begins, and where its end tag ends."""
+    out, opened = {}, []
+    for m in _SPANS[tag].finditer(page):
+        if m[3] is None and m[5] is None:
+            continue
+        if not (m[2] or m[4]):
+            if not (m[3] or m[5] or "").endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, character references decoded and white space as single blanks; never empty ones."""
     page = page or ""
-    state, out, at = _Open(), [], 0
+    state, out, at, spans = _Open(), [], 0, {}
 
     def add(raw: str) -> None:
         if raw:
@@ -75,6 +98,11 @@ def blocks(page: str | None) -> list[Block]:
                     pass
             continue
         if tag in UNSEEN and not rest.endswith("/"):
+            if tag in NESTED:  # without an end tag only the tag itself goes
+                if tag not in spans:
+                    spans[tag] = _spans(page, tag)
+                at = spans[tag].get(m.start(), at)
+                continue
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
