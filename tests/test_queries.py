@@ -45,6 +45,20 @@ def test_against_sql(spark, duck, name):
     assert rows(a) == rows(b)
 
 
+def test_contained_items_anywhere(spark, tmp_path):
+    texts = ["the quick brown fox jumps over the lazy dog", 'he said "quick brown fox jumps over" twice', "pre-quick brown fox (the lazy dog)", " a\tb  c\nd ", "", None, "x" * 40, "the quick brown fox jumps over the lazy dog"]
+    items = ["fox", "quick brown fox jumps over", " lazy", "lazy dog)", "brown fox", "uick brown fox jump", "b  c\nd", "b c d", "\tb  c\n", " the lazy dog", "x" * 17, "", " ", None, "quick brown fox jumps over", "none of it is here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = c.execute(catalogue.oracle_sql()["contained_items"]).fetchone()
+    hits = [i for i, x in enumerate(items) if x is not None for t in texts if t is not None and x in t]
+    assert want == (len(hits), len(set(hits)))
+    assert tuple(catalogue.queries()["contained_items"](spark, str(tmp_path)).first()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

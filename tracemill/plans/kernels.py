@@ -219,13 +219,17 @@ def replacement_rows(spark, d):
 
 @query("SELECT count(*) AS n, count(DISTINCT item_id) AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contained_items(spark, d):
-    """Documents that hold a test item word for word, by equality of its first words and then of the whole.
+    """Documents that hold a test item word for word, wherever it begins and however short it is.
 
-    Every item is looked up by its first 16 characters at each place of a text; a place is a row only where it fits.
+    A word that has white space on both sides within an item is a whole word of every text that holds the item, so
+    items meet texts by their longest such word; items without one are sought in every text. Then the whole item counts.
     """
-    items = table(spark, d, "benchmark").select("item_id", C("text").alias("item"), F.substring("text", 1, 16).alias("head"))
-    n = items.agg(F.max(F.length("head")).alias("n"), F.sum(F.length("item")).alias("bytes")).first()
-    heads = F.broadcast(items) if (n["bytes"] or 0) < 8_000_000 else items
+    inner = F.slice(F.split("text", r"\s+"), 2, F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(0)))
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", C("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    size = items.agg(F.sum(F.length("item")).alias("bytes")).first()["bytes"] or 0
+    small = F.broadcast if size < 8_000_000 else lambda x: x
     docs = table(spark, d, "documents").select("doc_id", "text")
-    places = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?<!\S)(?=(\S.{15}))"), F.lit(1)))).alias("head"))
-    return places.join(heads, "head").where(F.contains("text", C("item"))).agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
+    words = docs.select("text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    by_word = words.join(small(items.where("word is not null")), "word").where(F.contains("text", C("item")))
+    wordless = docs.join(small(items.where("word is null")), F.contains("text", C("item")))
+    return by_word.select("item_id").unionByName(wordless.select("item_id")).agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
