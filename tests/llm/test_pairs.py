@@ -58,7 +58,7 @@ def test_ngram_join(spark, percent, words, seed):
 
 def test_ngram_join_blocks(spark, monkeypatch):
     """Groups larger than a block, whose links run across blocks."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
     ship(spark)
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
@@ -117,3 +117,39 @@ def test_vectors(spark, monkeypatch, block):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
     assert got == {i: (sum(i in p for p in near), want[i], want[i] == i) for i, _, _ in rows}
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_ngram_join_large_groups(spark, monkeypatch):
+    """5,000 near copies, which are one class, and a chain whose sets link only with their neighbours."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    monkeypatch.setattr(ngram_join, "GROUP", 256)
+    ship(spark)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        for at in rng.sample((0, 1, 2, 57, 58, 59), rng.randint(0, 2)):
+            words[at] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(10_000 + 7 * i % 331, " ".join(chain[i : i + 60])) for i in range(331)]
+    assert len({i for i, _ in rows}) == len(rows)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 90, 3).collect()}
+    sets = {i: frozenset(shingles(t, 3)) for i, t in rows}
+    one = {s: min(i for i, x in sets.items() if x == s) for s in set(sets.values())}
+    near, by = [(one[s], i) for i, s in sets.items() if one[s] != i], {}
+    for s, i in one.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    for i in one.values():
+        common = {}
+        for x in sets[i]:
+            if len(by[x]) < 1000 or i < 50:  # the whole of the brute force for 50 copies and the chain; the others meet those 50
+                for j in by[x]:
+                    common[j] = common.get(j, 0) + 1
+            else:
+                for j in by[x][:60]:
+                    common[j] = common.get(j, 0) + 1
+        near += [(i, j) for j, n in common.items() if i != j and 100 * n >= 90 * (len(sets[i]) + len(sets[j]) - n)]
+    assert got == classes(sorted(sets), near)

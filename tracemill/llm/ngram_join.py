@@ -8,9 +8,12 @@ keys are the subset and all its one-deletion neighbours. The values add up to H
 of a total value of slack + 1 at least agree, and a set may leave out up to slack keys of empty subsets
 (which very many sets share) without losing a link. A cost model allocates values and slack by band.
 
-Keys only bring up candidates. Sets that share a key meet in blocks of at most BLOCK sets, where exact
-intersections are counted for the whole block at once; a block returns the edges of a spanning forest of
-its links, never all pairs of a group. Equal sets are merged first and stand for one another.
+Keys only bring up candidates, and only classes are asked for, so pairs within one class needn't be looked
+at. In each round a key has a hub, a block of at most BLOCK similar sets; every other set on the key is
+verified exactly against the hub, the links found are contracted, and the hub's sets leave the key. A key
+is done when its sets are in one class, and a set when it has fewer keys left than a link needs. A group of
+near copies is one class after a round or two, with work in proportion to its sets. Keys whose sets don't
+link take further rounds, with more hubs in each. Equal sets are merged first.
 """
 
 from __future__ import annotations
@@ -23,14 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import store
 from .resident import release
 from .textkeys import mix, shingle_sets, slices
 
-#: Sets that meet in a block, and shingles that a block holds on average at most.
-BLOCK, BLOCK_SHINGLES = 192, 200_000
+#: Sets of a block, and shingles that a block holds on average at most; the same for the sets that meet a block in one group.
+BLOCK, BLOCK_SHINGLES, GROUP, GROUP_SHINGLES = 512, 500_000, 4096, 4_000_000
 #: In the cost model: keys that a chance meeting of two sets is worth.
 CHANCE = 10_000
 
@@ -119,7 +121,7 @@ def _describe(words: int):
 
 
 def _keys(percent: int, words: int):
-    """doc_id, text -> doc_id, least (keys shared with any set that links), key; a row for each key of the set."""
+    """doc_id, text -> key, doc_id, least (keys shared with any set that links); a row for each key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -129,67 +131,140 @@ def _keys(percent: int, words: int):
                 keys, least = zip(*(set_keys(x, percent) for x in shingle_sets(data, offsets, words)), strict=True)
                 sizes = [len(x) for x in keys]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(np.array(least, np.int32), sizes)), pa.array(np.concatenate(keys).view(np.int64)),
-                ], ["doc_id", "least", "key"])
+                    pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(np.array(least, np.int32), sizes)),
+                ], ["key", "doc_id", "least"])
 
     return run
 
 
 def _sets(words: int):
-    """doc_id, text -> doc_id, the sorted hashes of its set as bytes."""
+    """doc_id, text -> doc_id, the number of shingles, the sorted hashes of its set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 rows = [x.tobytes() for x in shingle_sets(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), pa.array([len(x) // 8 for x in rows], pa.int64()), pa.array(rows, pa.binary()),
+                ], ["doc_id", "n", "hashes"])
 
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition in order of their first column -> those whose key isn't alone, and the partition's first and last row."""
+    held, same = None, True  # the last row so far, and whether it is the first one or has the key of the row before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        keys = rows.column(0).to_numpy()
+        equal = keys[1:] == keys[:-1]
+        before = np.concatenate(([same], equal))
+        yield rows.slice(0, len(keys) - 1).filter(pa.array(before[:-1] | equal))
+        held, same = rows.slice(len(keys) - 1), bool(before[-1])
+    if held is not None:
+        yield held
+
+
 def _verify(percent: int):
-    """One pair of blocks: (doc_id, side, hashes) -> links (a, b) that span what the pair links."""
+    """A hub's block (side 0) and sets that meet it (side 1): (doc_id, side, hashes) -> links (a, b) that span all links of the hub's sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        side = table.column("side").to_numpy()
+        table = table.sort_by("side")
+        ids, hubs = table.column("doc_id").to_numpy(), int((table.column("side").to_numpy() == 0).sum())
         rows = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         sizes = np.array([len(x) for x in rows], np.int64)
-        _, code, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        where = np.repeat(np.arange(len(rows)), sizes)
-        shared = count[code] > 1
-        column = (np.cumsum(count > 1) - 1)[code[shared]]
-        where, common = where[shared], np.zeros((len(rows), len(rows)), np.float32)
+        # Columns: hashes of the hub's sets that more than one row has.
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *rows[:hubs]]))
+        where, column = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, x in enumerate(rows if len(known) else []):
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            at = at[known[at] == x]
+            where.append(np.full(len(at), i))
+            column.append(at)
+        where, column = np.concatenate(where), np.concatenate(column)
+        several = np.bincount(column, minlength=len(known)) > 1
+        shared = several[column]
+        where, column = where[shared], (np.cumsum(several) - 1)[column[shared]]
         order = np.argsort(column, kind="stable")
-        column, where, step = column[order], where[order], 4096
+        column, where, step = column[order], where[order], 2048
+        common = np.zeros((hubs, len(rows)), np.float32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
             a, b = np.searchsorted(column, [start, start + step])
             part = np.zeros((len(rows), step), np.float32)
             part[where[a:b], column[a:b] - start] = 1
-            common += part @ part.T
+            common += part[:hubs] @ part.T
         common = common.astype(np.int64)
-        linked = np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1)
-        linked &= (side[:, None] != side[None, :]) | (side == 0)[:, None]
-        root = np.arange(len(rows))
-        out = []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-            i, j = find(i), find(j)
-            if i != j:
-                root[j] = i
-                out.append((i, j))
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+        linked = 100 * common >= percent * (sizes[:hubs, None] + sizes[None, :] - common)
+        # Every linked set hangs on its first hub set; hub sets that link, or link with the same set, are joined by a spanning forest.
+        out = [(np.argmax(linked[:, hubs:], 0), hubs + np.arange(len(rows) - hubs))] if hubs else []
+        out = [(a[keep], b[keep]) for a, b in out for keep in [linked[:, hubs:].any(0)]]
+        wide = linked.astype(np.float32)
+        close, left = (wide @ wide.T) > 0, np.ones(hubs, bool)
+        for root in range(hubs):
+            if left[root]:
+                left[root], reach = False, [root]
+                while reach:
+                    new = np.flatnonzero(close[reach.pop()] & left)
+                    left[new] = False
+                    out.append((np.full(len(new), root), new))
+                    reach += new.tolist()
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i in (0, 1))
+        return pa.table({"a": ids[a], "b": ids[b]})
 
     return run
 
 
+def _round(step: int, live: DataFrame, members: DataFrame, hashes: DataFrame, percent: int, folder: str, at_first: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """One round over live (key, doc_id) and members (doc_id, least, comp, size: sets of that class).
+
+    Returns links, and live and members of the next round; None if no key holds sets of two classes. Every key has
+    a hub, and more of them in later rounds and where few of the at_first rows of the first round are left.
+    """
+    spark = live.sparkSession
+    put = lambda df, name: store.written(df, folder, f"{name}{step}")
+    at = live.join(members, "doc_id")
+    # A key's first set, of a small class if there is one, gives its sets a common home.
+    keys = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("size", "doc_id")).alias("first")).where("low < high")
+    held = put(at.join(keys.select("key", F.col("first.doc_id").alias("first")), "key"), "held")
+    rows = held.count()
+    if not rows:
+        store.freed(spark, folder, f"held{step}")
+        return None
+    homes = held.groupBy("doc_id").agg(
+        F.count("*").alias("keys"), F.first("least").alias("least"), F.first("comp").alias("comp"), F.first("size").alias("size"), F.min("first").alias("home")
+    ).where("keys >= least").join(hashes.select("doc_id", "n"), "doc_id")
+    # Blocks: sets of one home, all of one class or all of classes of their own, split by hash into parts of a bounded expected size.
+    homes = homes.withColumn("kind", F.when(F.col("size") > 1, F.col("comp")).otherwise(-1))
+    parts = homes.groupBy("home", "kind").agg(F.greatest(F.ceil(F.count("*") * 2 / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("parts"))
+    block = F.xxhash64("home", "kind", F.pmod(F.xxhash64("doc_id"), "parts"))
+    blocks = put(homes.join(parts, ["home", "kind"]).select("doc_id", "least", "comp", "size", "n", block.alias("block")), "blocks")
+    spots = held.select("key", "doc_id").join(blocks, "doc_id").withColumn("kind", F.when(F.col("size") > 1, F.col("comp")))
+    # Several hubs of a key: one for each share of its blocks.
+    share = F.pmod(F.xxhash64(F.lit(step), "block"), F.lit(max(1 << max(0, step - 2), at_first // rows)))
+    hubs = put(spots.groupBy("key", share.alias("share")).agg(F.min(F.struct("size", "block", "kind")).alias("h")).select("key", F.col("h.block").alias("hub"), F.col("h.kind").alias("hub_kind")), "hubs")
+    meet = spots.join(hubs, "key").where("block <> hub and not coalesce(kind = hub_kind, false)")
+    needed = put(meet.groupBy("hub", "doc_id").agg(F.first("n").alias("n")), "needed")
+    groups = needed.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES))).alias("groups"))
+    groups = hubs.select("hub").distinct().join(groups, "hub", "left").select("hub", F.coalesce("groups", F.lit(1)).cast("int").alias("groups"))
+    own = blocks.select(F.col("block").alias("hub"), "doc_id").join(groups, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "doc_id", F.lit(0).alias("side"))
+    others = needed.join(groups, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), "groups").cast("int").alias("group"), "doc_id", F.lit(1).alias("side"))
+    met = own.unionByName(others).join(hashes.select("doc_id", "hashes"), "doc_id")
+    links = put(met.groupBy("hub", "group").applyInArrow(_verify(percent), "a long, b long"), "links")
+    # Classes of the next round, and keys without the sets that have met everything on them.
+    comp = lambda side: blocks.select(F.col("doc_id").alias(side), F.col("comp").alias(f"c{side}"))
+    across = links.join(comp("a"), "a").join(comp("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    merged = store.components(across, folder, f"merged{step}").withColumnRenamed("id", "comp")
+    members = blocks.join(merged, "comp", "left").select("doc_id", "least", F.coalesce("component_id", "comp").alias("comp"))
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
+    members = put(members.join(sizes, "comp").select("doc_id", "least", "comp", "size"), "members")
+    live = put(spots.join(hubs.select("key", F.col("hub").alias("block")), ["key", "block"], "left_anti").select("key", "doc_id"), "live")
+    store.freed(spark, folder, *(f"{x}{step}" for x in ("held", "blocks", "hubs", "needed", "merged")), f"live{step - 1}", f"members{step - 1}")
+    return links, live, members
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """Classes of texts whose word n-gram sets link, directly or through others.
 
@@ -209,45 +284,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     classes = named.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copied = store.written(classes.where("copies > 1").select("n_shingles", "h1", "h2", "rep"), folder, "copied")
     copies = store.written(named.join(copied, ["n_shingles", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep"), folder, "copies")
-    # Sets that share a key, without the keys of a single set.
+    # Keys that several sets have. Ranges of (key, doc_id) split a frequent key over many tasks.
     singles = docs.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
-    keyed = singles.mapInArrow(_keys(percent, words), "doc_id long, least int, key long")
-    by_key = Window.partitionBy("key")
-    met = store.written(
-        keyed.select("key", "doc_id", "least", F.min("doc_id").over(by_key).alias("hub"), F.max("doc_id").over(by_key).alias("last")).where("hub < last").drop("last"),
-        folder, "met",
-    )
-    # Sets with as many met keys as a link needs, in blocks: those with the same smallest fellow, split by hash into parts of a bounded expected size.
-    home = (
-        met.groupBy("doc_id").agg(F.min("hub").alias("home"), F.count("*").alias("met"), F.first("least").alias("least")).where("met >= least")
-        .join(named.select("doc_id", "n_shingles"), "doc_id")
-    )
-    parts = home.groupBy("home").agg(
-        F.greatest(F.ceil(F.count("*") * 2 / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("parts")
-    )
-    block = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block")
-    blocks = store.written(home.join(parts, "home").select("doc_id", "least", block), folder, "blocks")
-    # The blocks on each key, named by their hash. A set goes to a pair of blocks if it has as many keys as a link needs in common with the other one.
-    held = store.written(met.select("key", "doc_id").join(blocks, "doc_id"), folder, "held")
-    on_key = held.groupBy("key", "block").agg((F.count("*") > 1).alias("several")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "several"))).alias("blocks"))
-    listed = store.written(on_key.select("key", F.xxhash64("blocks").alias("list"), "blocks"), folder, "listed")
-    other = F.col("other.block")
-    needed = (
-        held.join(listed.select("key", "list"), "key").groupBy("doc_id", "least", "block", "list").agg(F.count("*").alias("n"))
-        .join(listed.select("list", "blocks").distinct(), "list").select("doc_id", "least", "block", "n", F.explode("blocks").alias("other"))
-        .where("other.block <> block or other.several")
-        .groupBy("doc_id", "least", "block", other.alias("other")).agg(F.sum("n").alias("n")).where("n >= least")
-        .select("doc_id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.expr("if(block = other, 0, if(block < other, 1, 2))").alias("side"))
-    )
-    needed = store.written(needed, folder, "needed")
+    keyed = singles.mapInArrow(_keys(percent, words), "key long, doc_id long, least int")
+    met = store.written(keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key").mapInArrow(_repeated, keyed.schema), folder, "live0")
+    # Sets with as many of them as a link needs, each a class of its own to begin with.
+    enough = met.groupBy("doc_id").agg(F.count("*").alias("keys"), F.first("least").alias("least")).where("keys >= least")
+    members = store.written(enough.select("doc_id", "least", F.col("doc_id").alias("comp"), F.lit(1).cast("long").alias("size")), folder, "members0")
     hashes = store.written(
-        docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, hashes binary"),
-        folder, "hashes",
-    )
-    # Within a block only its pair with itself links its own sets; side tells the two apart.
-    links = needed.join(hashes, "doc_id").groupBy("p", "q").applyInArrow(_verify(percent), "a long, b long")
-    links = store.written(links, folder, "links")
-    joined = store.components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), folder)
-    return described.select("doc_id", "n_shingles").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        docs.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, n long, hashes binary"), folder, "hashes"
     )
+    live, step, at_first, links = met.select("key", "doc_id"), 0, met.count(), copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    while (done := _round(step := step + 1, live, members, hashes, percent, folder, at_first)) is not None:
+        links, live, members = links.unionByName(done[0]), *done[1:]
+    joined = store.components(links, folder).withColumnRenamed("id", "doc_id")
+    store.freed(spark, folder, "copied", "copies", "hashes", "live0", "members0", *(f"{x}{k}" for k in range(1, step) for x in ("links", "live", "members")))
+    return described.select("doc_id", "n_shingles").join(joined, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -13,23 +13,31 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies in the folder that the cluster names in spark.checkpoint.dir. Only where that is unset, as
-    in local tests, a temporary folder takes its place. The folder goes when the driver ends.
+    It lies in the folder that the cluster names in spark.checkpoint.dir. Only on a local master, where that may be
+    unset as in tests, a temporary folder takes its place; on a cluster an unset folder is an error, since executors
+    would write to disks of their own. The folder goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tracemill-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(_delete_at_end, spark, path)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        delete(spark, path)
     except Exception:  # the session has ended already
         pass
 
@@ -40,41 +48,48 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
+def freed(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables of a folder that nothing reads any more."""
+    for name in names:
+        delete(spark, f"{folder}/{name}")
+
+
+def components(edges: DataFrame, folder: str, name: str = "components") -> DataFrame:
     """Connected components of an undirected graph by repeated contraction.
 
-    edges: columns a, b (long). Returns (id, component_id), one row per vertex of an edge, where
-    component_id is the smallest id of its component. Loops and repeated edges change nothing; no edges
-    give no rows; an edge with a null end is left out.
+    edges: columns a, b (long), read twice. Returns (id, component_id), one row per vertex of an edge, where
+    component_id is the smallest id of its component, as a table called `name`. Loops and repeated edges change
+    nothing; no edges give no rows; an edge with a null end is left out.
 
-    In each round every vertex moves to that vertex among itself and its neighbours which comes first in
-    an order drawn anew by hashing, so paths as well as stars shrink by a constant factor. Only the
-    contracted edges go on to the next round, each round a written table.
+    In each round every vertex moves to that vertex among itself and its neighbours which has most neighbours and,
+    of several, comes first in an order drawn anew by hashing: stars shrink at once, paths by a constant factor.
+    Only the contracted edges go on to the next round, each round a written table; the moves are composed at the end.
     """
+    spark = edges.sparkSession
     edges = edges.where("a is not null and b is not null")
-    placed = written(
-        edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("at")),
-        folder, "placed0",
-    )
-    live = written(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "edges0"
-    )
-    step = 0
-    while not live.isEmpty():
+    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    live = written(edges.select(pair.alias("e")).select("e.*").where("a <> b").distinct(), folder, f"{name}-edges0")
+    moves, step = [], 0
+    while live.count():
         step += 1
-        order = F.struct(F.xxhash64(F.lit(step), "to").alias("o"), F.col("to").alias("v"))
-        both = live.select(F.explode(F.array(
-            F.struct(F.col("a").alias("x"), F.col("b").alias("to")), F.struct(F.col("b").alias("x"), F.col("a").alias("to")),
-            F.struct(F.col("a").alias("x"), F.col("a").alias("to")), F.struct(F.col("b").alias("x"), F.col("b").alias("to")),
-        )).alias("e")).select("e.*")
-        moved = written(both.groupBy("x").agg(F.min(order).alias("m")).select("x", F.col("m.v").alias("y")), folder, f"moved{step}")
-        nxt = (
-            live.join(moved.toDF("a", "ya"), "a").join(moved.toDF("b", "yb"), "b").where("ya <> yb")
-            .select(F.least("ya", "yb").alias("a"), F.greatest("ya", "yb").alias("b")).distinct()
-        )
-        live = written(nxt, folder, f"edges{step}")
-        placed = written(
-            placed.join(moved.toDF("at", "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at")), folder, f"placed{step}"
-        )
+        both = live.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("to")), F.struct(F.col("b").alias("x"), F.col("a").alias("to")))).alias("e")).select("e.*")
+        rank = lambda v: F.struct("d", F.xxhash64(F.lit(step), v).alias("o"), F.col(v).alias("v"))  # noqa: B023, E731
+        degree = both.groupBy("x").agg(F.count("*").alias("d"))
+        best = both.join(degree.withColumnRenamed("x", "to"), "to").groupBy("x").agg(F.max(rank("to")).alias("m"))
+        moved = best.join(degree, "x").select("x", F.greatest("m", rank("x"))["v"].alias("y"))
+        moves.append(written(moved, folder, f"{name}-moves{step}"))
+        nxt = live.join(moves[-1].toDF("a", "ya"), "a").join(moves[-1].toDF("b", "yb"), "b").where("ya <> yb")
+        live = written(nxt.select(F.least("ya", "yb").alias("a"), F.greatest("ya", "yb").alias("b")).distinct(), folder, f"{name}-edges{step}")
+        freed(spark, folder, f"{name}-edges{step - 1}")
+    alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("at")).distinct()
+    if not moves:
+        placed = alone
+    else:
+        placed = moves[-1].toDF("id", "at")
+        for moved in reversed(moves[:-1]):
+            placed = moved.toDF("id", "y").join(placed.toDF("y", "z"), "y", "left").select("id", F.coalesce("z", "y").alias("at"))
+        placed = placed.unionByName(alone.join(placed.select("id"), "id", "left_anti"))
     first = placed.groupBy("at").agg(F.min("id").alias("component_id"))
-    return placed.join(first, "at").select("id", "component_id")
+    out = written(placed.join(first, "at").select("id", "component_id"), folder, name)
+    freed(spark, folder, f"{name}-edges{step}", *(f"{name}-moves{k}" for k in range(1, step + 1)))
+    return out
