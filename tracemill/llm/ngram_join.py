@@ -9,7 +9,7 @@ of a total value of slack + 1 at least agree, and a set may leave out up to slac
 (which very many sets share) without losing a link. A cost model allocates values and slack by band.
 
 Keys only bring up candidates, and only classes are asked for, so pairs within one class needn't be looked
-at. In each round a key has a hub, a block of at most BLOCK similar sets; every other set on the key is
+at. In each round a key has a hub, a block of about BLOCK similar sets at most; every other set on the key is
 verified exactly against the hub, the links found are contracted, and the hub's sets leave the key. A key
 is done when its sets are in one class, and a set when it has fewer keys left than a link needs. A group of
 near copies is one class after a round or two, with work in proportion to its sets. Keys whose sets don't
@@ -31,8 +31,8 @@ from . import store
 from .resident import release
 from .textkeys import mix, shingle_sets, slices
 
-#: Sets of a block, and shingles that a block holds on average at most; the same for the sets that meet a block in one group.
-BLOCK, BLOCK_SHINGLES, GROUP, GROUP_SHINGLES = 512, 500_000, 4096, 4_000_000
+#: Sets and shingles of a block, on average at most; the same for the sets that meet a block in one group.
+BLOCK, BLOCK_SHINGLES, GROUP, GROUP_SHINGLES = 4096, 1_000_000, 4096, 2_000_000
 #: In the cost model: keys that a chance meeting of two sets is worth.
 CHANCE = 10_000
 
@@ -178,39 +178,44 @@ def _verify(percent: int):
         sizes = np.array([len(x) for x in rows], np.int64)
         # Columns: hashes of the hub's sets that more than one row has.
         known = np.unique(np.concatenate([np.zeros(0, np.uint64), *rows[:hubs]]))
-        where, column = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        where, column = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for i, x in enumerate(rows if len(known) else []):
             at = np.minimum(np.searchsorted(known, x), len(known) - 1)
             at = at[known[at] == x]
-            where.append(np.full(len(at), i))
-            column.append(at)
+            where.append(np.full(len(at), i, np.int32))
+            column.append(at.astype(np.int32))
         where, column = np.concatenate(where), np.concatenate(column)
         several = np.bincount(column, minlength=len(known)) > 1
         shared = several[column]
-        where, column = where[shared], (np.cumsum(several) - 1)[column[shared]]
+        where, column = where[shared], (np.cumsum(several, dtype=np.int32) - 1)[column[shared]]
         order = np.argsort(column, kind="stable")
-        column, where, step = column[order], where[order], 2048
+        column, where, step, tile = column[order], where[order], 512, 512
         common = np.zeros((hubs, len(rows)), np.float32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
             a, b = np.searchsorted(column, [start, start + step])
             part = np.zeros((len(rows), step), np.float32)
             part[where[a:b], column[a:b] - start] = 1
-            common += part[:hubs] @ part.T
-        common = common.astype(np.int64)
-        linked = 100 * common >= percent * (sizes[:hubs, None] + sizes[None, :] - common)
+            some = np.unique(where[a:b])  # the rows that have any of these hashes
+            near = some[some < hubs]
+            common[np.ix_(near, some)] += part[near] @ part[some].T
+        linked = np.empty((hubs, len(rows)), bool)
+        for a in range(0, hubs, tile):
+            n = common[a : a + tile].astype(np.int64)
+            linked[a : a + tile] = 100 * n >= percent * (sizes[a : min(a + tile, hubs), None] + sizes[None, :] - n)
         # Every linked set hangs on its first hub set; hub sets that link, or link with the same set, are joined by a spanning forest.
-        out = [(np.argmax(linked[:, hubs:], 0), hubs + np.arange(len(rows) - hubs))] if hubs else []
-        out = [(a[keep], b[keep]) for a, b in out for keep in [linked[:, hubs:].any(0)]]
-        wide = linked.astype(np.float32)
-        close, left = (wide @ wide.T) > 0, np.ones(hubs, bool)
+        far = np.flatnonzero(linked[:, hubs:].any(0))
+        out = [(np.argmax(linked[:, hubs + far], 0), hubs + far)] if len(far) else []
+        left = np.ones(hubs, bool)
         for root in range(hubs):
             if left[root]:
-                left[root], reach = False, [root]
-                while reach:
-                    new = np.flatnonzero(close[reach.pop()] & left)
-                    left[new] = False
-                    out.append((np.full(len(new), root), new))
-                    reach += new.tolist()
+                left[root], reach = False, linked[root]
+                while True:
+                    met = left & (linked[:, reach].any(1) if reach.any() else False)
+                    if not met.any():
+                        break
+                    left &= ~met
+                    out.append((np.full(int(met.sum()), root), np.flatnonzero(met)))
+                    reach = linked[met].any(0) & ~reach
         a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i in (0, 1))
         return pa.table({"a": ids[a], "b": ids[b]})
 
@@ -233,18 +238,23 @@ def _round(step: int, live: DataFrame, members: DataFrame, hashes: DataFrame, pe
     if not rows:
         store.freed(spark, folder, f"held{step}")
         return None
-    homes = held.groupBy("doc_id").agg(
-        F.count("*").alias("keys"), F.first("least").alias("least"), F.first("comp").alias("comp"), F.first("size").alias("size"), F.min("first").alias("home")
+    # The home of a set is that which most of its keys name.
+    homes = held.groupBy("doc_id", "first").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.first("comp").alias("comp"), F.first("size").alias("size"))
+    homes = homes.groupBy("doc_id").agg(
+        F.sum("n").alias("keys"), F.first("least").alias("least"), F.first("comp").alias("comp"), F.first("size").alias("size"),
+        F.min(F.struct(-F.col("n"), F.col("first").alias("home")))["home"].alias("home"),
     ).where("keys >= least").join(hashes.select("doc_id", "n"), "doc_id")
     # Blocks: sets of one home, all of one class or all of classes of their own, split by hash into parts of a bounded expected size.
     homes = homes.withColumn("kind", F.when(F.col("size") > 1, F.col("comp")).otherwise(-1))
-    parts = homes.groupBy("home", "kind").agg(F.greatest(F.ceil(F.count("*") * 2 / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("parts"))
+    parts = homes.groupBy("home", "kind").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("parts"))
     block = F.xxhash64("home", "kind", F.pmod(F.xxhash64("doc_id"), "parts"))
     blocks = put(homes.join(parts, ["home", "kind"]).select("doc_id", "least", "comp", "size", "n", block.alias("block")), "blocks")
     spots = held.select("key", "doc_id").join(blocks, "doc_id").withColumn("kind", F.when(F.col("size") > 1, F.col("comp")))
-    # Several hubs of a key: one for each share of its blocks.
+    # A key's hub is its largest block of sets that are alone in their classes, else a block of its smallest class; with several hubs, one for each share of the blocks.
     share = F.pmod(F.xxhash64(F.lit(step), "block"), F.lit(max(1 << max(0, step - 2), at_first // rows)))
-    hubs = put(spots.groupBy("key", share.alias("share")).agg(F.min(F.struct("size", "block", "kind")).alias("h")).select("key", F.col("h.block").alias("hub"), F.col("h.kind").alias("hub_kind")), "hubs")
+    there = spots.groupBy("key", "block").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("kind").alias("kind"))
+    choice = F.struct(F.when(F.col("kind").isNull(), 0).otherwise(F.col("size")).alias("size"), (-F.col("n")).alias("n"), "block", "kind")
+    hubs = put(there.groupBy("key", share.alias("share")).agg(F.min(choice).alias("h")).select("key", F.col("h.block").alias("hub"), F.col("h.kind").alias("hub_kind")), "hubs")
     meet = spots.join(hubs, "key").where("block <> hub and not coalesce(kind = hub_kind, false)")
     needed = put(meet.groupBy("hub", "doc_id").agg(F.first("n").alias("n")), "needed")
     groups = needed.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES))).alias("groups"))
