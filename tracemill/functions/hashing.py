@@ -1,25 +1,82 @@
-"""Canonical hashes, fingerprints and signatures."""
+"""Canonical hashes, fingerprints and signatures.
+
+The JSON is that of Python's json module with sorted keys and non-ASCII characters as they are, byte for byte, so
+hashes made elsewhere with it can be compared with those made here.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
-
-
-def _sorted(value: Column, kind: DataType) -> Column:
-    """value with the fields of every struct in it in order of their names."""
-    if isinstance(kind, StructType):
-        fields = sorted(kind.fields, key=lambda f: f.name)
-        return F.when(value.isNotNull(), F.struct(*(_sorted(value[f.name], f.dataType).alias(f.name) for f in fields)))
-    if isinstance(kind, ArrayType):
-        return F.transform(value, lambda x: _sorted(x, kind.elementType))
-    return value
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegralType,
+    MapType,
+    StringType,
+    StructType,
+)
+
+#: Escapes with a letter; other control characters are written as \\u00xx.
+_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
+def json_string(text: Column) -> Column:
+    """A string as JSON."""
+    for c, short in _SHORT.items():
+        if c >= " ":
+            text = F.replace(text, F.lit(c), F.lit(short))
+    plain = rare = text
+    for c in map(chr, range(32)):
+        rare = F.replace(rare, F.lit(c), F.lit(_SHORT.get(c, f"\\u{ord(c):04x}")))
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), rare).otherwise(plain), F.lit('"'))
+
+
+def json_number(x: Column) -> Column:
+    """A double as JSON: as few digits as tell it apart, with an exponent below 1e-4 and from 1e16.
+
+    The digits are the JVM's; before Java 19 those of a few doubles, as 5e-324, are more than they need to be.
+    """
+    text = F.abs(x).cast("string")
+    digits, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    whole, after = F.split_part(digits, F.lit("."), F.lit(1)), F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(2)), "0+$", "")
+    all_digits = F.concat(whole, after)
+    large = F.when(
+        F.length(after) > power, F.concat(F.substring(all_digits, F.lit(1), power + 1), F.lit("."), F.substring(all_digits, power + 2, F.length(after)))
+    ).otherwise(F.concat(F.rpad(all_digits, power + 1, F.lit("0")), F.lit(".0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), all_digits)
+    mantissa = F.when(after == "", whole).otherwise(F.concat(whole, F.lit("."), after))
+    exponent = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    size = F.when(power.isNull(), text).when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(exponent)
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.when(F.isnan(x), "NaN").otherwise(F.concat(F.when(negative, "-").otherwise(""), size))
 
 
 def canonical_json(value: Column, kind: DataType) -> Column:
     """JSON without blanks, keys sorted, nulls written."""
-    return F.regexp_replace(F.to_json(F.array(_sorted(value, kind)), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical_json(value[f.name], f.dataType)) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts) if parts else F.lit(""), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        entry = lambda e: F.concat(json_string(e["key"].cast("string")), F.lit(":"), canonical_json(e["value"], kind.valueType))
+        names = F.array_sort(F.map_keys(value))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(names, lambda k: entry(F.struct(k.alias("key"), F.try_element_at(value, k).alias("value")))), ","), F.lit("}"))
+    elif isinstance(kind, (DoubleType, FloatType)):
+        text = json_number(value.cast("double"))
+    elif isinstance(kind, (IntegralType, BooleanType, DecimalType)):
+        text = value.cast("string")
+    else:
+        text = json_string(value.cast(StringType()))
+    return F.when(value.isNull(), "null").otherwise(text)
 
 
 def canonical_sha256(value: Column, kind: DataType) -> Column:
@@ -27,8 +84,8 @@ def canonical_sha256(value: Column, kind: DataType) -> Column:
 
 
 def text_sha256(text: Column) -> Column:
-    """SHA-256 of a string as JSON text."""
-    return F.sha2(F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""), 256)
+    """SHA-256 of a string as JSON text; null stays null."""
+    return F.sha2(json_string(text), 256)
 
 
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:

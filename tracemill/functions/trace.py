@@ -1,57 +1,64 @@
 """Scoring of call sequences against every order in which an expression can be reduced, without a UDF.
 
-The fold over the calls carries all token states that the calls so far can have led to. A token is a struct of
-kind ('' for a number, else the operator) and value.
+The fold over the calls carries all states that the calls so far can have led to. An expression's tokens are numbers in
+even places and operators in odd ones; a state is struct<n, o> of the two, n null where an even place holds no number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expressions import NUMBER, calculate, tokens
+from .expressions import calculate, tokens
 
-TOKEN = "struct<k: string, n: double>"
+STATE = "struct<n: array<double>, o: array<string>>"
 CALL = "struct<op: string, a: double, b: double>"
 
 
-def start_state(text: Column) -> Column:
-    return F.transform(tokens(text), lambda t: F.struct(
-        F.when(t.rlike(NUMBER), "").otherwise(t).alias("k"), F.when(t.rlike(NUMBER), t.cast("double")).alias("n"),
-    )).cast(f"array<{TOKEN}>")
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _number(x: Column) -> Column:
-    return F.struct(F.lit("").alias("k"), x.alias("n")).cast(TOKEN)
+def start_state(pieces: Column) -> Column:
+    """The state of an expression's tokens."""
+    numbers = F.transform(F.filter(pieces, lambda x, i: i % 2 == 0), lambda x: x.try_cast("double"))
+    return F.struct(numbers.alias("n"), F.filter(pieces, lambda x, i: i % 2 == 1).alias("o")).cast(STATE)
 
 
-def _next(states: Column, call: Column) -> Column:
-    """The states that a call can lead to; none if it is illegal in all."""
+def _next(states: Column, call: Column, stuck: Column) -> Column:
+    """The states that a call can lead to; none if it is illegal in all. stuck: a product sign in an even place, which never goes."""
     op, a, b = call["op"], call["a"], call["b"]
+    nowhere = F.array().cast("array<int>")
 
     def of(s: Column) -> Column:
-        product = F.exists(s, lambda t: t["k"] == "*")
-        places = F.when(F.size(s) > 2, F.sequence(F.lit(2), F.size(s) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-
-        def fits(i: Column) -> Column:
-            left, right = F.get(s, i - 2)["n"], F.get(s, i)["n"]
-            match = ((left == a) & (right == b)) | (op.isin("+", "*") & (left == b) & (right == a))
-            return F.coalesce((F.get(s, i - 1)["k"] == op) & ((op == "*") | ((i == 2) & ~product)) & match, F.lit(False))
-
-        after = lambda i: F.concat(F.slice(s, F.lit(1), i - 2), F.array(_number(calculate(op, a, b))), F.slice(s, i + 2, F.size(s)))
-        return F.transform(F.filter(places, fits), after)
+        def matches(i: Column) -> Column:
+            left, right = F.get(s["n"], i), F.get(s["n"], i + 1)
+            return F.coalesce((F.get(s["o"], i) == op) & (((left == a) & (right == b)) | ((op != "-") & (left == b) & (right == a))), F.lit(False))
+
+        products = F.when(F.size(s["o"]) > 0, F.filter(F.sequence(F.lit(0), F.size(s["o"]) - 1), matches)).otherwise(nowhere)
+        first = F.when(~stuck & ~F.array_contains(s["o"], "*") & matches(F.lit(0)), F.array(F.lit(0))).otherwise(nowhere)
+        after = lambda i: F.struct(
+            F.concat(F.slice(s["n"], F.lit(1), i), F.array(calculate(op, a, b)), F.slice(s["n"], i + 3, F.size(s["n"]))).alias("n"),
+            F.concat(F.slice(s["o"], F.lit(1), i), F.slice(s["o"], i + 2, F.size(s["o"]))).alias("o"),
+        )
+        return F.transform(F.when(op == "*", products).when(op.isin("+", "-"), first).otherwise(nowhere), after)
 
-    return F.array_distinct(F.flatten(F.transform(states, of)))
+    moved = F.flatten(F.transform(states, of))
+    return bind(moved, lambda m: F.when(F.size(m) > 1, F.array_distinct(m)).otherwise(m))
 
 
-def _why(call: Column, states: Column, known: Column) -> Column:
+def _why(call: Column, states: Column, known: Column, stuck: Column) -> Column:
     """The class of an illegal call, the first that holds."""
     a, b = call["a"], call["b"]
-    held = lambda s, x: F.size(F.filter(s, lambda t: (t["k"] == "") & (t["n"] == x)))
+    held = lambda s, x: F.size(F.filter(s["n"], lambda n: n == x))
     branch = F.exists(states, lambda s: F.when(a == b, held(s, a) >= 2).otherwise((held(s, a) >= 1) & (held(s, b) >= 1)))
+    # The names of the classes.
     return (
-        F.when(F.exists(states, lambda s: F.size(s) == 1), "post_completion_call")
-        .when(call["op"].isin("+", "-") & F.exists(states, lambda s: F.exists(s, lambda t: t["k"] == "*")), "precedence_violation")
+        F.when(F.exists(states, lambda s: F.size(s["n"]) + F.size(s["o"]) == 1), "post_completion_call")
+        .when(call["op"].isin("+", "-") & (stuck | F.exists(states, lambda s: F.array_contains(s["o"], "*"))), "precedence_violation")
         .when(branch, "branch_mismatch")
         .when(F.array_contains(known, a) & F.array_contains(known, b), "reused_operand")
         .otherwise("ungrounded_operand")
@@ -65,55 +72,53 @@ def score(text: Column, calls: Column, stated: Column, expected_calls: Column, a
     -0.1 without an answer, 2 for a valid and right trajectory, -1 if both are wrong, else 0.
     """
     calls = F.coalesce(calls, F.array()).cast(f"array<{CALL}>")
-    begin = F.transform(F.array(start_state(text)), lambda s: F.struct(
-        F.array(s).alias("states"), F.lit(0).alias("legal"), F.lit(False).alias("bad"),
-        F.transform(F.filter(s, lambda t: t["k"] == ""), lambda t: t["n"]).alias("known"), F.lit(None).cast("string").alias("reason"),
+    pieces = tokens(text)
+    given = bind(pieces, lambda p: F.struct(
+        start_state(p).alias("start"), (F.size(F.filter(p, lambda x, i: (i % 2 == 0) & (x == "*"))) > 0).alias("stuck"), calls.alias("calls"), stated.alias("stated"),
+        expected_calls.alias("expected"), answer.alias("answer"),
     ))
 
-    def step(acc: Column, call: Column) -> Column:
-        def taken(new: Column) -> Column:
-            good = F.struct(
-                new.alias("states"), (acc["legal"] + 1).alias("legal"), F.lit(False).alias("bad"),
-                F.concat(acc["known"], F.array(calculate(call["op"], call["a"], call["b"]))).alias("known"), acc["reason"].alias("reason"),
-            )
-            wrong = F.struct(
-                acc["states"].alias("states"), acc["legal"].alias("legal"), F.lit(True).alias("bad"), acc["known"].alias("known"),
-                _why(call, acc["states"], acc["known"]).alias("reason"),
-            )
-            return F.when(F.size(new) > 0, good).otherwise(wrong)
-
-        # The new states are bound once; written out they would be worked out again in every branch.
-        moved = F.get(F.transform(F.array(_next(acc["states"], call)), taken), F.lit(0))
-        return F.when(acc["bad"], acc).otherwise(moved)
-
-    def finish(acc: Column) -> Column:
-        legal = ~acc["bad"]
-        reduced = legal & F.exists(acc["states"], lambda s: (F.size(s) == 1) & (F.get(s, F.lit(0))["n"] == answer))
-        right_count = F.size(calls) == expected_calls
-        valid = legal & right_count & F.coalesce(reduced, F.lit(False))
-        correct = F.coalesce(stated == answer, F.lit(False))
+    def folded(x: Column) -> Column:
+        begin = F.struct(F.array(x["start"]).alias("states"), F.lit(0).alias("legal"), F.lit(False).alias("bad"))
+
+        def step(acc: Column, call: Column) -> Column:
+            good = lambda new: F.struct(new.alias("states"), (acc["legal"] + 1).alias("legal"), F.lit(False).alias("bad"))
+            wrong = F.struct(acc["states"].alias("states"), acc["legal"].alias("legal"), F.lit(True).alias("bad"))
+            return F.when(acc["bad"], acc).otherwise(bind(_next(acc["states"], call, x["stuck"]), lambda new: F.when(F.size(new) > 0, good(new)).otherwise(wrong)))
+
+        return bind(F.aggregate(x["calls"], begin, step), lambda end: judged(x, end))
+
+    def judged(x: Column, end: Column) -> Column:
+        done = F.transform(F.slice(x["calls"], F.lit(1), end["legal"]), lambda c: calculate(c["op"], c["a"], c["b"]))
+        reason = F.when(end["bad"], _why(F.get(x["calls"], end["legal"]), end["states"], F.concat(F.filter(x["start"]["n"], lambda n: n.isNotNull()), done), x["stuck"]))
+        reduced = ~end["bad"] & F.coalesce(F.exists(end["states"], lambda s: (F.size(s["n"]) == 1) & (F.size(s["o"]) == 0) & (F.get(s["n"], F.lit(0)) == x["answer"])), F.lit(False))
+        return bind(F.struct(reason.alias("reason"), reduced.alias("reduced")), lambda r: result(x, end, r))
+
+    def result(x: Column, end: Column, r: Column) -> Column:
+        n, legal = F.size(x["calls"]), ~end["bad"]
+        right_count = n == x["expected"]
+        valid, correct = r["reduced"] & F.coalesce(right_count, F.lit(False)), F.coalesce(x["stated"] == x["answer"], F.lit(False))
+        # The names of the outcomes and the fields.
         outcome = (
-            F.when(stated.isNull(), "no_answer").when(valid & correct, "valid_correct").when(~valid & ~correct, "invalid_incorrect")
+            F.when(x["stated"].isNull(), "no_answer").when(valid & correct, "valid_correct").when(~valid & ~correct, "invalid_incorrect")
             .when(valid, "valid_incorrect").otherwise("invalid_correct")
         )
-        reward = F.when(stated.isNull(), -0.1).when(valid & correct, 2.0).when(~valid & ~correct, -1.0).otherwise(0.0)
+        reward = F.when(x["stated"].isNull(), -0.1).when(valid & correct, 2.0).when(~valid & ~correct, -1.0).otherwise(0.0)
         return F.struct(
-            reward.alias("reward"), outcome.alias("outcome"), legal.alias("all_calls_legal"), acc["legal"].alias("legal_call_count"),
-            F.coalesce(reduced, F.lit(False)).alias("fully_reduced"), right_count.alias("call_count_correct"),
-            F.greatest(F.lit(0), F.size(calls) - expected_calls).alias("overcall_count"),
-            F.when(acc["bad"], acc["legal"] + 1).alias("first_illegal_call_index"), acc["reason"].alias("first_illegal_reason"),
-            F.when(acc["reason"] == "post_completion_call", F.size(calls) - acc["legal"]).otherwise(0).alias("post_completion_call_count"),
+            reward.alias("reward"), outcome.alias("outcome"), legal.alias("all_calls_legal"), end["legal"].alias("legal_call_count"),
+            r["reduced"].alias("fully_reduced"), right_count.alias("call_count_correct"), F.greatest(F.lit(0), n - x["expected"]).alias("overcall_count"),
+            F.when(end["bad"], end["legal"] + 1).alias("first_illegal_call_index"), r["reason"].alias("first_illegal_reason"),
+            F.when(r["reason"] == "post_completion_call", n - end["legal"]).otherwise(0).alias("post_completion_call_count"),
             valid.alias("valid_trajectory"), correct.alias("answer_correct"),
         )
 
-    return F.get(F.transform(begin, lambda b: F.aggregate(calls, b, step, finish)), F.lit(0))
+    return bind(given, folded)
 
 
 def semantic_trace(text: Column, calls: Column, answer: Column, expected_calls: Column) -> Column:
     """struct<valid, complete>: at least one call and all legal; fully reduced to the answer."""
-    s = score(text, calls, answer, expected_calls, answer)
     some = F.size(F.coalesce(calls, F.array().cast(f"array<{CALL}>"))) > 0
-    return F.struct((some & s["all_calls_legal"]).alias("valid"), s["fully_reduced"].alias("complete"))
+    return bind(score(text, calls, answer, expected_calls, answer), lambda s: F.struct((some & s["all_calls_legal"]).alias("valid"), s["fully_reduced"].alias("complete")))
 
 
 def progress(legal: Column, expected: Column) -> Column:
