@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Path, blocks
 
 #: Buckets of path features and of words, further measures, units of each direction.
 PATHS, WORDS, MEASURES, UNITS = 256, 64, 6, 16
@@ -89,7 +89,7 @@ def sample_page(rng: random.Random) -> tuple[list[Block], list[int]]:
                 text = _words(rng, rng.randint(2, 25))
             if rng.random() < 0.35:
                 text += " " + " ".join(rng.choices(words, k=rng.randint(1, 3)))
-            out.append((Block(tuple(path), text, int(len(text) * linked)), 0))
+            out.append((Block(Path.of(path), text, int(len(text) * linked)), 0))
 
     for kind, chance in (("notice", 0.25), ("header", 0.4), ("nav", 0.75), ("ad", 0.5), ("form", 0.15), ("aside", 0.2), ("share", 0.1)):
         if rng.random() < chance:
@@ -105,13 +105,13 @@ def sample_page(rng: random.Random) -> tuple[list[Block], list[int]]:
     if rng.random() < 0.25:
         core.append(("div", names(MAIN_NAMES)))
     if rng.random() < 0.7:
-        out.append((Block((*core, *([("header", ())] if rng.random() < 0.1 and style < 0.5 else []), (rng.choice(["h1", "h1", "h2"]), ())), _words(rng, rng.randint(1, 12))), 1))
+        out.append((Block(Path.of((*core, *([("header", ())] if rng.random() < 0.1 and style < 0.5 else []), (rng.choice(["h1", "h1", "h2"]), ()))), _words(rng, rng.randint(1, 12))), 1))
     for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20, 30])):
         if rng.random() < 0.06:
             aside(rng.choice(["ad", "aside", "share", "form", "notice"]), core)
         leaf = rng.choice([[("p", ())]] * 8 + [[("p", ()), ("b", ())]] * 3 + [[("h2", ())], [("blockquote", ()), ("p", ())], [("ul", ()), ("li", ())], [("ol", ()), ("li", ())], [("pre", ())], [("div", ())], [], [("table", ()), ("tr", ()), ("td", ())]])
         text = _words(rng, rng.choice([1, 2, 3, 6, 12, 30, 60, 120]))
-        out.append((Block((*core, *leaf), text, int(len(text) * rng.random() * 0.3) if rng.random() < 0.15 else 0), 1))
+        out.append((Block(Path.of((*core, *leaf)), text, int(len(text) * rng.random() * 0.3) if rng.random() < 0.15 else 0), 1))
     for kind, chance in (("share", 0.2), ("ad", 0.2), ("comments", 0.3), ("form", 0.15), ("aside", 0.25), ("notice", 0.1), ("footer", 0.8)):
         if rng.random() < chance:
             aside(kind, core if kind in ("share", "comments") and rng.random() < 0.4 else shell)
@@ -123,13 +123,20 @@ def _at(feature: str, size: int) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % size
 
 
-@lru_cache(maxsize=1 << 14)
-def _path(path: tuple) -> list[int]:
-    """The features of a tag path: its tags, the innermost two by their depth, and all names."""
-    out = set()
-    for depth, (tag, names) in enumerate(reversed(path)):
-        out |= {f"t {tag}", *(f"n {name}" for name in names)} | ({f"l{depth} {tag}"} if depth < 2 else set())
-    return sorted(_at(f, PATHS) for f in out)
+def _mask(path: Path | None) -> int:
+    """The features of a tag path as bits: its tags and all names, and the innermost two tags by their depth."""
+    todo, at = [], path
+    while at and at.mask is None:
+        todo.append(at)
+        at = at.parent
+    bits = at.mask if at else 0
+    for at in reversed(todo):
+        for f in (f"t {at.tag}", *(f"n {name}" for name in at.names)):
+            bits |= 1 << _at(f, PATHS)
+        at.mask = bits
+    for depth, at in enumerate((path, path.parent) if path else ()):
+        bits |= 1 << _at(f"l{depth} {at.tag}", PATHS) if at else 0
+    return bits
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -138,11 +145,11 @@ def features(page: list[Block]) -> np.ndarray:
     total = max(1, sum(len(b.text) for b in page))
     before = 0
     for i, b in enumerate(page):
-        x[i, _path(b.path)] = 1
+        x[i, :PATHS] = np.unpackbits(np.frombuffer(_mask(b.path).to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little")
         words = b.text.lower().split()
         x[i, PATHS : PATHS + WORDS] = np.bincount([_at(f"w {w}", WORDS) for w in words], minlength=WORDS) / max(1, len(words))
         x[i, PATHS + WORDS :] = (
-            np.log1p(len(b.text)) / 8, np.log1p(len(words)) / 6, b.linked / max(1, len(b.text)), before / total, len(b.text) / total, len(b.path) / 10,
+            np.log1p(len(b.text)) / 8, np.log1p(len(words)) / 6, b.linked / max(1, len(b.text)), before / total, len(b.text) / total, (b.path.depth if b.path else 0) / 10,
         )
         before += len(b.text)
     return x

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 #: Elements whose content is no page text, those of them whose content is tags and not mere text, elements
@@ -32,21 +34,56 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _PART = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An open element and, through its parent, those around it; equal parts of paths are shared."""
+
+    __slots__ = ("parent", "tag", "names", "depth", "linked", "solid", "mask")
+
+    def __init__(self, parent: Path | None, tag: str, names: tuple[str, ...]):
+        self.parent, self.tag, self.names, self.mask = parent, tag, names, None
+        self.depth = parent.depth + 1 if parent else 1
+        self.linked = tag == "a" or bool(parent and parent.linked)
+        self.solid = (parent.solid if parent else None) if tag in INLINE else self  # the innermost element that isn't inside a line
+
+    @classmethod
+    def of(cls, parts: Iterable[tuple[str, tuple[str, ...]]]) -> Path | None:
+        """The path of (tag, names) from the outside in."""
+        path = None
+        for tag, names in parts:
+            path = cls(path, tag, names)
+        return path
+
+    def parts(self) -> list[tuple[str, tuple[str, ...]]]:
+        out, at = [], self
+        while at:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return out[::-1]
+
+
 @dataclass
 class Block:
-    """A run of text that no block element divides. path: (tag, names) from the outside in; linked: characters in links."""
+    """A run of text that no block element divides. path: its elements, None at the top; linked: characters in links."""
 
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    path: Path | None
     text: str
     linked: int = 0
 
 
 @dataclass
 class _Open:
-    path: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    path: Path | None = None
+    count: Counter = field(default_factory=Counter)
     text: list[str] = field(default_factory=list)
     link: list[str] = field(default_factory=list)
-    seen: tuple | None = None
+    began: bool = False
+    seen: Path | None = None
+
+    def pop(self) -> str:
+        tag = self.path.tag
+        self.path = self.path.parent
+        self.count[tag] -= 1
+        return tag
 
 
 def _spans(page: str, tag: str) -> dict[int, int]:
@@ -71,17 +108,17 @@ def blocks(page: str | None) -> list[Block]:
     def add(raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            if not text.isspace() and state.seen is None:
-                state.seen = tuple(state.path)
+            if not text.isspace() and not state.began:
+                state.began, state.seen = True, state.path
             state.text.append(text)
-            if any(tag == "a" for tag, _ in state.path):
+            if state.path and state.path.linked:
                 state.link.append(text)
 
     def end_block() -> None:
         text = " ".join("".join(state.text).split())
         if text:
-            out.append(Block(state.seen or tuple(state.path), text, len(" ".join("".join(state.link).split()))))
-        state.text, state.link, state.seen = [], [], None
+            out.append(Block(state.seen, text, len(" ".join("".join(state.link).split()))))
+        state.text, state.link, state.began, state.seen = [], [], False, None
 
     while m := _TAG.search(page, at):
         add(page[at : m.start()])
@@ -93,8 +130,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag not in INLINE and tag not in UNSEEN:
             end_block()
         if end:
-            if any(t == tag for t, _ in state.path):
-                while state.path.pop()[0] != tag:
+            if state.count[tag]:
+                while state.pop() != tag:
                     pass
             continue
         if tag in UNSEEN and not rest.endswith("/"):
@@ -109,16 +146,14 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             add(" ")
         if tag not in INLINE:
-            ends = ENDS.get(tag, set()) | {"p"}
-            for k in range(len(state.path) - 1, -1, -1):
-                if state.path[k][0] in ends:
-                    del state.path[k:]
-                    break
-                if state.path[k][0] not in INLINE:
-                    break
+            solid = state.path.solid if state.path else None
+            if solid and (solid.tag == "p" or solid.tag in ENDS.get(tag, ())):
+                while state.path is not solid.parent:
+                    state.pop()
         if tag not in VOID and not rest.endswith("/"):
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).lower() if "=" in rest else ""
-            state.path.append((tag, tuple(_PART.findall(names))))
+            state.path = Path(state.path, tag, tuple(_PART.findall(names)))
+            state.count[tag] += 1
     add(page[at:])
     end_block()
     return out
