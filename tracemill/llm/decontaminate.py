@@ -13,16 +13,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as ddl
 
+from . import store
 from .resident import resident
 
 #: Share of an item's characters that may differ, and characters of items that are sent out at a time.
@@ -128,19 +131,31 @@ def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     chunks = max(1, ceil(total / chunk))
-    docs = docs.drop(HITS).withColumn(HITS, F.array().cast(_TYPE))
+    docs, spark = docs.drop(HITS), docs.sparkSession
+    of = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).orderBy("item_id", "text").toArrow()
+    if chunks == 1:
+        return _scan(docs, spark.sparkContext.broadcast((_rows(of(0)), error_rate)))
+    # One chunk at a time is on the executors: its hits are written before the next is sent, and the text of each document is read again.
+    folder, row = store.shared_dir(spark), f"{HITS}_row"
+    base = store.written(docs.withColumn(row, F.monotonically_increasing_id()), folder, "docs")
+    parts = []
     for k in range(chunks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).orderBy("item_id", "text").toArrow()
-        rows = [(i, normal(t)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-        docs = _scan(docs, rows, error_rate)
-    return docs
+        held = spark.sparkContext.broadcast((_rows(of(k)), error_rate))
+        found = _scan(base.select(row, "text"), held).where(F.size(HITS) > 0).select(row, HITS)
+        parts.append(store.written(found, folder, f"hits{k}"))
+        held.unpersist()
+    hits = reduce(DataFrame.unionByName, parts).select(row, F.explode(HITS).alias("hit")).groupBy(row).agg(F.array_sort(F.collect_list("hit")).alias(HITS))
+    return base.join(hits, row, "left").withColumn(HITS, F.coalesce(HITS, F.array().cast(_TYPE))).drop(row)
 
 
-def _scan(docs: DataFrame, rows: list[tuple[int, str]], error_rate: float) -> DataFrame:
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((rows, error_rate))
+def _rows(part: pa.Table) -> list[tuple[int, str]]:
+    return [(i, normal(t)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+
+
+def _scan(docs: DataFrame, held: Broadcast) -> DataFrame:
+    """docs with the hits of the items of one chunk."""
     name = uuid4().hex
-    schema = StructType([*docs.schema[:-1], StructField(HITS, ddl(_TYPE))])
+    schema = StructType([*docs.schema, StructField(HITS, ddl(_TYPE))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +164,7 @@ def _scan(docs: DataFrame, rows: list[tuple[int, str]], error_rate: float) -> Da
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = batch.column(batch.schema.get_field_index("text"))
-                before = batch.column(batch.num_columns - 1).to_pylist()
-                hits = [
-                    [*old, *({"item_id": i, "distance": d, "start": s, "length": n} for i, d, s, n in index.hits(normal(t.as_py())))]
-                    for t, old in zip(texts, before, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], batch.schema.names)
+                hits = [[{"item_id": i, "distance": d, "start": s, "length": n} for i, d, s, n in index.hits(normal(t.as_py()))] for t in texts]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, HITS])
 
     return docs.mapInArrow(run, schema)
