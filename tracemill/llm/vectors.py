@@ -25,22 +25,8 @@ from . import store
 
 #: Vectors of a block, leading axes of the boxes and of the cells, intervals that an interval is divided in.
 BLOCK, LEAD, GRID, FAN = 1024, 8, 4, 16
-
-
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """dim, embedding -> sums over the partition's unit vectors: dim, i, their number, their i-th sum, products with the i-th."""
-    sums: dict[int, list] = {}
-    for batch in batches:
-        dims = batch.column(0).to_numpy()
-        for dim in np.unique(dims).tolist():
-            x = _unit(np.stack(batch.column(1).filter(pa.array(dims == dim)).to_numpy(zero_copy_only=False)).astype(np.float64))
-            n, s, p = sums.get(dim, (0, 0.0, 0.0))
-            sums[dim] = n + len(x), s + x.sum(0), p + x.T @ x
-    for dim, (n, s, p) in sums.items():
-        yield pa.RecordBatch.from_pydict({
-            "dim": np.repeat(dim, dim * dim), "i": np.repeat(np.arange(dim), dim), "j": np.tile(np.arange(dim), dim),
-            "n": np.repeat(n, dim * dim), "s": np.repeat(s, dim), "p": p.ravel(),
-        }, schema=pa.schema([("dim", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64()), ("s", pa.float64()), ("p", pa.float64())]))
+#: Numbers of the sample of vectors that the axes are fitted to.
+SAMPLE = 2_000_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -49,16 +35,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def axes(distinct: DataFrame) -> dict[int, np.ndarray]:
-    """By dimension the leading principal axes (columns) of all vectors; sums of dim * dim numbers reach the driver."""
-    rows = distinct.select(F.col("dim").cast("long"), "embedding").mapInArrow(_moments, "dim long, i long, j long, n long, s double, p double")
-    total = rows.groupBy("dim", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("p").alias("p")).toPandas()
-    out = {}
-    for dim, part in total.groupby("dim"):
-        part = part.sort_values(["i", "j"])
-        n, p = int(part["n"].iloc[0]), part["p"].to_numpy().reshape(dim, dim)
-        mean = part["s"].to_numpy().reshape(dim, dim)[:, 0] / n
-        _, vectors = np.linalg.eigh(p / n - np.outer(mean, mean))
-        out[int(dim)] = vectors[:, ::-1][:, :LEAD]
+    """By dimension the leading principal axes (columns), of a sample by hash of about SAMPLE numbers.
+
+    The axes steer only which blocks are skipped, never what links. A dimension with few vectors in the sample has none.
+    """
+    numbers = distinct.agg(F.sum(F.col("dim").cast("long")).alias("n")).first()["n"] or 0
+    some = distinct.where(F.pmod(F.xxhash64(F.lit(1), "hash", "rep"), F.lit(-(-numbers // SAMPLE) or 1)) == 0).select("dim", "embedding").toArrow()
+    dims, out = some.column(0).to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        rows = some.column(1).filter(pa.array(dims == dim))
+        if len(rows) > LEAD:
+            x = _unit(np.stack(rows.to_numpy()).astype(np.float64))
+            x -= x.mean(0)
+            out[dim] = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :LEAD] if dim <= len(x) else np.linalg.svd(x, full_matrices=False)[2][:LEAD].T
     return out
 
 
@@ -71,7 +60,7 @@ def _turned(held):
             lead: list = [None] * batch.num_rows
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                for i, y in zip(at, _unit(np.stack(rows[at]).astype(np.float64)) @ held.value[dim], strict=True):
+                for i, y in zip(at, _unit(np.stack(rows[at]).astype(np.float64)) @ held.value.get(dim, np.eye(dim, min(dim, LEAD))), strict=True):
                     lead[i] = np.pad(y, (0, LEAD - len(y)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.list_(pa.float64()))], [*batch.schema.names, "lead"])
 
