@@ -253,7 +253,7 @@ def test_blocks():
       <b>bold<br>line<p>Next<script>if (a < b) "</p>"</script> more</p><ul><li>x<li>y</ul><div class='Side-Bar x' id=q>z</div>t<style>p{}</style>&am"""
     got = blocks(page)
     assert [b.text for b in got] == ["One & <two bold line", "Next more", "x", "y", "z", "t&am"]
-    assert got[4].path[-1] == ("div", ("side", "bar", "x", "q"))
+    assert got[4].path.parts()[-1] == ("div", ("side", "bar", "x", "q"))
     assert [b.text for b in blocks("a < b <p>c <div cla")] == ["a < b", "c"]
     assert blocks(None) == [] == blocks("")
 
@@ -263,7 +263,7 @@ def test_blocks_without_end_tags(tag):
     text = lambda page: [b.text for b in blocks(page)]
     head = "<html><head><meta charset=utf-8><title>t</title><script>x</script><style>p{}</style>"
     for page in (f"{head}<body><article><p>One<p>Two</article>", f"{head}<p>One<p>Two", "<html><head>One<p>Two"):
-        assert text(page) == ["One", "Two"] and not any(t == "head" for b in blocks(page) for t, _ in b.path)
+        assert text(page) == ["One", "Two"] and not any(t == "head" for b in blocks(page) for t, _ in (b.path.parts() if b.path else []))
     assert text(f"{head}<{tag}></head><body><p>One<p>Two") == ["One", "Two"]
     assert text(f"<p>One<{tag} class='a>b'><p>Two") == ["One", "Two"]
     assert text(f"<p>One<{tag}><p>Two<{tag}>no</{tag}><p>Three<{tag}") == ["One", "Two", "Three"]
@@ -289,3 +289,27 @@ def test_extraction(spark):
     got = {r.page_id: r for r in extract.extract(df).collect()}
     assert got[1].text == "Title here\nFirst paragraph of the text.\nRe.\nThird one, longer than the others by some words." and got[1].n_chars == len(got[1].text)
     assert [got[k].text for k in (2, 3, 4)] == ["", "", ""]
+
+
+def test_deep_pages():
+    """Tags that are never closed: paths share their parts, so a page of a megabyte takes seconds."""
+    import time
+
+    began = time.time()
+    got = blocks("<div>x " * 100_000)
+    extract.features(got[:5000])
+    assert len(got) == 100_000 and got[-1].path.depth == 100_000 and time.time() - began < 30
+    assert [b.text for b in blocks("<b>" * 20_000 + "<p>a</span></i>" * 20_000)][:1] == ["a"]
+
+
+def test_decontaminate_chunks(spark):
+    """A benchmark of many chunks gives the hits that one chunk gives, rows repeated and clashing columns included."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(300)}" for _ in range(3000)]
+    items = [(i, " ".join(words[i * 20 : i * 20 + 12])) for i in range(60)] + [(60, None), (61, " "), (62, "w1")]
+    docs = [(i, " ".join(words[s : s + 60]), "own") for i, s in enumerate(rng.choices(range(1400), k=40))] + [(0, None, "own"), (1, "", "own"), (1, "", "own")]
+    bench, rows = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string, bench_hits string")
+    plain = lambda df: sorted((r.doc_id, r.text or "", [tuple(h) for h in r.bench_hits]) for r in df.collect())
+    one = plain(decontaminate.find(rows, bench))
+    assert one == plain(decontaminate.find(rows, bench, chunk=900)) and any(h for _, _, h in one) and len(one) == len(docs)
+    assert decontaminate.find(rows.limit(0), bench, chunk=900).count() == 0 and not any(h for _, _, h in plain(decontaminate.find(rows, bench.limit(0))))
