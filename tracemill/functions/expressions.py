@@ -107,9 +107,8 @@ def tokens(text: Column) -> Column:
 
 def is_useful(e: Column, limit: float = 100_000) -> Column:
     """Precedence matters, and the answer and every intermediate result are within the limit."""
-    trace = precedence_trace(e)
-    return (
-        F.array_contains(e["operators"], "*") & F.exists(e["operators"], lambda x: x != "*") & (left_to_right(e) != trace["answer"])
-        & (F.abs(trace["answer"]) <= limit) & F.forall(trace["steps"], lambda s: F.abs(s["result"]) <= limit)
-    )
-
+    within = lambda trace: (
+        (left_to_right(e) != trace["answer"]) & (F.abs(trace["answer"]) <= limit) & F.forall(trace["steps"], lambda s: F.abs(s["result"]) <= limit)
+    )
+    mixed = F.array_contains(e["operators"], "*") & F.exists(e["operators"], lambda x: x != "*")
+    return mixed & F.get(F.transform(F.array(precedence_trace(e)), within), F.lit(0))

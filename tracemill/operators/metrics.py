@@ -42,18 +42,11 @@ def counts_over(df: DataFrame, column: str, domain: Sequence, by: Sequence[str]
     return df.groupBy(*by).agg(*(F.count_if(F.col(column) == v).alias(f"n_{v}") for v in domain))
 
 
-def nearest_rank(value: Column, fraction: float) -> Column:
-    """The value at the rank nearest to the fraction, ranks that lie half-way going to the even one; 0 without rows.
+def nearest_rank_by(df: DataFrame, value: str, fraction: float, by: Sequence[str] = (), name: str = "value") -> DataFrame:
+    """The value at the rank nearest to the fraction, ranks that lie half-way going to the even one, for groups of any size.
 
-    From exact counts by value, so a group's rows meet as counts of distinct values, not as one list.
+    From counts by value and their running sum, not from a list of all rows.
     """
-    ordered = F.array_sort(F.collect_list(value))
-    at = F.least(F.size(ordered) - 1, F.bround((F.size(ordered) - 1) * F.lit(fraction)).cast("int"))
-    return F.coalesce(F.get(ordered, at), F.lit(0))
-
-
-def nearest_rank_by(df: DataFrame, value: str, fraction: float, by: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """nearest_rank for groups of any size: counts by value and their running sum in place of a list of all rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
     own = Window.partitionBy(*by)
     running = counts.withColumn("__to", F.sum("__c").over(own.orderBy(value))).withColumn("__n", F.sum("__c").over(own))

@@ -9,24 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tracemill-")
+    """A new folder under the cluster's spark.checkpoint.dir; only on a local master, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tracemill-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
-    """A table as a stream of its files, some at a time."""
+    """A table as a stream of its files, some at a time; path is a folder or a single file."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows of a stream after all input there is: those appended, or those of its last complete result."""
+    """The rows of a stream after all input there is: those appended, or those of its last complete result.
+
+    Each batch of an append has a folder named by its number, so a batch that is tried again replaces itself.
+    """
     spark, folder = stream.sparkSession, scratch(stream.sparkSession)
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/rows")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/__batch={number if mode == 'append' else 0}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
