@@ -81,3 +81,11 @@ def test_quota_edges(spark):
         sampling.quotas(spark.createDataFrame([("a", 2)], "name string, size long"), "name", "size", 3).collect()
     even = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "name string, size long")
     assert {r.name: r.quota for r in sampling.quotas(even, "name", "size", 4).collect()} == {"a": 1, "b": 1, "c": 2}
+
+
+def test_document_is_replaced_whole(spark, tmp_path):
+    path = tmp_path / "r.json"
+    for n in (1, 2):
+        writers.document(spark.range(1).select(F.lit(n).alias("n")), str(path))
+        assert path.is_file() and readers.document(spark, str(path)).first().n == n
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["r.json"]

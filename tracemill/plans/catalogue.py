@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, kernels, samples, sets, streams  # noqa: F401  their queries register on import
+from . import aggregates, artifacts, kernels, samples, sets, streams  # noqa: F401  their queries register on import
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, transcripts
 from ..operators import mixing
+from ..streaming.run import scratch
 from .registry import query, table
 
 C = F.col
@@ -19,10 +20,10 @@ def lookup_join(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN p.page_id IS NOT NULL THEN p.url ELSE d.source END AS source, CASE WHEN p.page_id IS NOT NULL THEN NULL ELSE d.lang END AS lang
-FROM documents d LEFT JOIN (SELECT * FROM pages WHERE page_id % 2 = 0) p ON d.doc_id = p.page_id""")
+FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id""")
 def replace_merge(spark, d):
     """Whole rows replaced by key; a null of the replacement wins."""
-    new = table(spark, d, "pages").where("page_id % 2 = 0").select(C("page_id").alias("doc_id"), C("url").alias("source"), F.lit(None).cast("string").alias("lang"))
+    new = table(spark, d, "pages").select(C("page_id").alias("doc_id"), C("url").alias("source"), F.lit(None).cast("string").alias("lang"))
     return mixing.replace_rows(table(spark, d, "documents").select("doc_id", "source", "lang"), new, "doc_id")
 
 
@@ -52,20 +53,21 @@ def positional_zip(spark, d):
     return table(spark, d, "events").select("event_id", F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["a"] * p["b"]).alias("dot"))
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM documents WHERE doc_id % 5 = 0)) AS overlapping,
-  (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0) AS missing, 0::BIGINT AS "foreign" """)
+@query("""WITH parts AS (SELECT doc_id FROM labels UNION ALL SELECT page_id FROM pages), n AS (SELECT doc_id, count(*) AS n FROM parts GROUP BY 1)
+SELECT (SELECT count(*) FROM n WHERE n > 1) AS overlapping, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM parts)) AS missing,
+  (SELECT count(*) FROM (SELECT doc_id FROM parts EXCEPT SELECT doc_id FROM documents)) AS "foreign" """)
 def partition_check(spark, d):
     """Overlaps and gaps of parts against their universe."""
-    docs = table(spark, d, "documents").select("doc_id")
-    return mixing.partition_check(docs, [docs.where("doc_id % 3 = 0"), docs.where("doc_id % 5 = 0")], "doc_id")
+    parts = [table(spark, d, "labels").select("doc_id"), table(spark, d, "pages").select(C("page_id").alias("doc_id"))]
+    return mixing.partition_check(table(spark, d, "documents").select("doc_id"), parts, "doc_id")
 
 
-@query("""SELECT 0::BIGINT AS only_a, (SELECT count(*) FROM documents WHERE doc_id % 4 <> 0) AS only_b, (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS common,
-  (SELECT count(*) FROM documents WHERE doc_id % 4 <> 0) > 0 AS strict_subset""")
+@query("""WITH a AS (SELECT DISTINCT doc_id FROM labels), b AS (SELECT DISTINCT doc_id FROM documents), n AS (SELECT count(*) FILTER (WHERE b.doc_id IS NULL) AS only_a,
+  count(*) FILTER (WHERE a.doc_id IS NULL) AS only_b, count(*) FILTER (WHERE a.doc_id = b.doc_id) AS common FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+SELECT *, only_a = 0 AND only_b > 0 AS strict_subset FROM n""")
 def strict_subset(spark, d):
     """One set of ids strictly within another."""
-    docs = table(spark, d, "documents").select("doc_id")
-    return mixing.subset_check(docs.where("doc_id % 4 = 0"), docs, "doc_id")
+    return mixing.subset_check(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
 @query("SELECT p.policy, s.split, x.seed FROM (VALUES ('base'), ('tuned')) p(policy) CROSS JOIN (SELECT DISTINCT lang AS split FROM documents) s CROSS JOIN (VALUES (1), (2), (3)) x(seed)")
@@ -83,21 +85,22 @@ def union_of_splits(spark, d):
     return mixing.union_all(table(spark, d, "documents").select(C("doc_id").alias("id"), C("lang").alias("domain")), table(spark, d, "pages").select(C("page_id").alias("id"), "url"))
 
 
-@query("""SELECT doc_id, 'left' AS side FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT l.doc_id, 'right' FROM labels l JOIN documents d USING (doc_id) WHERE false
-EXCEPT ALL SELECT doc_id, 'left' FROM documents WHERE doc_id % 7 = 0 AND doc_id % 14 = 0""")
+@query("""WITH b AS (SELECT doc_id, CASE WHEN page_id IS NULL THEN source ELSE url END AS source FROM documents LEFT JOIN pages ON doc_id = page_id)
+SELECT *, 'left' AS side FROM (SELECT doc_id, source FROM documents EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT doc_id, source FROM documents)""")
 def symmetric_difference(spark, d):
-    """V3: rows on one side only, both ways."""
-    docs = table(spark, d, "documents").select("doc_id")
-    return mixing.symmetric_difference(docs.where("doc_id % 7 = 0"), docs.where("doc_id % 14 = 0"))
+    """V3: what a replacement changed, after saving and loading: rows on one side only, both ways."""
+    docs, path = table(spark, d, "documents").select("doc_id", "source"), scratch(spark)
+    pages = table(spark, d, "pages").select(C("page_id").alias("doc_id"), C("url").alias("source"))
+    mixing.replace_rows(docs, pages, "doc_id").write.parquet(path)
+    return mixing.symmetric_difference(docs, spark.read.parquet(path))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT page_id + 1000000, 'new' FROM pages")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages) UNION ALL SELECT page_id, 'new' FROM pages")
 def merge_right_wins(spark, d):
     """Two keyed sets merged, the right one first."""
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    right = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("lang")).unionByName(
-        table(spark, d, "pages").select((C("page_id") + 1000000).alias("doc_id"), F.lit("new").alias("lang")))
-    return mixing.merge_right_wins(docs, right, "doc_id")
+    right = table(spark, d, "pages").select(C("page_id").alias("doc_id"), F.lit("new").alias("lang"))
+    return mixing.merge_right_wins(table(spark, d, "documents").select("doc_id", "lang"), right, "doc_id")
 
 
 @query("""SELECT percent, doc_id, CASE WHEN doc_id % 10 < percent // 10 THEN 'new' ELSE lang END AS lang, doc_id % 10 < percent // 10 AS replaced

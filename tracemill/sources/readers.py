@@ -78,8 +78,8 @@ def document(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """archive, member, content of the members of ZIP archives whose names end in suffix; one archive at a time is held by a task."""
+def members(archives: DataFrame, suffix: str = ".json") -> DataFrame:
+    """archive, member, content of the members of ZIP archives (path, content) whose names end in suffix; a task holds one archive at a time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -89,7 +89,12 @@ def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFr
                         if m.endswith(suffix):
                             yield pd.DataFrame([(name, m, z.read(m).decode("utf-8"))], columns=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content string")
+    return archives.select("path", "content").mapInPandas(run, "archive string, member string, content string")
+
+
+def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """The members of the ZIP archives at a path."""
+    return members(spark.read.format("binaryFile").load(path), suffix)
 
 
 def device_sample(line: Column, timestamp: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -22,8 +23,16 @@ def json_lines(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def document(df: DataFrame, path: str) -> None:
-    """A small result as JSON; readers see the old content or the new, as the commit protocol renames it into place."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A small result as one JSON file. Written beside its place and moved there in one step, so readers see the old file or the new."""
+    spark, beside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.json(beside)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = fs.FileContext.getFileContext(fs.Path(beside).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    part = files.util().globStatus(fs.Path(f"{beside}/part-*"))[0].getPath()
+    replacing = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    replacing[0] = getattr(fs, "Options$Rename").OVERWRITE
+    files.rename(part, fs.Path(path), replacing)
+    files.delete(fs.Path(beside), True)
 
 
 def append(df: DataFrame, path: str) -> None:
