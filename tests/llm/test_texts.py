@@ -1,6 +1,7 @@
 """The operators on single texts against brute force, round trips and held-out rows."""
 
 import random
+from collections import Counter
 import struct
 import zlib
 
@@ -313,3 +314,72 @@ def test_decontaminate_chunks(spark):
     one = plain(decontaminate.find(rows, bench))
     assert one == plain(decontaminate.find(rows, bench, chunk=900)) and any(h for _, _, h in one) and len(one) == len(docs)
     assert decontaminate.find(rows.limit(0), bench, chunk=900).count() == 0 and not any(h for _, _, h in plain(decontaminate.find(rows, bench.limit(0))))
+
+
+def _license_texts():
+    rng = random.Random(8)
+    word = lambda: rng.choice("license the of rights alpha beta gamma delta permission software copies".split())
+    rows = [None, "", " ", "MIT", "released under", "All rights reserved. " * 300, "released under the mit license"]
+    for n in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            parts += [word() for _ in range(rng.randint(0, 60))]
+            _, notice = rng.choice(licenses.TEMPLATES + licenses.BODIES)
+            w = notice.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 12))):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], [word()], [w[at], word()]])
+            parts += w[rng.choice([0, 0, 1, 3]) :] if not parts else w
+        parts += [word() for _ in range(rng.randint(0, 30))]
+        rows.append("".join(p + rng.choice([" ", " ", "\n * ", "  "]) for p in parts))
+    return rows
+
+
+def test_license_spans(spark, tmp_path):
+    """Against brute force over every window, and the query against its SQL, on notices with edits, cut off, within lines and over many."""
+    import duckdb
+
+    from tracemill.llm import queries
+
+    rows = _license_texts()
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(rows)], "doc_id long, text string, license string, word_no int, k int")
+    got = {(r.doc_id, r.word_no, r.n_words, r.license, r.dice) for r in licenses.spans(docs).collect()}
+    want, templates = set(), licenses.TEMPLATES + licenses.BODIES
+    places = licenses.anchors(templates, 0.8)
+    for i, text in enumerate(rows):
+        g = licenses.template_bigrams(text or "")
+        for k, (name, t) in enumerate(templates):
+            t = licenses.template_bigrams(t)
+            starts = sorted({a - q for a, b in enumerate(g) for kk, q, c in places if kk == k and b == c})
+            run, last = [], None
+            for s in [*starts, None]:
+                window = g[max(0, s) : s + len(t)] if s is not None else []
+                d = 2.0 * sum((Counter(window) & Counter(t)).values()) / (len(window) + len(t))
+                if s is not None and d < 0.8:
+                    continue
+                if run and (s is None or s - last > len(t)):
+                    d_best, at = min(run)
+                    want.add((i, at + 1, len(t) + 1, name, round(-d_best, 6)))
+                    run = []
+                run.append((-d, s))
+                last = s
+    assert got == want and len(want) > 100
+    assert licenses.spans(docs.unionByName(docs)).count() == 2 * len(want)
+    assert licenses.spans(docs.limit(0)).count() == 0 and licenses.spans(docs, []).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    q = queries.queries()["op2_license_scan"](spark, str(tmp_path))
+    sql = c.execute(queries.oracle_sql()["op2_license_scan"]).fetchdf()[q.columns]
+    assert sorted(map(tuple, q.collect())) == sorted(sql.itertuples(index=False, name=None))
+
+
+def test_license_spans_find_planted(spark):
+    """A header of many lines within a file, and a notice within a line, at their places."""
+    head = licenses.BODIES[0][1].split(" ")
+    lines = "\n".join("# " + " ".join(head[i : i + 9]) for i in range(0, len(head), 9))
+    text = f"import os\n{lines}\nprint(1)\nThis file is Released under the MIT License. See LICENSE for more.\n" + "def f(x): return x\n" * 4000
+    rows = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in licenses.spans(rows).orderBy("word_no").collect()]
+    long = len(licenses.template_words(licenses.BODIES[0][1]))
+    assert got == [(3, long, "MIT", 1.0), (3 + long + 5, 5, "MIT", 1.0)]

@@ -6,6 +6,10 @@ common bigrams, counted with repeats, over the sum of their bigrams. At a thresh
 only match a template with m if t / (2 - t) * m <= n <= (2 - t) / t * m, and it then holds all but few of the
 template's bigrams; so of any few probe bigrams of a template a match holds one. Units without a probe's words
 are dropped before any bigram is made, and the rest meet only templates whose sizes and probes they fit.
+
+spans() finds notices and license texts wherever they stand in a text: wrapped over lines, inside a line or
+between other prose. Its units are windows of a template's own number of words, each laid where a probe bigram of
+the text meets its place in the template.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
@@ -37,6 +42,51 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
+#: Standard headers and the operative parts of license texts, as (SPDX id, text).
+BODIES = [
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
+        "or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details.",
+    ),
+]
+
 
 def template_words(text: str) -> list[str]:
     """The words of a template, as words() has them for columns."""
@@ -81,6 +131,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def dice(b: Column, t: Column) -> Column:
+    """Dice coefficient of two lists of bigrams, repeats counted."""
+    times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
+    common = F.aggregate(F.array_distinct(t), F.lit(0), lambda n, g: n + F.least(times(b, g), times(t, g)))
+    return 2.0 * common / (F.size(b) + F.size(t))
+
+
+def anchors(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, int, str]]:
+    """Template number, place and bigram of every place at which a template has one of its probes."""
+    probe = probes(templates, threshold)
+    return [(k, q, b) for k, (_, t) in enumerate(templates) for q, b in enumerate(template_bigrams(t)) if b in probe[k]]
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Matches of units of docs with templates: doc_id, line_no, license, dice.
 
@@ -121,10 +184,63 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     met = made.select("doc_id", "line_no", "unit_id", "b", F.explode(F.array_distinct("b")).alias("probe")).join(F.broadcast(by_probe), "probe")
     met = met.where(F.size("b").between(F.col("low"), F.col("high"))).dropDuplicates(["unit_id", "license", "t"])
     met = met.select("doc_id", "line_no", "unit_id", "license", "b", "t")
-    times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    common = F.aggregate(F.array_distinct("t"), F.lit(0), lambda n, g: n + F.least(times("b", g), times("t", g)))
-    scored = met.select("doc_id", "line_no", "unit_id", "license", (2.0 * common / (F.size("b") + F.size("t"))).alias("dice"))
+    scored = met.select("doc_id", "line_no", "unit_id", "license", dice(F.col("b"), F.col("t")).alias("dice"))
     best = scored.where(F.col("dice") >= threshold).groupBy("unit_id").agg(
         F.min(F.struct((-F.col("dice")).alias("d"), "license", "doc_id", "line_no")).alias("m")
     )
     return best.select("m.doc_id", "m.line_no", "m.license", F.round(-F.col("m.d"), 6).alias("dice"))
+
+
+def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Places of templates within whole texts: doc_id, word_no, n_words (the template's), license, dice. templates: those of lines and the BODIES unless given.
+
+    A window begins where a bigram of the text, laid on the same probe bigram of a template, puts the template's
+    first word, and has as many words as the template, less what would stand outside the text. Of windows of one
+    template that overlap, each with the next, the one with the highest coefficient is given, the first of equals;
+    windows below the threshold give none. word_no counts from 1 and is less for a template whose beginning is cut
+    off by the start of the text. Null, empty and blank texts, texts of one word and templates of fewer than two
+    words match nothing; an empty table gives an empty result; repeated rows match each for itself. More columns
+    of docs are ignored. 0 < threshold <= 1.
+    """
+    templates = [(n, t) for n, t in (TEMPLATES + BODIES if templates is None else templates) if template_bigrams(t)]
+    spark, places = docs.sparkSession, anchors(templates, threshold)
+    need = sorted({max(b.split(" "), key=lambda w: (len(w), w)) for *_, b in places})
+    # A place of a template as one number: the template's in the upper bits, below it the start that it gives, less the anchor's own place.
+    high, zero = 40, 1 << 20
+    codes: dict[str, list[int]] = {}
+    for k, q, b in places:
+        codes.setdefault(b, []).append((k << high) + zero - q)
+    if not codes:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("word_no"), F.lit(0).cast("long").alias("n_words"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).where(F.lit(False))
+    by_probe = F.create_map(*(x for b, c in codes.items() for x in (F.lit(b), F.array(*(F.lit(v).cast("long") for v in c)))))
+    sizes = F.array(*(F.lit(len(template_bigrams(t))) for _, t in templates))
+    bodies = F.array(*(F.array(*(F.lit(b) for b in template_bigrams(t))) for _, t in templates))
+
+    raw = docs.select("doc_id", F.split(F.lower("text"), "[^a-z0-9]+").alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, need))))
+    # The explode of one list keeps its words from being cut anew wherever they are used.
+    texts = raw.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.explode(F.array(F.filter("w", lambda w: w != ""))).alias("w")).where(F.size("w") > 1)
+    pair = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))
+    firsts = sorted({b.split(" ")[0] for b in codes})
+    hits = F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.get("w", i).isin(firsts) & pair(i).isin(list(codes)))
+    laid = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(by_probe, pair(i)), lambda c: c + i))))
+    number = lambda c: F.shiftright(c, high).cast("int")
+    start = lambda c: (c.bitwiseAND(F.lit((1 << high) - 1)) - zero).cast("int")
+
+    first = lambda c: F.greatest(start(c), F.lit(0))
+    last = lambda c: F.least(start(c) + F.get(sizes, number(c)), F.size("w") - 1) - 1
+    window = lambda c: F.transform(F.sequence(first(c), last(c)), pair)
+
+    # What a window and its template have in common is at most the bigrams of both, with the template's repeats.
+    distinct = F.array(*(F.lit(len(t) - len(set(t))) for t in (template_bigrams(x) for _, x in templates)))
+    most = lambda c: F.size(F.array_intersect(window(c), F.get(bodies, number(c)))) + F.get(distinct, number(c))
+    least = lambda c: threshold * (last(c) - first(c) + 1 + F.get(sizes, number(c))) - 1e-9
+    near = texts.select("doc_id", "row_id", "w", F.filter(laid, lambda c: 2.0 * most(c) >= least(c)).alias("codes"))
+    found = near.where(F.size("codes") > 0).select("doc_id", "row_id", F.inline(F.transform("codes", lambda c: F.struct(number(c).alias("k"), start(c).alias("s"), window(c).alias("b")))))
+    table = spark.createDataFrame([(k, n, template_bigrams(t)) for k, (n, t) in enumerate(templates)], "k int, license string, t array<string>")
+    scored = found.join(F.broadcast(table), "k").select("doc_id", "row_id", "k", "s", "license", F.size("t").alias("m"), dice(F.col("b"), F.col("t")).alias("dice"))
+    order = Window.partitionBy("row_id", "k").orderBy("s")
+    begins = F.coalesce(F.col("s") - F.lag("s").over(order) > F.col("m"), F.lit(True)).cast("int")
+    runs = scored.where(F.col("dice") >= threshold).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    best = runs.groupBy("row_id", "k", "run").agg(F.min(F.struct((-F.col("dice")).alias("d"), "s", "m", "license", "doc_id")).alias("b"))
+    place = (F.col("b.s") + 1).cast("long").alias("word_no"), (F.col("b.m") + 1).cast("long").alias("n_words")
+    return best.select("b.doc_id", *place, "b.license", F.round(-F.col("b.d"), 6).alias("dice"))

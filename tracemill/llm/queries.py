@@ -35,8 +35,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in every document, by line or as the whole text."""
-    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """License notices in every document: by line, as the whole text (line 0), and at any place of it (line -1, with the place's first word and the template's words)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    units = licenses.scan(docs).select("doc_id", "line_no", F.lit(0).cast("long").alias("word_no"), F.lit(0).cast("long").alias("n_words"), "license", "dice")
+    return units.unionByName(licenses.spans(docs).select("doc_id", F.lit(-1).alias("line_no"), "word_no", "n_words", "license", "dice"))
 
 
 _oracles["op2_license_scan"] = """
@@ -58,10 +60,33 @@ both_ AS (SELECT uc.doc_id, uc.line_no, tc.license, sum(least(uc.n, tc.n)) AS c
 scored AS (
   SELECT doc_id, line_no, license, 2.0 * c::DOUBLE / (us.m + ts.m)::DOUBLE AS dice
   FROM both_ JOIN us USING (doc_id, line_no) JOIN ts USING (license)
+),
+units_found AS (
+  SELECT doc_id, line_no::INTEGER AS line_no, 0::BIGINT AS word_no, 0::BIGINT AS n_words, license, round(dice, 6) AS dice FROM scored WHERE dice >= {threshold}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) = 1
+),
+bodies(k, license, text) AS (VALUES {bodies}),
+places(k, q, g) AS (VALUES {places}),
+bw AS (SELECT k, license, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM bodies),
+bc AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM bw) GROUP BY ALL),
+bs AS (SELECT k, license, len(w) - 1 AS m FROM bw),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+dg AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM dw WHERE len(w) > 1),
+laid AS (SELECT DISTINCT doc_id, k, i - q AS s FROM dg JOIN places USING (g)),
+wg AS (SELECT doc_id, k, s, g, count(*) AS n FROM laid JOIN bs USING (k) JOIN dg USING (doc_id) WHERE i BETWEEN s AND s + m - 1 GROUP BY ALL),
+wn AS (SELECT doc_id, k, s, sum(n) AS n FROM wg GROUP BY ALL),
+wc AS (SELECT doc_id, k, s, sum(least(wg.n, bc.n)) AS c FROM wg JOIN bc USING (k, g) GROUP BY ALL),
+near AS (SELECT doc_id, k, s, m, license, 2.0 * c::DOUBLE / (n + m)::DOUBLE AS dice FROM wc JOIN wn USING (doc_id, k, s) JOIN bs USING (k)),
+begun AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, k ORDER BY s) <= m THEN 0 ELSE 1 END AS b FROM near WHERE dice >= {threshold}),
+runs AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, k ORDER BY s) AS run FROM begun)
+SELECT * FROM units_found UNION ALL
+SELECT doc_id, -1, s + 1, m + 1, license, round(dice, 6) FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, k, run ORDER BY dice DESC, s) = 1
+""".format(
+    templates=", ".join("('{}', '{}')".format(*t) for t in licenses.TEMPLATES),
+    bodies=", ".join("({}, '{}', '{}')".format(k, *t) for k, t in enumerate(licenses.TEMPLATES + licenses.BODIES)),
+    places=", ".join("({}, {}, '{}')".format(*p) for p in licenses.anchors(licenses.TEMPLATES + licenses.BODIES, licenses.THRESHOLD)),
+    threshold=licenses.THRESHOLD,
 )
-SELECT doc_id, line_no::INTEGER AS line_no, license, round(dice, 6) AS dice FROM scored WHERE dice >= {threshold}
-QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) = 1
-""".format(templates=", ".join("('{}', '{}')".format(*t) for t in licenses.TEMPLATES), threshold=licenses.THRESHOLD)
 
 
 @_query
