@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import places
+
 
 def rate(metric: Column, digits: int = 4) -> Column:
     """Mean of a boolean or 0/1 column, rounded; null without rows."""
     return F.round(F.avg(metric.cast("double")), digits)
 
 
-def rates(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Count and rounded mean of each metric by group."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *(rate(F.col(m)).alias(m) for m in metrics))
+def rates(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), required: bool = False) -> DataFrame:
+    """Count and rounded mean of each metric by group. required: an input without rows is an error where there is no by."""
+    n = F.count("*")
+    if required and not by:
+        n = F.when(n == 0, F.raise_error(F.lit("no rows to average")).cast("bigint")).otherwise(n)
+    return df.groupBy(*by).agg(n.alias("n"), *(rate(F.col(m)).alias(m) for m in metrics))
 
 
 def rates_overall_and_by(df: DataFrame, metrics: Sequence[str], by: str) -> DataFrame:
@@ -31,10 +36,11 @@ def bucket(error: Column, name: str = "none") -> Column:
     return F.coalesce(F.nullif(error, F.lit("")), F.lit(name))
 
 
-def histogram(df: DataFrame, value: Column, name: str = "bucket") -> DataFrame:
-    """Rows by value with the rank by count, ties by value."""
-    counted = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), name)))
+def histogram(df: DataFrame, value: Column, name: str = "bucket", pos: str | None = None) -> DataFrame:
+    """Rows by value, few, with the rank by count, ties by value or, with pos, by first appearance in its order."""
+    first = F.min(pos) if pos else F.first(F.lit(0))
+    counted = df.groupBy(value.alias(name)).agg(F.count("*").alias("n"), first.alias("__first"))
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "__first", name))).drop("__first")
 
 
 def counts_over(df: DataFrame, column: str, domain: Sequence, by: Sequence[str] = ()) -> DataFrame:
@@ -47,20 +53,22 @@ def nearest_rank_by(df: DataFrame, value: str, fraction: float, by: Sequence[str
 
     From counts by value and their running sum, not from a list of all rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    own = Window.partitionBy(*by)
-    running = counts.withColumn("__to", F.sum("__c").over(own.orderBy(value))).withColumn("__n", F.sum("__c").over(own))
-    at = F.least(F.col("__n") - 1, F.bround((F.col("__n") - 1) * F.lit(fraction)).cast("long"))
-    return running.where((F.col("__to") > at) & (F.col("__to") - F.col("__c") <= at)).select(*by, F.col(value).alias(name))
+    last = F.col("__n_all") - 1
+    return places.at_ranks(df, value, by, {name: F.least(last, F.bround(last * F.lit(fraction)).cast("long"))}).select(*by, name)
+
+
+def percentile_by(df: DataFrame, value: str, fraction: float, by: Sequence[str] = (), name: str = "value") -> DataFrame:
+    """The percentile interpolated between the two nearest ranks, for groups of any size; groups without values are absent."""
+    at = (F.col("__n_all") - 1) * F.lit(fraction)
+    both = places.at_ranks(df, value, by, {"__low": F.floor(at), "__high": F.ceil(at)})
+    low, high = F.col("__low").cast("double"), F.col("__high").cast("double")
+    return both.select(*by, (low + (high - low) * (at - F.floor(at))).alias(name))
 
 
 def upper_median_by(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Least, middle (the upper of two) and greatest value of a group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    own = Window.partitionBy(*by)
-    running = counts.withColumn("__to", F.sum("__c").over(own.orderBy(value))).withColumn("__n", F.sum("__c").over(own))
-    middle = F.when((F.col("__to") > F.floor(F.col("__n") / 2)) & (F.col("__to") - F.col("__c") <= F.floor(F.col("__n") / 2)), F.col(value))
-    return running.groupBy(*by).agg(F.min(value).alias("low"), F.max(middle).alias("median"), F.max(value).alias("high"))
+    n = F.col("__n_all")
+    return places.at_ranks(df, value, by, {"low": F.lit(0), "median": F.floor(n / 2), "high": n - 1}).drop("__n_all")
 
 
 def token_usage(df: DataFrame, counts: str, by: Sequence[str] = ()) -> DataFrame:
@@ -75,11 +83,14 @@ def token_usage(df: DataFrame, counts: str, by: Sequence[str] = ()) -> DataFrame
 
 def telemetry_summary(df: DataFrame, used: str, free: str, total: str, utilization: str, power: str) -> DataFrame:
     """One row over all samples of a device."""
-    return df.agg(
+    p95 = percentile_by(df, utilization, 0.95, name="p95")
+    rest = df.agg(
         F.count("*").alias("samples"), F.max(total).alias("total_max"), F.max(used).alias("used_max"), F.min(free).alias("free_min"),
-        F.round(F.avg(utilization), 4).alias("utilization_mean"), F.round(F.percentile(F.col(utilization), F.lit(0.95)), 4).alias("utilization_p95"),
-        F.max(utilization).alias("utilization_max"), F.round(F.avg(power), 4).alias("power_mean"), F.max(power).alias("power_max"),
+        F.round(F.avg(utilization), 4).alias("utilization_mean"), F.max(utilization).alias("utilization_max"), F.round(F.avg(power), 4).alias("power_mean"),
+        F.max(power).alias("power_max"),
     )
+    return rest.join(p95, F.lit(True), "left").select(
+        "samples", "total_max", "used_max", "free_min", "utilization_mean", F.round("p95", 4).alias("utilization_p95"), "utilization_max", "power_mean", "power_max")
 
 
 def mean_of_rounded_means(df: DataFrame, metrics: Sequence[str], outer: Sequence[str], inner: Sequence[str]) -> DataFrame:
@@ -101,10 +112,11 @@ def non_finite(df: DataFrame, entries: str, pos: str) -> DataFrame:
 
 def running_rate(df: DataFrame, metric: str, pos: str, every: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """The mean of all rows so far after each `every` rows, and after the last."""
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = df.select(*by, F.row_number().over(own.orderBy(pos)).alias("seen"), F.count("*").over(own).alias("__n"),
-        F.round(F.avg(F.col(metric).cast("double")).over(own.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)), 4).alias("rate"))
-    return rows.where((F.col("seen") % every == 0) | (F.col("seen") == F.col("__n"))).drop("__n")
+    value = F.col(metric).cast("double")
+    sums = {"seen": F.lit(1).cast("long"), "__sum": value, "__of": F.when(value.isNotNull(), 1).cast("long")}
+    rows = places.running(df.select(*by, pos, metric), by, places.spread(df, pos), [pos], sums)
+    rate = F.round(F.col("__sum") / F.nullif(F.col("__of"), F.lit(0)), 4).alias("rate")
+    return rows.where((F.col("seen") % every == 0) | (F.col("seen") == F.col("seen_all"))).select(*by, "seen", rate)
 
 
 def throughput(amount: Column, time: Column, digits: int = 1) -> Column:

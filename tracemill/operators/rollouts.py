@@ -13,10 +13,16 @@ OUTCOMES = ("valid_correct", "valid_incorrect", "invalid_correct", "invalid_inco
 FLAGS = ("all_success", "all_failure", "mixed", "zero_reward_std")
 
 
-def contrast(df: DataFrame, group: Sequence[str], success: str, reward: str) -> DataFrame:
-    """By group whether all members succeed, all fail or they differ, and whether their rewards are all equal."""
+def contrast(df: DataFrame, group: Sequence[str], success: str, reward: str, members: int | None = None) -> DataFrame:
+    """By group whether all members succeed, all fail or they differ, and whether their rewards are all equal.
+
+    members: a group of more than one row and of another size is an error.
+    """
+    n = F.count("*")
+    if members is not None:
+        n = F.when((n > 1) & (n != members), F.raise_error(F.concat(F.lit("a group of "), n.cast("string"))).cast("bigint")).otherwise(n)
     flags = df.groupBy(*group).agg(
-        F.count("*").alias("members"), F.bool_and(success).alias("all_success"), (~F.bool_or(success)).alias("all_failure"),
+        n.alias("members"), F.bool_and(success).alias("all_success"), (~F.bool_or(success)).alias("all_failure"),
         (F.max(reward) == F.min(reward)).alias("zero_reward_std"),
     )
     return flags.withColumn("mixed", ~F.col("all_success") & ~F.col("all_failure"))

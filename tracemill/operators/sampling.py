@@ -9,8 +9,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
 from pyspark.sql.window import Window
 
+from . import places
+
 
 def shuffle_key(id_: Column, seed: str | int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), id_.cast("string")), 256)
@@ -44,13 +47,17 @@ def sizes_of(df: DataFrame, stratum: str) -> DataFrame:
 
 def ranked(df: DataFrame, stratum: str, id_: str, seed: str | int, name: str = "draw") -> DataFrame:
     """df with the 1-based place of each row in its stratum's shuffle, ties by id."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(stratum).orderBy(shuffle_key(F.col(id_), seed), id_)))
+    key = shuffle_key(F.col(id_), seed)
+    rows = df.withColumn("__key", key)
+    # The first three hex digits of a hash are its cell.
+    one = {name: F.lit(1).cast("long")}
+    return places.running(rows, [stratum], F.substring("__key", 1, 3), ["__key", id_], one).drop("__key", f"{name}_all")
 
 
 def stratified(df: DataFrame, stratum: str, id_: str, target: int | float, seed: str | int, fraction: bool = False, tie_by_size: bool = True) -> DataFrame:
     """A sample of the target size without replacement with largest-remainder shares of the strata."""
     share = quotas(sizes_of(df, stratum), stratum, "size", target, fraction, tie_by_size).select(stratum, "quota")
-    return ranked(df, stratum, id_, seed).join(F.broadcast(share), stratum).where("draw <= quota").select(*df.columns)
+    return ranked(df, stratum, id_, seed).join(share, stratum).where("draw <= quota").select(*df.columns)
 
 
 def split(df: DataFrame, stratum: str, id_: str, train: float, evaluation: float, seed: str | int) -> DataFrame:
@@ -62,7 +69,7 @@ def split(df: DataFrame, stratum: str, id_: str, train: float, evaluation: float
     goal = total.select(F.bround(F.col("n") * F.lit(float(evaluation))).cast("bigint").alias("n")).first()["n"] or 0
     second = quotas(rest.select(stratum, "size"), stratum, "size", goal).select(stratum, F.col("quota").alias("n_eval"))
     share = rest.select(stratum, "n_train").join(second, stratum)
-    place = ranked(df, stratum, id_, seed).join(F.broadcast(share), stratum)
+    place = ranked(df, stratum, id_, seed).join(share, stratum)
     name = F.when(F.col("draw") <= F.col("n_train"), "train").when(F.col("draw") <= F.col("n_train") + F.col("n_eval"), "eval").otherwise("test")
     return place.select(*df.columns, name.alias("split"))
 
@@ -83,7 +90,7 @@ def nested(df: DataFrame, stratum: str, id_: str, targets: Sequence[int], seed:
         falls = falls | (F.col(f"q{a}") > F.col(f"q{b}"))
     share = share.withColumn("__bad", F.when(falls, F.raise_error(F.lit("quotas fall")).cast("int")))
     arm = F.coalesce(F.col("__bad"), *(F.when(F.col("draw") <= F.col(f"q{t}"), t) for t in targets))
-    return ranked(df, stratum, id_, seed).join(F.broadcast(share), stratum).withColumn("arm", arm).where("arm is not null").select(*df.columns, "arm")
+    return ranked(df, stratum, id_, seed).join(share, stratum).withColumn("arm", arm).where("arm is not null").select(*df.columns, "arm")
 
 
 def disjoint(df: DataFrame, stratum: str, id_: str, draws: Sequence[tuple[str, int, str | None]], seed: str | int) -> DataFrame:
@@ -112,15 +119,17 @@ def simple_sample(df: DataFrame, id_: str, size: int, seed: str | int) -> DataFr
 
 def batches(df: DataFrame, length: str, pos: str, size: int, by: Sequence[str] = ()) -> DataFrame:
     """df with batch: rows of like lengths together, `size` at a time, in order of length and then pos."""
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return df.withColumn("batch", F.floor((F.row_number().over(own.orderBy(length, pos)) - 1) / size).cast("long"))
+    rows = places.running(df, by, F.col(length), [length, pos], {"__place": F.lit(1).cast("long")})
+    return rows.select(*df.columns, F.floor((F.col("__place") - 1) / size).cast("long").alias("batch"))
 
 
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), width: int = 6, prefix: str = "") -> DataFrame:
     """df with number (from 0 in the order given) and label, zero-padded."""
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    number = F.row_number().over(own.orderBy(*order)) - 1
-    return df.withColumn("number", number.cast("long")).withColumn("label", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), width, "0")))
+    kind = df.schema[order[0]].dataType
+    cell = places.spread(df, order[0]) if isinstance(kind, (NumericType, TimestampType)) else F.substring(F.col(order[0]).cast("string"), 1, 2)
+    rows = places.running(df, by, cell, order, {"__place": F.lit(1).cast("long")})
+    label = F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), width, "0"))
+    return rows.select(*df.columns, (F.col("__place") - 1).alias("number")).withColumn("label", label)
 
 
 def last_wins(df: DataFrame, key: Sequence[str], pos: str) -> DataFrame:

@@ -28,6 +28,22 @@ def error_histogram(spark, d):
     return metrics.histogram(table(spark, d, "events"), metrics.bucket(error))
 
 
+@query("""SELECT bucket, n, row_number() OVER (ORDER BY n DESC, first)::INTEGER AS rank FROM (
+  SELECT props AS bucket, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1)""")
+def histogram_first_seen(spark, d):
+    """A3: counts by value, ties in order of first appearance."""
+    return metrics.histogram(table(spark, d, "events"), C("props"), pos="event_id")
+
+
+@query("""SELECT conv_id, turn < 2 AS early, count(*) AS members, bool_and(length(text) > 60) AS all_success, NOT bool_or(length(text) > 60) AS all_failure,
+  max(length(text)) = min(length(text)) AS zero_reward_std, NOT bool_and(length(text) > 60) AND bool_or(length(text) > 60) AS mixed
+FROM conversations WHERE turn < 2 GROUP BY 1, 2""")
+def group_contrast_sized(spark, d):
+    """Contrast within groups that must have two members each, here the first two turns of a conversation."""
+    turns = table(spark, d, "conversations").where("turn < 2").select("conv_id", (C("turn") < 2).alias("early"), (F.length("text") > 60).alias("ok"), F.length("text").alias("size"))
+    return rollouts.contrast(turns, ["conv_id", "early"], "ok", "size", members=2)
+
+
 @query("SELECT l_linenumber AS calls, count(*) AS n FROM lineitem GROUP BY 1")
 def sorted_histogram(spark, d):
     """A4: counts by key in order of the key."""
@@ -63,7 +79,7 @@ def nearest_rank_p95(spark, d):
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def interp_p95(spark, d):
     """Interpolated percentile."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return metrics.percentile_by(table(spark, d, "events"), "value", 0.95, ["event_type"], "p95").withColumn("p95", F.round("p95", 6))
 
 
 @query("""
@@ -157,7 +173,7 @@ def reward_metrics(spark, d):
 
 @query("""WITH r AS (SELECT event_type, row_number() OVER w AS seen, count(*) OVER (PARTITION BY event_type) AS n,
   round(avg((value > 20)::INTEGER::DOUBLE) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
-SELECT event_type, seen::INTEGER AS seen, rate FROM r WHERE seen % 10 = 0 OR seen = n""")
+SELECT event_type, seen, rate FROM r WHERE seen % 10 = 0 OR seen = n""")
 def running_success(spark, d):
     """Mean so far after every 10 rows and after the last."""
     return metrics.running_rate(table(spark, d, "events").withColumn("ok", C("value") > 20), "ok", "event_id", 10, ["event_type"])
