@@ -1,5 +1,8 @@
 """Edges that every operator on texts and every stage has to take: nulls, empty and very long texts, repeated rows, empty tables, clashing columns."""
 
+import random
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +120,72 @@ def test_stages(spark, tables, learnt, stage):
         assert out.columns == corpus_pipeline.COLUMNS
     empty = f(spark, docs.limit(0), tables)
     assert empty.count() == 0 and empty.columns == out.columns
+
+
+def _edit(a, b):
+    """Edit distance of two whole strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _nearest(item, text):
+    """Least edit distance of item to any substring of text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_decontamination_places(spark):
+    """Every document against every item by plain dynamic programming: the pairs, their distances and the places."""
+    ship(spark)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcd ef") for _ in range(n))
+    items = [(i, letters(rng.randint(20, 70))) for i in range(8)] + [(20, "x"), (21, "ab cd")]
+    items += [(30, items[0][1]), (31, items[1][1][:30])]
+    texts = []
+    for _ in range(60):
+        part = list(rng.choice(items[:8])[1])
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([[], [part[at], rng.choice("abcdef")], [rng.choice("abcdef")]])
+        texts.append(letters(rng.randint(0, 60)) + "".join(part) + letters(rng.randint(0, 60)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find(df, spark.createDataFrame(items, "item_id long, text string"), error_rate=0.12)
+    got = {(r.doc_id, h.item_id): h for r in found.collect() for h in r[decontaminate.HITS]}
+    n = 0
+    for i, text in enumerate(map(decontaminate.normal, texts)):
+        for k, item in ((k, decontaminate.normal(t)) for k, t in items):
+            least = _nearest(item, text)
+            assert ((i, k) in got) == (least <= int(len(item) * 0.12))
+            if (i, k) in got:
+                h, n = got[i, k], n + (least > 0)
+                assert h.distance == least == _edit(item, text[h.start : h.start + h.length])
+    assert n > 15
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The hinge loss with its penalty is no higher than where a plain subgradient descent ends, nor anywhere near."""
+    rng = np.random.default_rng(4)
+    size, n = 30, 120
+    rows = [np.sort(rng.choice(size, 6, replace=False)) for _ in range(n)]
+    values = [rng.random(6) + 0.5 for _ in range(n)]
+    x = np.zeros((n, size))
+    for i in range(n):
+        x[i, rows[i]] = values[i]
+    y = np.where(x @ rng.normal(size=size) + rng.normal(size=n) * 0.5 > 0, 1.0, -1.0)
+    costs = np.where(y > 0, 0.5, 1.0)
+    loss = lambda w: 0.5 * w @ w + (costs * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = quality.descend(rows, values, y, costs, size, 400)
+    own, other, best = loss(w), np.zeros(size), np.inf
+    for t in range(1, 6000):
+        other = other - (other - (costs * y * (y * (x @ other) < 1)) @ x) / t
+        best = min(best, loss(other))
+    assert own <= best * 1.001
+    assert all(own <= loss(w + rng.normal(size=size) * s) + 1e-9 for s in (0.3, 0.1, 0.03) for _ in range(200))
