@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import expressions as X
-from tracemill.functions import hashing, parsing, trace
+from tracemill.functions import hashing, parsing, trace, transcripts
+from tracemill.operators import rollouts
 
 CALLS = "array<struct<op string, a double, b double>>"
 
@@ -191,3 +192,29 @@ def test_expressions(spark):
     r = spark.range(1).select(X.render(e).alias("t"), X.left_to_right(e).alias("l"), X.precedence_trace(e).alias("p"), X.structure(e).alias("s")).first()
     assert (r.t, r.l, r.p.answer, r.s.num_terms, r.s.max_factors) == ("14 - 18*7 + 2.5", -25.5, -109.5, 3, 2)
     assert [s.stage for s in r.p.steps] == ["precedence", "combine", "combine"]
+
+
+def test_prompt_completion_and_labels(spark):
+    talks = [
+        [("system", [1]), ("user", [2, 3]), ("assistant", [4, 5]), ("user", [6]), ("assistant", [7, 8]), ("user", [9])],
+        [("assistant", [4])], [("user", [1, 2])], [("user", []), ("assistant", [])], [], None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(talks)], "i int, m array<struct<role: string, ids: array<int>>>")
+    got = df.select("i", transcripts.prompt_completion(F.col("m")).alias("c"), transcripts.assistant_labels(F.col("m")).alias("x")).orderBy("i").collect()
+    for t, r in zip(talks, got):
+        at = [k for k, (role, _) in enumerate(t or []) if role == "assistant"]
+        assert (r.c is None) == (not at)
+        if at:
+            assert ([tuple(x) for x in r.c.prompt], [tuple(x) for x in r.c.completion]) == (t[: at[-1]], [t[at[-1]]])
+        if t is not None:
+            flat = [(x, role == "assistant") for role, ids in t for x in ids]
+            assert r.x.input_ids == [x for x, _ in flat]
+            assert r.x.labels == [x if own else transcripts.IGNORED for x, own in flat[1:]] + [transcripts.IGNORED] * bool(flat)
+
+
+def test_case_line(spark):
+    rows = [("hard", 12, "x" * 40, 0.5, None, None, None, 0), ("easy", 2, "1 + 2*3", 7.0, 9.0, False, True, 2)]
+    df = spark.createDataFrame(rows, "tier string, n int, e string, answer double, stated double, correct boolean, valid boolean, calls int")
+    got = [r[0] for r in df.select(rollouts.case_line(*(F.col(c) for c in df.columns))).collect()]
+    assert got == [f"[{'hard':>6}] ops=12  {'x' * 40}  expected={0.5:<8}  got={'None':<8}  ans={'wrong':<7}  trace={'invalid':<7}  calls=0/12",
+        f"[{'easy':>6}] ops=2  {'1 + 2*3':<30}  expected={7:<8}  got={9:<8}  ans={'wrong':<7}  trace={'valid':<7}  calls=2/2"]

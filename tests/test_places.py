@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import metrics, places, rollouts, sampling
+from tracemill.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +58,23 @@ def test_errors_on_empty_input_and_odd_groups(df):
         rollouts.contrast(df.withColumn("s", F.col("ok") == 1), ["g"], "s", "v", members=8).collect()
     with pytest.raises(Exception, match="a group of"):
         rollouts.contrast(df.limit(3).withColumn("s", F.col("ok") == 1), [], "s", "v", members=2).collect()
+
+
+def test_first_rows_with_fill(spark):
+    rows = [(i, "ab"[i % 2] if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "pos int, s string")
+
+    def want(quota, total):
+        chosen = [r for k, n in quota.items() for r in [x for x in rows if x[1] == k][:n]]
+        return sorted((sorted(chosen) + [r for r in rows if r not in chosen])[:total])
+
+    for quota, total in (({"a": 2, "b": 3}, 12), ({"a": 3, "c": 2}, 4), ({}, 3), ({"b": 9}, 5), ({"a": 1}, 100), ({"a": 1}, 0)):
+        assert sorted(map(tuple, sampling.top_with_fill(df, "s", "pos", quota, total).collect())) == want(quota, total), (quota, total)
+    assert sampling.top_with_fill(df.limit(0), "s", "pos", {"a": 2}, 3).count() == 0
+
+
+def test_rows_are_dealt_only_where_pieces_are_few(spark):
+    slots = spark.sparkContext.defaultParallelism
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, slots + 3)
+    assert readers.dealt(few).rdd.getNumPartitions() == slots and readers.dealt(many) is many
+    assert sorted(r.id for r in readers.dealt(few).collect()) == list(range(100))

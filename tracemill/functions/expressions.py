@@ -105,10 +105,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def is_useful(e: Column, limit: float = 100_000) -> Column:
-    """Precedence matters, and the answer and every intermediate result are within the limit."""
-    within = lambda trace: (
-        (left_to_right(e) != trace["answer"]) & (F.abs(trace["answer"]) <= limit) & F.forall(trace["steps"], lambda s: F.abs(s["result"]) <= limit)
-    )
+def is_useful(e: Column, limit: float = 100_000, trace: Column | None = None) -> Column:
+    """Precedence matters, and the answer and every intermediate result are within the limit. trace: that of e, where it is there already."""
+    within = lambda t: (left_to_right(e) != t["answer"]) & (F.abs(t["answer"]) <= limit) & F.forall(t["steps"], lambda s: F.abs(s["result"]) <= limit)
     mixed = F.array_contains(e["operators"], "*") & F.exists(e["operators"], lambda x: x != "*")
-    return mixed & F.get(F.transform(F.array(precedence_trace(e)), within), F.lit(0))
+    return mixed & (F.get(F.transform(F.array(precedence_trace(e)), within), F.lit(0)) if trace is None else within(trace))

@@ -40,6 +40,24 @@ def last_assistant(messages: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(-1))["content"], F.lit(""))
 
 
+def prompt_completion(messages: Column) -> Column:
+    """struct<prompt, completion>: the messages before the last one of the assistant, and that one; null without any. What follows it goes."""
+    last = F.size(messages) - F.array_position(F.reverse(F.transform(messages, lambda m: m["role"] == "assistant")), True).cast("int") + 1
+    cut = F.struct(F.slice(messages, F.lit(1), last - 1).alias("prompt"), F.slice(messages, last, F.lit(1)).alias("completion"))
+    return F.when(F.exists(messages, lambda m: m["role"] == "assistant"), cut)
+
+
+#: Fixed value: the label of a token that no loss is taken of.
+IGNORED = -100
+
+
+def assistant_labels(messages: Column) -> Column:
+    """struct<input_ids, labels> of messages with their token ids: a token's label is the token after it if the assistant wrote that one."""
+    own = F.flatten(F.transform(messages, lambda m: F.transform(m["ids"], lambda x: F.when(m["role"] == "assistant", x).otherwise(IGNORED))))
+    labels = F.when(F.size(own) > 0, F.concat(F.slice(own, F.lit(2), F.size(own)), F.array(F.lit(IGNORED)))).otherwise(own)
+    return F.struct(F.flatten(F.transform(messages, lambda m: m["ids"])).alias("input_ids"), labels.alias("labels"))
+
+
 def parts_text(parts: Column) -> Column:
     """Text of a message that comes as a list of parts."""
     return F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")

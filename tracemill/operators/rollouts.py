@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import number_text
 from .metrics import rate
 
 OUTCOMES = ("valid_correct", "valid_incorrect", "invalid_correct", "invalid_incorrect", "no_answer")
@@ -54,3 +55,20 @@ def reward_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         rate(F.col("tool_call_count") == F.col("expected_tool_call_count")).alias("exact_call"),
         rate(F.col("tool_call_count") > F.col("expected_tool_call_count")).alias("over_call"),
     )
+
+
+def _wide(text: Column, width: int, right: bool = False) -> Column:
+    """text with blanks up to a width; longer texts stay whole."""
+    blanks = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
+    return F.concat(blanks, text) if right else F.concat(text, blanks)
+
+
+def case_line(tier: Column, expected_calls: Column, expression: Column, answer: Column, stated: Column, correct: Column, valid: Column, calls: Column) -> Column:
+    """One trajectory as a line of a report. An answer that wasn't stated is None; a truth value that is null counts as false."""
+    word = lambda c, yes, no: F.when(c, yes).otherwise(no)
+    # Labels, widths and order of the fields.
+    return F.concat(
+        F.lit("["), _wide(tier, 6, right=True), F.lit("] ops="), expected_calls.cast("string"), F.lit("  "), _wide(expression, 30),
+        F.lit("  expected="), _wide(number_text(answer), 8), F.lit("  got="), _wide(F.coalesce(number_text(stated), F.lit("None")), 8),
+        F.lit("  ans="), _wide(word(correct, "correct", "wrong"), 7), F.lit("  trace="), _wide(word(valid, "valid", "invalid"), 7),
+        F.lit("  calls="), calls.cast("string"), F.lit("/"), expected_calls.cast("string"))

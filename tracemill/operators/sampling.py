@@ -6,6 +6,7 @@ A shuffle is the order of SHA-256 over seed and id, the same on any number of pa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +46,14 @@ def sizes_of(df: DataFrame, stratum: str) -> DataFrame:
     return df.groupBy(stratum).agg(F.count("*").alias("size"))
 
 
-def ranked(df: DataFrame, stratum: str, id_: str, seed: str | int, name: str = "draw") -> DataFrame:
-    """df with the 1-based place of each row in its stratum's shuffle, ties by id."""
+def ranked(df: DataFrame, stratum: str, id_: str, seed: str | int, name: str = "draw", size: str | None = None) -> DataFrame:
+    """df with the 1-based place of each row in its stratum's shuffle, ties by id, and with size the stratum's number of rows."""
     key = shuffle_key(F.col(id_), seed)
     rows = df.withColumn("__key", key)
     # The first three hex digits of a hash are its cell.
     one = {name: F.lit(1).cast("long")}
-    return places.running(rows, [stratum], F.substring("__key", 1, 3), ["__key", id_], one).drop("__key", f"{name}_all")
+    placed = places.running(rows, [stratum], F.substring("__key", 1, 3), ["__key", id_], one).drop("__key")
+    return placed.withColumnRenamed(f"{name}_all", size) if size else placed.drop(f"{name}_all")
 
 
 def stratified(df: DataFrame, stratum: str, id_: str, target: int | float, seed: str | int, fraction: bool = False, tie_by_size: bool = True) -> DataFrame:
@@ -105,11 +107,16 @@ def disjoint(df: DataFrame, stratum: str, id_: str, draws: Sequence[tuple[str, i
 
 
 def top_with_fill(df: DataFrame, stratum: str, pos: str, wanted: dict[str, int], total: int) -> DataFrame:
-    """The first rows of each named stratum in order of pos, filled up to a total with the first unused rows."""
-    place = df.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(pos)))
-    quota = F.coalesce(*(F.when(F.col(stratum) == k, n) for k, n in wanted.items()), F.lit(0))
-    order = F.when(F.col("__r") <= quota, 0).otherwise(1)
-    return place.orderBy(order, pos).limit(total).select(*df.columns)
+    """The first rows of each named stratum in order of pos, filled up to a total with the first unused rows. pos is unique.
+
+    A top-k of each named stratum and one of the whole, each of at most `total` rows, so no stratum is sorted as one.
+    """
+    first = df.orderBy(pos).limit(total)
+    if not wanted:
+        return first
+    chosen = reduce(DataFrame.unionByName, (df.where(F.col(stratum) == k).orderBy(pos).limit(n) for k, n in wanted.items()))
+    fill = first.join(chosen.select(pos), pos, "left_anti").withColumn("__fill", F.lit(1))
+    return chosen.withColumn("__fill", F.lit(0)).unionByName(fill).orderBy("__fill", pos).limit(total).select(*df.columns)
 
 
 def simple_sample(df: DataFrame, id_: str, size: int, seed: str | int) -> DataFrame:

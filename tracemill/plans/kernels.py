@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import hashing, parsing, trace, transcripts
-from ..operators import checks, compare, generate, metrics, mixing
+from ..operators import checks, compare, generate, metrics, mixing, rollouts
+from ..sources import readers
 from .registry import query, table
 
 C = F.col
@@ -15,8 +16,9 @@ _KEYS = ["l_orderkey", "l_linenumber"]
 
 
 def _problems(spark, d):
-    """q + p*s (or q - p*s for odd suppliers' lines) with its parts."""
-    rows = table(spark, d, "lineitem").select(
+    """q + p*s with its parts."""
+    lines = readers.dealt(table(spark, d, "lineitem").select(*_KEYS, "l_quantity", "l_partkey", "l_suppkey"))
+    rows = lines.select(
         *_KEYS, C("l_quantity").alias("q"), (C("l_partkey") % 19 + 2).cast("double").alias("p"), (C("l_suppkey") % 17 + 2).cast("double").alias("s"), (C("l_orderkey") % 8).alias("k"))
     return rows.withColumn("e", X.expression(F.array("q", "p", "s"), F.array(F.lit("+"), F.lit("*"))))
 
@@ -27,10 +29,10 @@ def naive_vs_precedence(spark, d):
     """Text, value with and without precedence, structure, tier and use of expressions."""
     e = C("e")
     text = X.render(e)
-    return _problems(spark, d).select(
-        *_KEYS, text.alias("expression"), X.left_to_right(e).alias("naive"), X.precedence_trace(e)["answer"].alias("answer"),
-        X.structure(e)["num_terms"].alias("num_terms"), X.structure_of_text(text)["max_factors"].alias("max_factors"),
-        X.tier(F.size(e["operators"])).alias("tier"), X.is_useful(e).alias("useful"))
+    return _problems(spark, d).withColumn("text", text).withColumn("trace", X.precedence_trace(e)).select(
+        *_KEYS, C("text").alias("expression"), X.left_to_right(e).alias("naive"), C("trace")["answer"].alias("answer"),
+        X.structure(e)["num_terms"].alias("num_terms"), X.structure_of_text(C("text"))["max_factors"].alias("max_factors"),
+        X.tier(F.size(e["operators"])).alias("tier"), X.is_useful(e, trace=C("trace")).alias("useful"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, q || '|+|' || p || '|*|' || s AS tokens, '-' || q || '|+|' || p || '.5' AS signed FROM ({_N})")
@@ -182,6 +184,16 @@ def row_metrics(spark, d):
         (correct & (F.size("calls") > 0) & C("score")["fully_reduced"]).alias("task_success"))
 
 
+@query(f"""SELECT l_orderkey, l_linenumber, format('[{{:>6}}] ops={{}}  {{:<30}}  expected={{:<8}}  got={{:<8}}  ans={{:<7}}  trace={{:<7}}  calls={{}}/{{}}', 'easy', 2, q || ' + ' || p || '*' || s, q + p * s,
+  coalesce((CASE k WHEN 2 THEN NULL WHEN 1 THEN q + p * s + 1 ELSE q + p * s END)::VARCHAR, 'None'), CASE WHEN k IN (1, 2) THEN 'wrong' ELSE 'correct' END,
+  CASE WHEN k < 4 THEN 'valid' ELSE 'invalid' END, CASE k WHEN 4 THEN 3 WHEN 6 THEN 1 ELSE 2 END, 2) AS line FROM ({_N}) WHERE k NOT IN (0, 3)""")
+def case_lines(spark, d):
+    """A line of a report for each trajectory that failed."""
+    s, n = C("score"), F.size("calls")
+    return _scored(spark, d).where(~(s["valid_trajectory"] & s["answer_correct"])).select(
+        *_KEYS, rollouts.case_line(X.tier(F.lit(2)), F.lit(2), C("expression"), C("answer"), C("stated"), s["answer_correct"], s["valid_trajectory"], n).alias("line"))
+
+
 @query(f"""SELECT l_orderkey, l_linenumber, 2 AS n_calls, '*,+' AS ops, p * s || ',' || (q + p * s) AS results, 'The answer is ' || (q + p * s) || '.' AS final_text, 7 AS n_messages FROM ({_N})""")
 def transcript_build(spark, d):
     """A transcript built from a trace, and its calls, observations and final text read back."""

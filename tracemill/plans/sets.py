@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing, transcripts
-from ..operators import mixing
+from ..operators import mixing, sampling
+from ..sources import readers
 from ..streaming.run import scratch
 from .registry import query, table
 
@@ -103,14 +104,16 @@ def merge_right_wins(spark, d):
     return mixing.merge_right_wins(table(spark, d, "documents").select("doc_id", "lang"), right, "doc_id")
 
 
-@query("""SELECT percent, doc_id, CASE WHEN doc_id % 10 < percent // 10 THEN 'new' ELSE lang END AS lang, doc_id % 10 < percent // 10 AS replaced
-FROM documents CROSS JOIN (VALUES (20), (30), (40)) a(percent)""")
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('13:' || doc_id::VARCHAR), doc_id) AS draw, count(*) OVER (PARTITION BY lang) AS size, lang FROM documents)
+SELECT percent, doc_id, CASE WHEN draw * 100 <= size * percent THEN 'new' ELSE lang END AS lang, draw * 100 <= size * percent AS replaced
+FROM r CROSS JOIN (VALUES (20), (30), (40)) a(percent)""")
 def mixture_arms(spark, d):
-    """Every arm of a mixture from one pool of replacements."""
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    k = C("doc_id") % 10
-    pool = docs.where(k < 4).select("doc_id", F.lit("new").alias("lang"), F.greatest(F.lit(20), (k + 1) * 10).cast("int").alias("min_percent"))
-    return mixing.arms(pool, docs, "doc_id", [20, 30, 40])
+    """Every arm of a mixture from one pool of replacements, a share of each language by its shuffle."""
+    docs, percents = table(spark, d, "documents").select("doc_id", "lang"), [20, 30, 40]
+    drawn = sampling.ranked(docs, "lang", "doc_id", 13, size="size")
+    first = F.coalesce(*(F.when(C("draw") * 100 <= C("size") * p, p) for p in percents))
+    pool = drawn.select("doc_id", F.lit("new").alias("lang"), first.alias("min_percent")).where("min_percent is not null")
+    return mixing.arms(pool, docs, "doc_id", percents)
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS last_assistant,
@@ -126,10 +129,32 @@ def transcript_fold(spark, d):
         roles(transcripts.prompt(C("m"))).alias("prompt_roles"))
 
 
+@query("""SELECT conv_id, string_agg(role, '>' ORDER BY turn) FILTER (WHERE last = 0 OR turn < last) AS prompt_roles, coalesce(max(text) FILTER (WHERE turn = last), '') AS completion
+FROM (SELECT *, max(CASE WHEN role = 'assistant' THEN turn ELSE 0 END) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY 1 HAVING max(last) > 0""")
+def prompt_completion(spark, d):
+    """Transcripts cut at their last assistant message into prompt and completion, the other columns left behind."""
+    fields = F.struct("turn", "role", C("text").alias("content"))
+    folded = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(fields)).alias("m"))
+    cut = folded.select("conv_id", transcripts.prompt_completion(C("m")).alias("c")).where("c is not null")
+    return cut.select(
+        "conv_id", F.array_join(F.transform(C("c")["prompt"], lambda x: x["role"]), ">").alias("prompt_roles"), F.get(C("c")["completion"], F.lit(0))["content"].alias("completion"))
+
+
+@query("""SELECT conv_id, len(f) AS n_tokens, len(list_filter(f[2:], lambda x: x <> -100)) AS n_learnt, array_to_string(list_append(f[2:], -100), ',') AS labels FROM (
+  SELECT conv_id, flatten(list(list_transform(string_split(coalesce(text, ''), ' '), lambda x: CASE WHEN role = 'assistant' THEN length(x) ELSE -100 END) ORDER BY turn)) AS f FROM conversations GROUP BY 1)""")
+def assistant_labels(spark, d):
+    """The next token as each token's label, those of other roles masked; a word's length stands for its token id."""
+    ids = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w))
+    folded = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", ids.alias("ids")))).alias("m"))
+    return folded.select("conv_id", transcripts.assistant_labels(C("m")).alias("x")).select(
+        "conv_id", F.size("x.input_ids").cast("long").alias("n_tokens"), F.size(F.filter("x.labels", lambda y: y != transcripts.IGNORED)).cast("long").alias("n_learnt"),
+        F.array_join(C("x")["labels"].cast("array<string>"), ",").alias("labels"))
+
+
 @query("SELECT doc_id, sha256(to_json(text)::VARCHAR) AS sha FROM documents")
 def canonical_sha(spark, d):
     """SHA-256 of a text as JSON."""
-    return table(spark, d, "documents").select("doc_id", hashing.text_sha256(C("text")).alias("sha"))
+    return readers.dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", hashing.text_sha256(C("text")).alias("sha"))
 
 
 @query("""SELECT doc_id, substr(sha256('{"lang":' || to_json(lang)::VARCHAR || ',"n":' || n_chars || ',"source":' || to_json(source)::VARCHAR || '}'), 1, 16) AS signature FROM documents""")

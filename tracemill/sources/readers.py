@@ -15,6 +15,16 @@ from pyspark.sql.types import _parse_datatype_string as ddl
 from .. import schemas
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out to all slots if its scan has fewer pieces than the cluster has slots, for much work on each row.
+
+    A scan with more pieces comes back as it is, without a shuffle. A file of one row group counts as the pieces
+    that its bytes make, so select the columns first: they are what the shuffle moves.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def splits(spark: SparkSession, path: str, schema: str = schemas.RECORDS, expected: tuple[str, ...] | None = None) -> DataFrame:
     """All splits of a directory partitioned by split. With expected, other or missing names are an error."""
     df = spark.read.schema(schema).parquet(path)

@@ -21,14 +21,19 @@ def parsed(turns: DataFrame, dialect: str = "standard") -> DataFrame:
     return turns.select("id", "turn", "exhausted", got["call"].isNotNull().alias("has_call"), got["error"].alias("error"), parsing.final_answer(text).alias("answer"))
 
 
-def play(turns: DataFrame, budget: int) -> DataFrame:
+def play(turns: DataFrame, budget: int, idle_seconds: int | None = None) -> DataFrame:
     """The agent loop as a stream: one row for each id when it ends, from state keyed by id.
 
     turns: id, turn, text, exhausted, in any number of micro-batches; turns of one id come in order of turn.
-    Turns after the end of an id change nothing.
+    Turns after the end of an id change nothing. With idle_seconds the state of an id that no turn came for goes after
+    that time, ended or not, so the store holds the ids of that time only; a turn that comes later begins anew. That
+    is for streams that run on: Spark looks for idle ids without end, so one with the trigger availableNow doesn't end.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         calls, used, done = state.get if state.exists else (0, 0, False)
         rows = pd.concat(list(parts)).sort_values("turn")
         for t in rows.itertuples():
@@ -50,8 +55,11 @@ def play(turns: DataFrame, budget: int) -> DataFrame:
                 done = True
                 yield pd.DataFrame([(key[0], calls, *ended, used)], columns=["id", "n_calls", "answer", "error", "turns_used"])
         state.update((calls, used, done))
+        if idle_seconds:
+            state.setTimeoutDuration(idle_seconds * 1000)
 
-    return parsed(turns).groupBy("id").applyInPandasWithState(step, PLAYED, "calls long, used long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    idle = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
+    return parsed(turns).groupBy("id").applyInPandasWithState(step, PLAYED, "calls long, used long, done boolean", "append", idle)
 
 
 def scored(predictions: DataFrame) -> DataFrame:
