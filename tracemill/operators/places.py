@@ -30,11 +30,12 @@ def spread(df: DataFrame, column: str, cells: int = CELLS) -> Column:
     return F.when(F.isnan(value), F.lit(cells + 2)).otherwise(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(cells)))
 
 
-def running(df: DataFrame, by: Sequence[str], cell: Column, order: Sequence[str | Column], amounts: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, by: Sequence[str], cell: Column, order: Sequence[str | Column], amounts: dict[str, Column], only: Column | None = None) -> DataFrame:
     """df with, for each amount, its sum up to and with the row (name) and over the group (name_all).
 
     cell must not fall along order. Groups that are null are groups; without by, all rows are one. An amount that
-    is null adds nothing. Orders with ties give any of the tied rows first, so order should end in a key.
+    is null adds nothing. Orders with ties give any of the tied rows first, so order should end in a key. With only,
+    a condition on a cell's __name_before, __name_sum and name_all, the rows of other cells are left out unsorted.
     """
     keys = [F.col(b).alias(f"__g{i}") for i, b in enumerate(by)]
     rows = df.select("*", cell.alias("__cell"), *(F.coalesce(a, F.lit(0)).alias(f"__{n}") for n, a in amounts.items()))
@@ -42,8 +43,10 @@ def running(df: DataFrame, by: Sequence[str], cell: Column, order: Sequence[str
     group = Window.partitionBy(*(f"__g{i}" for i in range(len(by)))) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
-        *(f"__g{i}" for i in range(len(by))), "__at", *(F.coalesce(F.sum(f"__{n}_sum").over(before), F.lit(0)).alias(f"__{n}_before") for n in amounts),
+        *(f"__g{i}" for i in range(len(by))), "__at", *(f"__{n}_sum" for n in amounts), *(F.coalesce(F.sum(f"__{n}_sum").over(before), F.lit(0)).alias(f"__{n}_before") for n in amounts),
         *(F.sum(f"__{n}_sum").over(group).alias(f"{n}_all") for n in amounts))
+    if only is not None:
+        cells = cells.where(only)
     same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__g{i}")) for i, b in enumerate(by)), F.col("__cell").eqNullSafe(F.col("__at")))
     own = Window.partitionBy(*by, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = [(F.col(f"__{n}_before") + F.sum(f"__{n}").over(own)).alias(n) for n in amounts]
@@ -53,10 +56,13 @@ def running(df: DataFrame, by: Sequence[str], cell: Column, order: Sequence[str
 def at_ranks(df: DataFrame, value: str, by: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
     """By group, the values at ranks (from 0, of __n_all rows in order of value), a column for each, and __n_all. Nulls don't count.
 
-    A group without values is absent. From counts by value, so a value that many rows have costs no more than others.
+    A group without values is absent. From counts by value, so a value that many rows have costs no more than others;
+    only the cells that hold a rank are sorted.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    places = running(counts, by, spread(counts, value), [value], {"__n": F.col("__c")})
+    within = lambda r: (F.col("____n_before") <= r) & (F.col("____n_before") + F.col("____n_sum") > r)
+    some = reduce(lambda a, b: a | b, map(within, ranks.values()))
+    places = running(counts, by, spread(df, value), [value], {"__n": F.col("__c")}, some)
     held = lambda r: (F.col("__n") > r) & (F.col("__n") - F.col("__c") <= r)
     found = places.groupBy(*by).agg(F.max("__n_all").alias("__n_all"), *(F.max(F.when(held(r), F.col(value))).alias(n) for n, r in ranks.items()))
     return found.where("__n_all is not null")
