@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, language, licenses, ngram_join, pieces, quality, store, tokenids, vectors, wordpiece
+from . import decontaminate, divergence, extract, language, licenses, ngram_join, oracles, pieces, quality, resample, store, tokenids, topk, vectors, wordpiece
 from .digests import with_crc32
 from .ship import ship
 
@@ -165,6 +165,34 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie from each other, and each source's terms above its language."""
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_oracles["op11_source_divergence"] = oracles.DIVERGENCE
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's texts."""
+    return resample.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_oracles["op12_importance_resampling"] = oracles.RESAMPLING
+
+
+@_query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 embeddings of highest integer inner product with each that has a vec_id divisible by 20."""
+    vectors_ = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors_.where("vec_id % 20 = 0"), vectors_)
+
+
+_oracles["op13_exact_top_k"] = oracles.TOP_K
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's result."""

@@ -16,6 +16,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def letters_of(*kept: range) -> np.ndarray:
+    """A table of bytes: A-Z to a-z, bytes beyond ASCII and in the given ranges as they are, any other to a blank."""
+    table = LOWER.copy()
+    table[:128][~np.isin(np.arange(128), [*range(65, 91), *range(97, 123), *(x for r in kept for x in r)])] = 0x20
+    return table
+
+
 #: One random 64-bit odd number per byte value.
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
