@@ -83,9 +83,9 @@ def stream(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tup
 
 def long_stream(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What stream gives for one text, made in pieces of about LONGEST bytes; each begins with the last word of the one before."""
-    text, at, parts = _WORDS[data].tobytes(), 0, []
+    text, at, stop, parts = _WORDS[data].tobytes(), 0, 0, []
     while True:
-        end = _END.search(text, at + LONGEST)
+        end = _END.search(text, max(at + LONGEST, stop))  # beyond the piece before, however long its last word is
         stop = end.start() + 1 if end else len(text)
         part = np.frombuffer(text, np.uint8)[at:stop]
         numbers = stream(part, np.array([0, len(part)]))[0]

@@ -252,8 +252,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float
     lists = each.withColumn("place", place).where(F.col("place") <= more).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found")
     )
-    answers = wanted.select("h", "v", "key", "norm").join(lists, "key").select("h", "v", "norm", "found")
-    self = F.struct((-F.col("norm").cast("long")).alias("s"), F.col("vec_id"))
+    answers = wanted.select("h", "v", "key").join(lists, "key").select("h", "v", "found")
+    self = F.struct((-F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)).alias("s"), F.col("vec_id"))
     rows = asked.select("vec_id", "h", "v").join(answers, ["h", "v"]).select("vec_id", "found", F.array_position("found", self).alias("own"))
     others = F.slice(F.filter("found", lambda x, i: (i + 1) != F.col("own")), 1, k)
     return rows.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("rank", "hit")).select(
