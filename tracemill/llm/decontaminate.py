@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as ddl
 
+from ..operators.names import free
 from . import store
 from .resident import resident
 
@@ -136,7 +137,7 @@ def find(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     if chunks == 1:
         return _scan(docs, spark.sparkContext.broadcast((_rows(of(0)), error_rate)))
     # One chunk at a time is on the executors: its hits are written before the next is sent, and the text of each document is read again.
-    folder, row = store.shared_dir(spark), f"{HITS}_row"
+    folder, row = store.shared_dir(spark), free(docs, f"{HITS}_row")
     base = store.written(docs.withColumn(row, F.monotonically_increasing_id()), folder, "docs")
     parts = []
     for k in range(chunks):
