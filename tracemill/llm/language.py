@@ -6,7 +6,7 @@ frequency and normalised. Each language has several centroids, found by spherica
 the nearest by cosine. It is rejected when it lies much farther from its centroid than the training texts of
 that language with about as many n-grams did; a text of any length can be rejected.
 
-The fit uses a bounded sample by hash, about PER_LANGUAGE rows of each language and about MAX_ROWS in all.
+The fit uses a bounded sample by hash, about PER_LANGUAGE rows of each language and about MAX_ROWS in all, with MAX_BUCKETS buckets together.
 """
 
 from __future__ import annotations
@@ -20,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from ..operators.names import free
+from . import store
 from .resident import release, trim
 from .textkeys import mix, slices
 
 #: Sampled rows, buckets, centroids of a language, and rounds of k-means.
 PER_LANGUAGE, MAX_ROWS, BITS, CENTROIDS, ROUNDS = 800, 6400, 15, 4, 8
+#: Buckets of all rows of the fit together.
+MAX_BUCKETS = 15_000_000
 #: Grams from which the least cosine of a centroid's own training rows counts too, and the share of a least training cosine that a text must reach.
 REJECT_FROM, REJECT_SHARE = 1000, 0.4
 #: Bands of gram counts, each twice as wide as the last, and the share of a band's median cosine below which a training row is an odd one.
@@ -70,7 +74,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, lang -> buckets, counts, lang."""
+    """text, lang, place -> buckets, counts, lang, place."""
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(0)):
             rows = [np.unique(x, return_counts=True) for x in grams(data, offsets)]
@@ -78,8 +82,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(ends, np.concatenate([x for x, _ in rows]).astype(np.int32)),
                 pa.ListArray.from_arrays(ends, np.concatenate([c for _, c in rows]).astype(np.int32)),
-                batch.column(1).slice(a, b - a),
-            ], ["buckets", "counts", "lang"])
+                *(batch.column(i).slice(a, b - a) for i in (1, 2)),
+            ], ["buckets", "counts", "lang", "place"])
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -167,18 +171,20 @@ def fit_rows(buckets: list[np.ndarray], counts: list[np.ndarray], langs: list[st
     return Model(idf, np.stack(centroids), lang, far)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS, max_buckets: int = MAX_BUCKETS) -> Model:
     """Fits to text and lang of a sample of docs; rows whose lang or text is null are left out.
 
     About per_language rows of each language, fewer when the languages are so many that it would be more
-    than max_rows, are those whose hashed doc_id falls below the language's share.
+    than max_rows, are those whose hashed doc_id falls below the language's share. Of these count the first by hash
+    that have max_buckets buckets together.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     size = known.groupBy("lang").agg(F.count("*").alias("n"))
     each = F.least(F.lit(float(per_language)), F.lit(float(max_rows)) / F.col("langs"))
     share = size.crossJoin(F.broadcast(size.agg(F.count("*").alias("langs")))).select("lang", (each / F.col("n")).alias("share"))
     drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    got = drawn.select("text", "lang").mapInArrow(_counts, "buckets array<int>, counts array<int>, lang string").toArrow()
+    rows = drawn.select("text", "lang", F.xxhash64("doc_id").alias("place")).mapInArrow(_counts, "buckets array<int>, counts array<int>, lang string, place long")
+    got = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
     model = fit_rows(*(list(got.column(c).to_numpy(zero_copy_only=False)) for c in ("buckets", "counts")), got.column("lang").to_pylist())
     del got
     trim()
@@ -194,15 +200,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     order. Existing columns of these names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score", "lang_rejected").withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = StructType([*docs.schema[:-1], StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rejected", BooleanType())])
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    flag, kept = free(docs, "has_letter"), docs.columns
+    rows = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rejected", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         m = held.value
         table = np.ascontiguousarray(m.centroids.T)
         for batch in batches:
-            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            letter = batch.column(batch.schema.get_field_index(flag)).to_numpy(zero_copy_only=False)
             best, cosine, count = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for a, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text"))):
                 for i, x in enumerate(grams(data, offsets)):
@@ -218,8 +226,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names = np.array([*m.lang, "und"], object)[np.where(known, best, len(m.lang))]
             rejected = ~known | (cosine < least)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(np.clip(cosine, 0, 1)), pa.array(rejected)],
-                [*batch.schema.names[:-1], "lang_pred", "lang_score", "lang_rejected"],
+                [*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(names, pa.string()), pa.array(np.clip(cosine, 0, 1)), pa.array(rejected)],
+                [*kept, "lang_pred", "lang_score", "lang_rejected"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

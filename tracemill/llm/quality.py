@@ -5,7 +5,7 @@ capitals, digits, signs, last sign, length) and whether it repeats a word shortl
 is scaled by its log-count ratio between the classes, a linear hinge-loss model is fitted to the scaled
 rows by dual coordinate descent, and a logistic curve over its margins gives the score.
 
-The fit uses a bounded sample of the labelled rows, MAX_ROWS, drawn by hash. Scoring reads every whole text.
+The fit uses a bounded sample of the labelled rows, MAX_ROWS with MAX_BUCKETS buckets together, drawn by hash. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import store
 from .resident import release, trim
 from .textkeys import mix, slices, span_hashes, word_spans
 
 #: Labelled rows that a fit uses at most, buckets of the indicators, and passes of the descent.
 MAX_ROWS, BITS, PASSES = 8000, 16, 12
+#: Buckets of all rows of the fit together.
+MAX_BUCKETS = 30_000_000
 #: How far back a word is compared with earlier ones, and the share from which a shape counts as frequent.
 BACK, FREQUENT = 4, 0.05
 #: Cost of a wrong row, and the smoothing of the counts.
@@ -96,12 +99,12 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, label -> buckets, label."""
+    """text, label, place -> buckets, label, place."""
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(0)):
             rows = [x.astype(np.int32) for x in indicators(data, offsets)]
             ends = np.cumsum([0] + [len(x) for x in rows]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(rows)), batch.column(1).slice(a, b - a)], ["buckets", "label"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(rows)), *(batch.column(i).slice(a, b - a) for i in (1, 2))], ["buckets", "label", "place"])
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, costs: np.ndarray, size: int, passes: int, seed: int = 1) -> np.ndarray:
@@ -157,8 +160,9 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
     return Model(w * ratio, slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fits to at most max_rows labelled documents, those with the smallest hashes of their doc_id.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_buckets: int = MAX_BUCKETS) -> Model:
+    """Fits to at most max_rows labelled documents, those with the smallest hashes of their doc_id, and of these to
+    so many, in the same order, as have max_buckets buckets together.
 
     docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; others and null are left out).
     """
@@ -166,8 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    got = table.mapInArrow(_rows, "buckets array<int>, label int").toArrow()
+    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
+    rows = table.mapInArrow(_rows, "buckets array<int>, label int, place long")
+    got = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
     model = fit_rows(list(got.column("buckets").to_numpy(zero_copy_only=False)), got.column("label").to_numpy().astype(np.int64))
     del got
     trim()

@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +50,18 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def bounded(df: DataFrame, place: str, size: Column, most: int) -> pa.Table:
+    """A written table's rows in the order of place (a long that tells rows apart), on the driver: the first whose sizes come to `most` together.
+
+    The sizes of all rows come to the driver first, so their number must be bounded.
+    """
+    sizes = df.select(place, size.cast("long").alias("size")).toArrow().sort_by(place)
+    ends = np.cumsum(sizes.column("size").to_numpy())
+    if len(ends) and ends[-1] > most:
+        df = df.where(F.col(place) <= sizes.column(place)[max(0, int(np.searchsorted(ends, most, "right")) - 1)].as_py())
+    return df.toArrow().sort_by(place)
+
+
 def freed(spark: SparkSession, folder: str, *names: str) -> None:
     """Deletes tables of a folder that nothing reads any more."""
     for name in names:
