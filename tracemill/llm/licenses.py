@@ -195,9 +195,9 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thres
     """Places of templates within whole texts: doc_id, word_no, n_words (the template's), license, dice. templates: those of lines and the BODIES unless given.
 
     A window begins where a bigram of the text, laid on the same probe bigram of a template, puts the template's
-    first word, and has as many words as the template, less what would stand outside the text. Of windows of one
-    template that overlap, each with the next, the one with the highest coefficient is given, the first of equals;
-    windows below the threshold give none. word_no counts from 1 and is less for a template whose beginning is cut
+    first word, and has as many words as the template, less what would stand outside the text. Of the windows of one
+    template at or above the threshold the one with the highest coefficient is given, the first of equals, then the
+    next that has no place of a given one, and so on: copies that follow each other are each given. word_no counts from 1 and is less for a template whose beginning is cut
     off by the start of the text. Null, empty and blank texts, texts of one word and templates of fewer than two
     words match nothing; an empty table gives an empty result; repeated rows match each for itself. More columns
     of docs are ignored. 0 < threshold <= 1.
@@ -238,9 +238,15 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thres
     found = near.where(F.size("codes") > 0).select("doc_id", "row_id", F.inline(F.transform("codes", lambda c: F.struct(number(c).alias("k"), start(c).alias("s"), window(c).alias("b")))))
     table = spark.createDataFrame([(k, n, template_bigrams(t)) for k, (n, t) in enumerate(templates)], "k int, license string, t array<string>")
     scored = found.join(F.broadcast(table), "k").select("doc_id", "row_id", "k", "s", "license", F.size("t").alias("m"), dice(F.col("b"), F.col("t")).alias("dice"))
+    # Windows that may overlap come together by runs, those of one text and template whose starts are no farther apart than the template is long.
     order = Window.partitionBy("row_id", "k").orderBy("s")
     begins = F.coalesce(F.col("s") - F.lag("s").over(order) > F.col("m"), F.lit(True)).cast("int")
     runs = scored.where(F.col("dice") >= threshold).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
-    best = runs.groupBy("row_id", "k", "run").agg(F.min(F.struct((-F.col("dice")).alias("d"), "s", "m", "license", "doc_id")).alias("b"))
-    place = (F.col("b.s") + 1).cast("long").alias("word_no"), (F.col("b.m") + 1).cast("long").alias("n_words")
-    return best.select("b.doc_id", *place, "b.license", F.round(-F.col("b.d"), 6).alias("dice"))
+    item = F.struct((-F.col("dice")).alias("d"), "s")
+    listed = runs.groupBy("row_id", "k", "run").agg(F.first("doc_id").alias("doc_id"), F.first("license").alias("license"), F.first("m").alias("m"), F.array_sort(F.collect_list(item)).alias("windows"))
+    kept = F.aggregate(
+        "windows", F.slice("windows", 1, 0), lambda given, x: F.when(F.exists(given, lambda y: F.abs(y["s"] - x["s"]) <= F.col("m")), given).otherwise(F.concat(given, F.array(x)))
+    )
+    best = listed.select("doc_id", "license", "m", F.explode(kept).alias("b"))
+    place = (F.col("b.s") + 1).cast("long").alias("word_no"), (F.col("m") + 1).cast("long").alias("n_words")
+    return best.select("doc_id", *place, "license", F.round(-F.col("b.d"), 6).alias("dice"))

@@ -77,10 +77,10 @@ wg AS (SELECT doc_id, k, s, g, count(*) AS n FROM laid JOIN bs USING (k) JOIN dg
 wn AS (SELECT doc_id, k, s, sum(n) AS n FROM wg GROUP BY ALL),
 wc AS (SELECT doc_id, k, s, sum(least(wg.n, bc.n)) AS c FROM wg JOIN bc USING (k, g) GROUP BY ALL),
 near AS (SELECT doc_id, k, s, m, license, 2.0 * c::DOUBLE / (n + m)::DOUBLE AS dice FROM wc JOIN wn USING (doc_id, k, s) JOIN bs USING (k)),
-begun AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, k ORDER BY s) <= m THEN 0 ELSE 1 END AS b FROM near WHERE dice >= {threshold}),
-runs AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, k ORDER BY s) AS run FROM begun)
+listed AS (SELECT doc_id, k, m, license, list([{{'s': s, 'dice': dice}}] ORDER BY dice DESC, s) AS w FROM near WHERE dice >= {threshold} GROUP BY ALL),
+given AS (SELECT doc_id, k, m, license, unnest(list_reduce(w, lambda g, x: CASE WHEN len(list_filter(g, lambda y: abs(y.s - x[1].s) <= m)) > 0 THEN g ELSE g || x END)) AS b FROM listed)
 SELECT * FROM units_found UNION ALL
-SELECT doc_id, -1, s + 1, m + 1, license, round(dice, 6) FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, k, run ORDER BY dice DESC, s) = 1
+SELECT doc_id, -1, b.s + 1, m + 1, license, round(b.dice, 6) FROM given
 """.format(
     templates=", ".join("('{}', '{}')".format(*t) for t in licenses.TEMPLATES),
     bodies=", ".join("({}, '{}', '{}')".format(k, *t) for k, t in enumerate(licenses.TEMPLATES + licenses.BODIES)),
