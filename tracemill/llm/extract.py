@@ -24,8 +24,8 @@ from .html_blocks import Block, Path, blocks
 #: Buckets of path features and of words, further measures, units of each direction.
 PATHS, WORDS, MEASURES, UNITS = 256, 64, 6, 16
 SIZE = PATHS + WORDS + MEASURES
-#: Pages, rounds and seed of the training, pages labelled at a time.
-PAGES, ROUNDS, SEED, AT_ONCE = 700, 10, 5, 256
+#: Pages, rounds and seed of the training, pages labelled at a time, blocks of a page that are held as features.
+PAGES, ROUNDS, SEED, AT_ONCE, LONG = 700, 10, 5, 256, 20_000
 
 #: Names by which pages mark parts that aren't main text, with words found there.
 ASIDES = {
@@ -139,12 +139,12 @@ def _mask(path: Path | None) -> int:
     return bits
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """A row for each block of a page."""
-    x = np.zeros((len(page), SIZE), np.float32)
-    total = max(1, sum(len(b.text) for b in page))
-    before = 0
-    for i, b in enumerate(page):
+def features(page: list[Block], start: int = 0, stop: int | None = None, before: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block of a page, or of those from start to stop: before counts the characters of the blocks before them, total those of all."""
+    part = page[start:stop]
+    x = np.zeros((len(part), SIZE), np.float32)
+    total = max(1, sum(len(b.text) for b in page)) if total is None else total
+    for i, b in enumerate(part):
         x[i, :PATHS] = np.unpackbits(np.frombuffer(_mask(b.path).to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little")
         words = b.text.lower().split()
         x[i, PATHS : PATHS + WORDS] = np.bincount([_at(f"w {w}", WORDS) for w in words], minlength=WORDS) / max(1, len(words))
@@ -169,11 +169,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _run(x: np.ndarray, w: dict[str, np.ndarray], d: str, keep: list | None = None) -> np.ndarray:
-    """Outputs of one direction over (page, place, feature); keep gathers what the way back needs."""
+def _run(x: np.ndarray, w: dict[str, np.ndarray], d: str, keep: list | None = None, carried: list | None = None) -> np.ndarray:
+    """Outputs of one direction over (page, place, feature); keep gathers what the way back needs, carried holds the state before and, at the end, after."""
     pages, places, _ = x.shape
     pre = x @ w[f"W{d}"] + w[f"b{d}"]
-    h, c = np.zeros((pages, UNITS), np.float32), np.zeros((pages, UNITS), np.float32)
+    h, c = carried or (np.zeros((pages, UNITS), np.float32), np.zeros((pages, UNITS), np.float32))
     out = np.zeros((pages, places, UNITS), np.float32)
     for t in range(places):
         z = pre[:, t] + h @ w[f"U{d}"]
@@ -185,6 +185,8 @@ def _run(x: np.ndarray, w: dict[str, np.ndarray], d: str, keep: list | None = No
             keep.append((h, c, i, f, o, g, tc))
         h, c = o * tc, c2
         out[:, t] = h
+    if carried is not None:
+        carried[:] = h, c
     return out
 
 
@@ -255,10 +257,29 @@ def train(pages: int = PAGES, rounds: int = ROUNDS, seed: int = SEED) -> dict[st
     return w
 
 
+def long_logits(page: list[Block], w: dict[str, np.ndarray], piece: int) -> np.ndarray:
+    """The numbers of one page's blocks, its features made and its states carried on piece by piece, in either direction."""
+    sizes = [len(b.text) for b in page]
+    before, total = np.concatenate([[0], np.cumsum(sizes)]), max(1, sum(sizes))
+    z = np.zeros(len(page), np.float32)
+    starts = range(0, len(page), piece)
+    of = lambda a: features(page, a, a + piece, int(before[a]), total)[None]
+    fore, rear = [], []
+    for a in starts:
+        x = of(a)
+        z[a : a + piece] = (_run(x, w, "f", carried=fore) @ w["Vf"] + x @ w["S"] + w["v"])[0]
+    for a in reversed(starts):
+        z[a : a + piece] += (_run(of(a)[:, ::-1], w, "r", carried=rear) @ w["Vr"])[0, ::-1]
+    return z
+
+
 def label(pages: list[list[Block]], w: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """For each page, which of its blocks are main text."""
+    """For each page, which of its blocks are main text. Pages of more than LONG blocks go by themselves, in pieces."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+    for k, page in enumerate(pages):
+        if len(page) > LONG:
+            out[k] = long_logits(page, w, LONG) > 0
+    order = sorted((k for k in range(len(pages)) if 0 < len(pages[k]) <= LONG), key=lambda k: len(pages[k]))
     while order:
         # Pages of like lengths go together; the longest decides how many.
         group = order[-max(1, min(len(order), AT_ONCE, 20_000 // len(pages[order[-1]]))) :]

@@ -61,7 +61,7 @@ class Path:
         return out[::-1]
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """A run of text that no block element divides. path: its elements, None at the top; linked: characters in links."""
 
