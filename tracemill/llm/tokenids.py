@@ -1,9 +1,9 @@
 """Token ids of whole texts in flat binary files, and reading them back.
 
-Format of a folder: for each part NNNNN, in ascending order of doc_id over the parts,
-  part-NNNNN.u2 or .u4   ids, unsigned little-endian 16- or 32-bit (16 where every id fits), nothing between documents
-  part-NNNNN.off         signed little-endian 64-bit offsets in ids within the part, one more than documents
-  part-NNNNN.doc         signed little-endian 64-bit doc_ids
+Format of a folder: for each part NNNNN, in ascending order of doc_id over the parts, written by the task attempt A,
+  part-NNNNN-A.u2 or .u4   ids, unsigned little-endian 16- or 32-bit (16 where every id fits), nothing between documents
+  part-NNNNN-A.off         signed little-endian 64-bit offsets in ids within the part, one more than documents
+  part-NNNNN-A.doc         signed little-endian 64-bit doc_ids
 A part's first id has as its place in the whole the sum of the earlier parts' sizes, the prefix sum of the
 table of parts that the writer returns.
 
@@ -11,7 +11,8 @@ Texts are cut before every blank that a visible character follows, and on both s
 characters. The byte-level pattern always ends a token there, so the parts' ids put together are the text's ids;
 each distinct part is encoded once by the tokenizers library, many at a time, while it stays in a bounded table.
 A text that holds an added token of the file, such as <|endoftext|>, is encoded whole where these count as tokens.
-A retried task writes the same files again; each comes into being by a rename.
+Every attempt of a task writes files of its own name. The table of parts, which Spark commits, names the attempt that
+counts; files of others are deleted when the table is there, so a retry or a speculative attempt replaces nothing.
 """
 
 from __future__ import annotations
@@ -114,15 +115,22 @@ class Encoder:
         return out
 
 
-def _finish(where: fs.FileSystem, path: str, data: bytes | None, suffix: str) -> None:
-    if data is not None:
-        with where.open_output_stream(path + suffix) as out:
-            out.write(data)
-    where.move(path + suffix, path)
+def _put(where: fs.FileSystem, path: str, data: bytes) -> None:
+    with where.open_output_stream(path) as out:
+        out.write(data)
+
+
+def _drop_others(folder: str, parts: DataFrame) -> None:
+    """Deletes the files of attempts that the table of parts doesn't name; one row a part comes to the driver."""
+    where, base = fs.FileSystem.from_uri(folder)
+    named = {f"part-{r['part']:05d}-{r['attempt']}" for r in parts.select("part", "attempt").collect()}
+    for info in where.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.is_file and info.base_name.startswith("part-") and info.base_name.partition(".")[0] not in named:
+            where.delete_file(info.path)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
-    """Writes the files and returns the table of parts: part, n_docs, n_tokens, base_docs, base_tokens, width.
+    """Writes the files and returns the table of parts: part, attempt, n_docs, n_tokens, base_docs, base_tokens, width.
 
     docs: doc_id (long) and text. A null text is an empty one, which is its end id alone; rows with a null
     doc_id are left out; documents with equal doc_ids stand in the order of their texts. An empty table gives
@@ -139,10 +147,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added:
         task = TaskContext.get()
         where, base = fs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
-        stem, suffix = f"{base}/part-{task.partitionId():05d}", f".{task.taskAttemptId()}"
+        stem = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}"
         width, ids, sizes = encoder.kind.itemsize, [], [np.zeros(1, np.int64)]
-        path = f"{stem}.u{width}"
-        with where.open_output_stream(path + suffix) as out:
+        with where.open_output_stream(f"{stem}.u{width}") as out:
             for batch in batches:
                 for a in range(0, batch.num_rows, AT_ONCE):
                     got = encoder.encode(batch.column(1).slice(a, AT_ONCE).to_pylist())
@@ -150,25 +157,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added:
                     sizes.append(np.array([len(x) // width for x in got], np.int64))
                 ids.append(batch.column(0).to_numpy())
         offsets = np.cumsum(np.concatenate(sizes))
-        _finish(where, f"{stem}.off", offsets.astype("<i8").tobytes(), suffix)
-        _finish(where, f"{stem}.doc", np.concatenate([np.zeros(0, np.int64), *ids]).astype("<i8").tobytes(), suffix)
-        _finish(where, path, None, suffix)
-        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": [width]})
+        _put(where, f"{stem}.off", offsets.astype("<i8").tobytes())
+        _put(where, f"{stem}.doc", np.concatenate([np.zeros(0, np.int64), *ids]).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "attempt": [task.taskAttemptId()], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": [width]})
 
-    table = store.written(rows.mapInArrow(run, "part long, n_docs long, n_tokens long, width long"), folder, "parts")
+    table = store.written(rows.mapInArrow(run, "part long, attempt long, n_docs long, n_tokens long, width long"), folder, "parts")
+    _drop_others(folder, table)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return table.select(
-        "part", "n_docs", "n_tokens", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("base_docs"),
+        "part", "attempt", "n_docs", "n_tokens", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("base_docs"),
         F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base_tokens"), "width",
     )
 
 
-def open_part(folder: str, part: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_part(folder: str, part: int, attempt: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, offsets and ids of a part; memory-mapped where the folder is a local one."""
     where, base = fs.FileSystem.from_uri(folder)
 
     def get(name: str, kind: str) -> np.ndarray:
-        path = f"{base}/part-{part:05d}.{name}"
+        path = f"{base}/part-{part:05d}-{attempt}.{name}"
         if not where.get_file_info(path).size:
             return np.zeros(0, kind)
         with pa.memory_map(path) if where.type_name == "local" else where.open_input_file(path) as source:
@@ -187,8 +194,8 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base, width in zip(*(batch.column(c).to_pylist() for c in ("part", "base_tokens", "width")), strict=True):
-                docs, offsets, ids = open_part(folder, part, width)
+            for part, attempt, base, width in zip(*(batch.column(c).to_pylist() for c in ("part", "attempt", "base_tokens", "width")), strict=True):
+                docs, offsets, ids = open_part(folder, part, attempt, width)
                 for a in range(0, len(docs), rows):
                     at = offsets[a : min(a + rows, len(docs)) + 1]
                     sums = [zlib.crc32(ids[x:y].astype("<u4").data) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -198,4 +205,4 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
                     )
 
     wide = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("part", "base_tokens", "width").repartition(wide).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts.select("part", "attempt", "base_tokens", "width").repartition(wide).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
