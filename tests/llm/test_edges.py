@@ -189,3 +189,18 @@ def test_dual_descent_reaches_the_optimum():
         best = min(best, loss(other))
     assert own <= best * 1.001
     assert all(own <= loss(w + rng.normal(size=size) * s) + 1e-9 for s in (0.3, 0.1, 0.03) for _ in range(200))
+
+
+def test_names_of_helper_columns(spark, learnt):
+    """Columns named like those that operators add for themselves, in any place and spelling, keep their values on either path."""
+    df, _ = learnt
+    bench = spark.createDataFrame([(1, "good plain words about rivers alpha"), (2, "click here click here now please")], "item_id long, text string")
+    docs = df.limit(40).select(F.lit("a").alias("HAS_LETTER"), F.lit("b").alias("__letter"), F.lit("c").alias("bench_hits_row"), "doc_id", F.lit("d").alias("Bench_Hits_Row_"), "text")
+    model = language.fit(df)
+    named = language.identify(docs, model)
+    assert named.columns == [*docs.columns, "lang_pred", "lang_score", "lang_rejected"]
+    assert {(r["HAS_LETTER"], r["__letter"]) for r in named.collect()} == {("a", "b")}
+    one, many = decontaminate.find(docs, bench), decontaminate.find(docs, bench, chunk=20)
+    assert one.schema == many.schema
+    rows = [sorted(map(str, x.collect())) for x in (one, many)]
+    assert rows[0] == rows[1] and "c" in {r.bench_hits_row for r in one.collect()}

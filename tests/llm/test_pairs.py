@@ -153,3 +153,31 @@ def test_ngram_join_large_groups(spark, monkeypatch):
                     common[j] = common.get(j, 0) + 1
         near += [(i, j) for j, n in common.items() if i != j and 100 * n >= 90 * (len(sets[i]) + len(sets[j]) - n)]
     assert got == classes(sorted(sets), near)
+
+
+def test_ngram_join_frequent_keys(spark, monkeypatch):
+    """A passage that many unlike texts share, with groups of near copies among them: nothing is lost, and fewer sets meet."""
+    ship(spark)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        own = [f"u{i % 200}x{j}" for j in range(60)]  # forty of them twice, with an edit
+        if i >= 200:
+            own[rng.randrange(60)] = "edit"
+        rows.append((i, " ".join(passage + own)))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    near = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want, df = classes(sets, near), spark.createDataFrame(rows, "doc_id long, text string")
+    thinned, seen = ngram_join._thinned, []
+
+    def watched(met):
+        out = thinned(met)
+        seen.append((met.groupBy("key").count().agg({"count": "max"}).first()[0], out.groupBy("key").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_thinned", watched)
+    for frequent in (8, 64, 10**9):
+        monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+        assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df, 80, 3).collect()} == want
+    assert len(near) == 40 and seen[0][1] < seen[2][1] <= seen[2][0] == seen[0][0]

@@ -1,6 +1,7 @@
 """The operators on single texts against brute force, round trips and held-out rows."""
 
 import random
+import re
 from collections import Counter
 import struct
 import zlib
@@ -351,18 +352,17 @@ def test_license_spans(spark, tmp_path):
         for k, (name, t) in enumerate(templates):
             t = licenses.template_bigrams(t)
             starts = sorted({a - q for a, b in enumerate(g) for kk, q, c in places if kk == k and b == c})
-            run, last = [], None
-            for s in [*starts, None]:
-                window = g[max(0, s) : s + len(t)] if s is not None else []
+            found = []
+            for s in starts:
+                window = g[max(0, s) : s + len(t)]
                 d = 2.0 * sum((Counter(window) & Counter(t)).values()) / (len(window) + len(t))
-                if s is not None and d < 0.8:
-                    continue
-                if run and (s is None or s - last > len(t)):
-                    d_best, at = min(run)
-                    want.add((i, at + 1, len(t) + 1, name, round(-d_best, 6)))
-                    run = []
-                run.append((-d, s))
-                last = s
+                if d >= 0.8:
+                    found.append((-d, s))
+            given = []
+            for d, s in sorted(found):
+                if all(abs(s - x) > len(t) for x in given):
+                    given.append(s)
+                    want.add((i, s + 1, len(t) + 1, name, round(-d, 6)))
     assert got == want and len(want) > 100
     assert licenses.spans(docs.unionByName(docs)).count() == 2 * len(want)
     assert licenses.spans(docs.limit(0)).count() == 0 and licenses.spans(docs, []).count() == 0
@@ -383,3 +383,98 @@ def test_license_spans_find_planted(spark):
     got = [tuple(r)[1:] for r in licenses.spans(rows).orderBy("word_no").collect()]
     long = len(licenses.template_words(licenses.BODIES[0][1]))
     assert got == [(3, long, "MIT", 1.0), (3 + long + 5, 5, "MIT", 1.0)]
+
+
+def test_license_spans_that_follow_each_other(spark, tmp_path):
+    """Copies of one template back to back, or with other words between, are each given, in the query's SQL too."""
+    import duckdb
+
+    from tracemill.llm import queries
+
+    body = licenses.BODIES[0][1]
+    own = lambda name: f"Copyright (c) 2001 {name} {body}"
+    n = len(licenses.template_words(body))
+    texts = [f"{own('Ann')} {own('Ben')}", " ".join([body] * 40), f"{own('Ann')} {'other words ' * 100} {own('Ben')}", f"{body} {body[: len(body) // 2]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.word_no) for r in licenses.spans(docs).collect() if r.license == licenses.BODIES[0][0] and r.n_words == n)
+    lead = len(licenses.template_words("Copyright (c) 2001 Ann"))
+    want = [(0, lead + 1), (0, 2 * lead + n + 1), *((1, k * n + 1) for k in range(40)), (2, lead + 1), (2, 2 * lead + n + 201), (3, 1)]
+    assert got == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    q = queries.queries()["op2_license_scan"](spark, str(tmp_path))
+    sql = c.execute(queries.oracle_sql()["op2_license_scan"]).fetchdf()[q.columns]
+    assert sorted(map(tuple, q.collect())) == sorted(sql.itertuples(index=False, name=None))
+
+
+def test_language_against_dictionaries(spark):
+    """Predictions and scores as a plain TF-IDF over dictionaries of the same buckets gives them, with the fitted centroids."""
+    ship(spark)
+    rng = random.Random(4)
+    parts = {"xx": ["tha", "ing", "wor", "lde"], "yy": ["sch", "ung", "ein", "kei"], "zz": ["ción", "que", "los", "ado"]}
+    rows = [(i, " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(rng.choice([1, 4, 30, 200]))), lang) for i in range(240) for lang in [rng.choice(list(parts))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    got = {r.doc_id: r for r in language.identify(df, model).collect()}
+    for i, text, _ in rows:
+        data = text.encode()
+        counts = Counter(next(language.grams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))).tolist())
+        vector = {b: (1 + np.log(n)) * model.idf[b] for b, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[b]) for b, v in vector.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosines))
+        assert abs(got[i].lang_score - min(max(cosines[best], 0), 1)) < 1e-5
+        assert got[i].lang_pred == model.lang[best] or max(c for k, c in enumerate(cosines) if model.lang[k] == got[i].lang_pred) > cosines[best] - 1e-6
+
+
+def test_fits_are_bounded_in_buckets(spark):
+    """Of the drawn rows those first by hash count that have so many buckets together, on any partitions."""
+    ship(spark)
+    rows = [(i, f"words {i} of {'this good' if i % 2 else 'that bad'} text", i % 2, "xx" if i % 2 else "yy") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, lang string")
+    whole, few = quality.fit(df, df), quality.fit(df, df, max_buckets=100)
+    again = quality.fit(df.repartition(7), df.repartition(3), max_buckets=100)
+    assert (whole.weights != few.weights).any() and (few.weights == again.weights).all()
+    assert (language.fit(df).idf != language.fit(df, max_buckets=300).idf).any()
+    table = store.written(spark.createDataFrame([(5, 4), (2, 3), (9, 1)], "place long, n long"), store.shared_dir(spark), "sizes")
+    assert [store.bounded(table, "place", F.col("n"), most).column("place").to_pylist() for most in (2, 3, 6, 7, 100)] == [[2], [2], [2], [2, 5], [2, 5, 9]]
+
+
+def test_long_pages_in_pieces():
+    """The recurrence over pieces gives what it gives over the whole page and what a loop over single blocks gives; memory follows the piece."""
+    import tracemalloc
+
+    page = blocks("".join(f"<div class='{'content' if i % 3 else 'menu'}'><p>block {i} of this page</p></div>" for i in range(400)))
+    w = extract.train(20, 1)
+    x, _, back = extract._padded([extract.features(page)])
+    whole = extract.logits(x, back, w)[0]
+    assert np.allclose(whole, extract.long_logits(page, w, 37), atol=1e-4)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    loop = x[0] @ w["S"] + w["v"]
+    for d, order in (("f", range(len(page))), ("r", reversed(range(len(page))))):
+        h = c = np.zeros(extract.UNITS)
+        for t in order:
+            z = np.split(x[0, t] @ w[f"W{d}"] + w[f"b{d}"] + h @ w[f"U{d}"], 4)
+            c = sigmoid(z[1]) * c + sigmoid(z[0]) * np.tanh(z[3])
+            h = sigmoid(z[2]) * np.tanh(c)
+            loop[t] += h @ w[f"V{d}"]
+    assert np.allclose(whole, loop, atol=1e-3)
+    many = blocks("<p>a</p>" * 30_000)
+    tracemalloc.start()
+    assert len(extract.long_logits(many, w, 2000)) == 30_000
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+
+
+def test_naive_blocks_of_tag_soup():
+    """Random soup of simple tags against a plain scan that splits at every tag that isn't inside a line."""
+    rng = random.Random(8)
+    inside, outside = ["b", "i", "span", "a"], ["div", "p", "li", "h2", "section"]
+    for _ in range(300):
+        page = "".join(rng.choice([f"<{t}>", f"</{t}>", " word ", "x", "&amp;", "\n"]) for t in rng.choices(inside + outside, k=rng.randint(0, 40)))
+        want = []
+        for part in re.split("|".join(f"</?{t}>" for t in outside), page):
+            text = " ".join(re.sub("</?[a-z0-9]+>", "", part).replace("&amp;", "&").split())
+            want += [text] if text else []
+        assert [b.text for b in blocks(page)] == want

@@ -8,6 +8,10 @@ keys are the subset and all its one-deletion neighbours. The values add up to H
 of a total value of slack + 1 at least agree, and a set may leave out up to slack keys of empty subsets
 (which very many sets share) without losing a link. A cost model allocates values and slack by band.
 
+A set may also leave out as many keys as it shares too many with any set that it links with. It leaves out the most
+frequent of its frequent keys, in one order of all keys, so a passage or a subset that very many sets have brings
+together only those of them that have little else to meet by.
+
 Keys only bring up candidates, and only classes are asked for, so pairs within one class needn't be looked
 at. In each round a key has a hub, a block of about BLOCK similar sets at most; every other set on the key is
 verified exactly against the hub, the links found are contracted, and the hub's sets leave the key. A key
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import store
 from .resident import release
@@ -33,6 +38,8 @@ from .textkeys import mix, shingle_sets, slices
 
 #: Sets and shingles of a block, on average at most; the same for the sets that meet a block in one group.
 BLOCK, BLOCK_SHINGLES, GROUP, GROUP_SHINGLES = 4096, 1_000_000, 4096, 2_000_000
+#: Sets from which a key is a frequent one.
+FREQUENT = 64
 #: In the cost model: keys that a chance meeting of two sets is worth.
 CHANCE = 10_000
 
@@ -190,14 +197,14 @@ def _verify(percent: int):
         where, column = where[shared], (np.cumsum(several, dtype=np.int32) - 1)[column[shared]]
         order = np.argsort(column, kind="stable")
         column, where, step, tile = column[order], where[order], 512, 512
-        common = np.zeros((hubs, len(rows)), np.float32)
+        common = np.zeros((hubs, len(rows)), np.int32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
             a, b = np.searchsorted(column, [start, start + step])
             part = np.zeros((len(rows), step), np.float32)
             part[where[a:b], column[a:b] - start] = 1
             some = np.unique(where[a:b])  # the rows that have any of these hashes
             near = some[some < hubs]
-            common[np.ix_(near, some)] += part[near] @ part[some].T
+            common[np.ix_(near, some)] += (part[near] @ part[some].T).astype(np.int32)
         linked = np.empty((hubs, len(rows)), bool)
         for a in range(0, hubs, tile):
             n = common[a : a + tile].astype(np.int64)
@@ -222,6 +229,23 @@ def _verify(percent: int):
     return run
 
 
+def _thinned(met: DataFrame) -> DataFrame:
+    """key, doc_id, least -> the rows of sets with enough keys, without those that may be left out, with what a link still needs.
+
+    Of its frequent keys a set leaves out the most frequent, least - 1 of them at most. What two linked sets leave out of
+    the keys they share is the end of these in the common order, and no longer than what one of them leaves out; so each
+    keeps as many shared keys as its least less the number that it has left out.
+    """
+    frequent = met.groupBy("key").agg(F.count("*").alias("sets")).where(F.col("sets") >= FREQUENT)
+    own = Window.partitionBy("doc_id")
+    ranked = met.join(frequent, "key", "left").withColumn("keys", F.count("*").over(own)).withColumn(
+        "place", F.row_number().over(own.orderBy(F.coalesce("sets", F.lit(0)).desc(), "key"))
+    ).where("keys >= least")
+    out = F.col("sets").isNotNull() & (F.col("place") < F.col("least"))
+    left = ranked.withColumn("out", out).withColumn("least", (F.col("least") - F.sum(F.col("out").cast("int")).over(own)).cast("int"))
+    return left.where("not out").select("key", "doc_id", "least")
+
+
 def _round(step: int, live: DataFrame, members: DataFrame, hashes: DataFrame, percent: int, folder: str, at_first: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """One round over live (key, doc_id) and members (doc_id, least, comp, size: sets of that class).
 
@@ -297,9 +321,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     # Keys that several sets have. Ranges of (key, doc_id) split a frequent key over many tasks.
     singles = docs.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
     keyed = singles.mapInArrow(_keys(percent, words), "key long, doc_id long, least int")
-    met = store.written(keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key").mapInArrow(_repeated, keyed.schema), folder, "live0")
+    shared = store.written(keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key").mapInArrow(_repeated, keyed.schema), folder, "shared")
+    met = store.written(_thinned(shared), folder, "live0")
+    store.freed(spark, folder, "shared")
     # Sets with as many of them as a link needs, each a class of its own to begin with.
-    enough = met.groupBy("doc_id").agg(F.count("*").alias("keys"), F.first("least").alias("least")).where("keys >= least")
+    enough = met.groupBy("doc_id").agg(F.first("least").alias("least"))
     members = store.written(enough.select("doc_id", "least", F.col("doc_id").alias("comp"), F.lit(1).cast("long").alias("size")), folder, "members0")
     hashes = store.written(
         docs.join(members.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "doc_id long, n long, hashes binary"), folder, "hashes"
