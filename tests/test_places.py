@@ -19,9 +19,16 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "g string, v double, i long, ok int").repartition(7)
 
 
+@pytest.fixture(params=[10**6, 40, 1])
+def cells(request, monkeypatch):
+    """Rows in one cell, in some tens of cells, and in as many as there may be."""
+    monkeypatch.setattr(places, "ROWS", request.param)
+    return request.param
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_running(df, rows, by):
-    got = {r.i: (r.n, r.s, r.n_all) for r in places.running(df, by, places.spread(df, "i", 16), ["i"], {"n": F.lit(1), "s": F.col("ok")}).collect()}
+def test_running(df, rows, by, cells):
+    got = {r.i: (r.n, r.s, r.n_all) for r in places.running(df, by, ["i"], {"n": F.lit(1), "s": F.col("ok")}).collect()}
     seen = {}
     for g, _, i, ok in rows:
         key = g if by else 0
@@ -31,7 +38,40 @@ def test_running(df, rows, by):
     assert all(got[i][2] == seen[g if by else 0][0] for g, _, i, _ in rows)
 
 
-def test_percentiles(df, rows):
+def test_columns_keep_their_values_whatever_their_names(spark, cells):
+    names = ["cell", "group 0", "amount n", "n_before", "n_all_", "sums", "cell_at", "o0", "r", "at"]
+    df = spark.createDataFrame([(i, i % 3, *(f"{c} {i}" for c in names)) for i in range(200)], f"i long, g int, {', '.join(f'`{c}` string' for c in names)}")
+    got = places.running(df, ["g"], ["i"], {"n": F.lit(1)})
+    assert got.columns == [*df.columns, "n", "n_all"]
+    assert all(r["n"] == r.i // 3 + 1 and all(r[c] == f"{c} {r.i}" for c in names) for r in got.collect())
+
+
+@pytest.mark.parametrize("order", [["v", "i"], ["s", "i"], ["ts", "i"], ["g", "i"], ["f", "i"]])
+def test_cells_are_even_and_in_order(spark, order):
+    """Heaped values, outliers, one value of most rows, nulls and NaN: cells of like numbers of rows that never fall along the order."""
+    rng = random.Random(1)
+    value = lambda i: rng.choice([None, 1e12, -1e12, *[7.0] * 12, *[rng.random() * 1e-6] * 6])
+    df = spark.createDataFrame([(i, value(i), rng.choice(["a", "b", *["same"] * 9, None])) for i in range(8000)], "i long, v double, s string").select(
+        "*", F.timestamp_seconds(F.col("i") % 5).alias("ts"), F.lit(1).alias("g"), F.when(F.col("i") % 3 == 0, float("nan")).otherwise(F.col("v")).alias("f"))
+    ends = places.splitters(df, order, 200)
+    assert 30 <= len(ends) <= 40
+    kinds = [df.schema[c].dataType for c in order]
+    rows = df.withColumn("cell", places.cell_of(order, kinds, ends)).orderBy(*order).collect()
+    seen = [r.cell for r in rows]
+    counts = [seen.count(c) for c in set(seen)]
+    assert seen == sorted(seen) and len(counts) >= len(ends) and max(counts) <= 260
+    assert places.splitters(df.limit(0), order) == [] and places.splitters(df, order) == []
+
+
+def test_a_large_table_is_sampled(spark, monkeypatch):
+    monkeypatch.setattr(places, "SAMPLE", 500)
+    ends = places.splitters(spark.range(100_000).repartition(5), ["id"], 1000)
+    assert 80 <= len(ends) <= 125 and ends == sorted(ends)
+    steps = np.diff([0, *(e[0] for e in ends), 100_000])
+    assert steps.max() < 4000
+
+
+def test_percentiles(df, rows, cells):
     for r in metrics.percentile_by(df, "v", 0.95, ["g"], "p").collect():
         assert abs(r.p - np.percentile([v for g, v, *_ in rows if g == r.g and v is not None], 95)) < 1e-9
     for r in metrics.upper_median_by(df, "v", ["g"]).collect():
@@ -40,7 +80,7 @@ def test_percentiles(df, rows):
     assert metrics.percentile_by(df.limit(0), "v", 0.5).collect() == [] and metrics.percentile_by(df.limit(0), "v", 0.5, ["g"]).collect() == []
 
 
-def test_numbers_and_batches(df, rows):
+def test_numbers_and_batches(df, rows, cells):
     got = {r.i: (r.number, r.label) for r in sampling.numbered(df, ["i"], prefix="r").collect()}
     assert got == {i: (i, f"r{i:06}") for *_, i, _ in rows}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))

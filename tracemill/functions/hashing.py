@@ -107,3 +107,43 @@ def fingerprint(df: DataFrame, order: str) -> DataFrame:
     row = canonical_sha256(F.struct(*df.columns), StructType(df.schema.fields))
     piece = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.sum(piece).cast("string").alias("fingerprint"))
+
+
+#: Ranges of a node of a hash tree that make one of the next level.
+FAN = 1024
+
+
+def hash_tree(df: DataFrame, key: str, width: int) -> DataFrame:
+    """level, node, n, hash over ranges of a whole-number key: level 0 has ranges of `width`, each level after it FAN times that, the last one node.
+
+    A node's hash is the sum of its rows' hashes, so it depends on contents and repeats, not on order, files or partitions,
+    and each level comes from the one below. Rows are hashed once, by canonical JSON of all columns. Rows with a null key have
+    the node null of level 0 and stand in no other. A table without keys has no other levels.
+    """
+    row = canonical_sha256(F.struct(*df.columns), StructType(df.schema.fields))
+    piece = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    leaves = df.groupBy(F.floor(F.col(key) / width).cast("long").alias("node")).agg(F.count("*").alias("n"), F.sum(piece).alias("hash"))
+    # Every leaf counts for its node on each level; levels beyond 64 bits of range don't occur.
+    levels = F.expr(f"transform(sequence(0, {-(-64 // (FAN.bit_length() - 1))}), l -> struct(l AS level, CASE WHEN l = 0 THEN node ELSE cast(floor(node / power({FAN}D, l)) AS bigint) END AS node))")
+    every = leaves.select(F.explode(levels).alias("at"), "n", "hash").select("at.level", "at.node", "n", "hash")
+    return every.where("level = 0 or node is not null").groupBy("level", "node").agg(F.sum("n").alias("n"), F.sum("hash").alias("hash"))
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """low, high, n_before, n_after of the ranges of level 0 in which two hash trees differ; a null range is that of null keys.
+
+    Level by level from the top, and below only what differs above: where the tops agree, nothing else is compared.
+    """
+    both = a.withColumn("after", F.lit(False)).unionByName(b.withColumn("after", F.lit(True)))
+    top, at = both.agg(F.max("level").alias("m")).first()["m"] or 0, None
+    side = lambda c, after: F.max(F.when(F.col("after") == after, F.col(c)))
+    for level in range(top, -1, -1):
+        nodes = both.where(F.col("level") == level)
+        if at is not None:
+            # Null keys have no node above; theirs is compared whatever the rest.
+            nodes = nodes.withColumn("up", F.when(F.col("node").isNotNull(), F.floor(F.col("node") / FAN).cast("long")))
+            nodes = nodes.join(at.select(F.col("node").alias("above"), F.lit(True).alias("differs")), F.col("up") == F.col("above"), "left").where("differs or node is null")
+        pairs = nodes.groupBy("node").agg(*(side(c, after).alias(f"{c}_{name}") for c in ("n", "hash") for after, name in ((False, "before"), (True, "after"))))
+        at = pairs.where(~(F.col("n_before").eqNullSafe(F.col("n_after")) & F.col("hash_before").eqNullSafe(F.col("hash_after"))))
+    at = at.select("node", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_before", "n_after")))
+    return at.select((F.col("node") * width).alias("low"), ((F.col("node") + 1) * width).alias("high"), "n_before", "n_after")

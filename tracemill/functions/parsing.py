@@ -150,7 +150,7 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def play(turns: Column, budget: int, dialect: str = "standard") -> Column:
+def play(turns: Column, budget: int | Column, dialect: str = "standard") -> Column:
     """struct<calls, answer, error, turns_used, done> of an agent's turns up to the one that ends the play.
 
     turns: array<struct<text, exhausted>>; exhausted says that the turn ran out of tokens. A turn ends the play by

@@ -115,6 +115,33 @@ def score(text: Column, calls: Column, stated: Column, expected_calls: Column, a
     return bind(given, folded)
 
 
+def planned_score(plan: Column, calls: Column, stated: Column, answer: Column) -> Column:
+    """The outcome where only the planned calls in their planned order count as a valid trajectory: struct with the fields of score that it has.
+
+    plan and calls: array<struct<op, a, b>>, null for none. The first call that isn't the planned one, or is beyond the plan, is the first wrong one.
+    """
+    as_calls = lambda c: F.coalesce(c, F.array()).cast(f"array<{CALL}>")
+    given = F.struct(as_calls(plan).alias("plan"), as_calls(calls).alias("calls"), stated.alias("stated"), answer.alias("answer"))
+
+    def judged(x: Column) -> Column:
+        same = F.transform(x["calls"], lambda c, i: c.eqNullSafe(F.get(x["plan"], i)))
+        return bind(F.array_position(same, False).cast("int"), lambda at: told(x, at))
+
+    def told(x: Column, at: Column) -> Column:
+        valid, correct = (at == 0) & (F.size(x["calls"]) == F.size(x["plan"])), F.coalesce(x["stated"] == x["answer"], F.lit(False))
+        outcome = (
+            F.when(x["stated"].isNull(), "no_answer").when(valid & correct, "valid_correct").when(~valid & ~correct, "invalid_incorrect")
+            .when(valid, "valid_incorrect").otherwise("invalid_correct")
+        )
+        reward = F.when(x["stated"].isNull(), -0.1).when(valid & correct, 2.0).when(~valid & ~correct, -1.0).otherwise(0.0)
+        return F.struct(
+            reward.alias("reward"), outcome.alias("outcome"), F.when(at > 0, at - 1).otherwise(F.size(x["calls"])).alias("legal_call_count"), F.when(at > 0, at).alias("first_illegal_call_index"),
+            valid.alias("valid_trajectory"), correct.alias("answer_correct"),
+        )
+
+    return bind(given, judged)
+
+
 def semantic_trace(text: Column, calls: Column, answer: Column, expected_calls: Column) -> Column:
     """struct<valid, complete>: at least one call and all legal; fully reduced to the answer."""
     some = F.size(F.coalesce(calls, F.array().cast(f"array<{CALL}>"))) > 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..functions import trace, transcripts
+from ..functions import hashing, trace, transcripts
 
 
 def record_violations(e: str = "expression", messages: str = "messages") -> Column:
@@ -55,8 +55,17 @@ def inconsistent(df: DataFrame, rows: int, seed: int, step: int) -> DataFrame:
     return df.crossJoin(F.broadcast(hashes)).where(F.coalesce(bad, F.lit(True))).drop("__h")
 
 
-def manifest(df: DataFrame, name: str, seed: int) -> DataFrame:
-    """One row of JSON: counts by stage and domain and the seed of a mixture."""
+def manifest(df: DataFrame, name: str, seed: int, sources: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """One row, manifest: JSON with name and seed of a mixture, its counts by stage and domain, and rows and fingerprint of each source (table, order column)."""
     cells = df.groupBy("stage", "domain").agg(F.count("*").alias("n"))
-    body = F.struct(F.lit(name).alias("name"), F.lit(seed).alias("seed"), F.array_sort(F.collect_list(F.struct("stage", "domain", "n"))).alias("composition"))
-    return cells.agg(F.to_json(body).alias("manifest"))
+    whole = cells.agg(F.array_sort(F.collect_list(F.struct("stage", "domain", "n"))).alias("composition"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    prints = None
+    for label, (table, order) in sorted((sources or {}).items()):
+        one = hashing.fingerprint(table, order).select(F.struct(F.lit(label).alias("name"), F.col("n").alias("rows"), "fingerprint").alias("s"))
+        prints = one if prints is None else prints.unionByName(one)
+    if prints is None:
+        body = F.struct(F.lit(name).alias("name"), F.lit(seed).alias("seed"), "rows", "composition")
+        return whole.select(F.to_json(body).alias("manifest"))
+    told = prints.agg(F.array_sort(F.collect_list("s")).alias("sources"))
+    body = F.struct(F.lit(name).alias("name"), F.lit(seed).alias("seed"), "rows", "composition", "sources")
+    return whole.join(told, F.lit(True)).select(F.to_json(body).alias("manifest"))

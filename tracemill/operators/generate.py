@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 from ..functions import transcripts
-from .sampling import first_wins
+from ..streaming import run
+from . import places
+from .sampling import first_wins, ranked
 
 DOMAINS = ("id", "length", "negative", "float")
 #: Weights of + - * among 9 draws.
@@ -20,8 +24,8 @@ def _draw(seed: int, key: Column, salt: str, i: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key, F.lit(salt), i), F.lit(n)).cast("int")
 
 
-def candidates(spark: SparkSession, count: int, domain: str, seed: int) -> DataFrame:
-    """pos and expression of `count` candidates, a function of seed, domain and pos alone.
+def candidates(spark: SparkSession, count: int, domain: str, seed: int, start: int = 0) -> DataFrame:
+    """pos, from start on, and expression of `count` candidates, a function of seed, domain and pos alone.
 
     id: 2 to 5 operations, operands 2 to 20; length: 6 to 8 operations; negative: operands of either sign, one at
     least below zero; float: halves from 2 to 20, one at least not whole.
@@ -46,7 +50,7 @@ def candidates(spark: SparkSession, count: int, domain: str, seed: int) -> DataF
 
     ops = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(F.array(*map(F.lit, WEIGHTED)), _draw(seed, pos, salt + "op", i, len(WEIGHTED)) + 1))
     values = F.transform(F.sequence(F.lit(0), n), operand)
-    return spark.range(count).select(F.col("id").alias("pos"), X.expression(values, ops).alias("e"))
+    return spark.range(start, start + count).select(F.col("id").alias("pos"), X.expression(values, ops).alias("e"))
 
 
 def accepted(rows: DataFrame, domain: str) -> DataFrame:
@@ -55,12 +59,13 @@ def accepted(rows: DataFrame, domain: str) -> DataFrame:
     return first_wins(useful, ["expression"], "pos").withColumn("domain", F.lit(domain))
 
 
-def records(rows: DataFrame, prefix: str = "problem_") -> DataFrame:
-    """Full records of accepted candidates, numbered in order of acceptance."""
+def records(rows: DataFrame, prefix: str = "problem_", slots: bool = False) -> DataFrame:
+    """Full records of accepted candidates, numbered in order of acceptance; with slots they keep the id of the slot that they fill."""
     e, shape, trace = F.col("e"), X.structure(F.col("e")), X.precedence_trace(F.col("e"))
-    at = F.row_number().over(Window.partitionBy("domain").orderBy("pos")) - 1
+    at = F.col("pos") if slots else F.row_number().over(Window.partitionBy("domain").orderBy("pos")) - 1
+    name = F.col("id") if slots else F.concat(F.lit(prefix), F.col("domain"), F.lit("_"), F.lpad(at.cast("string"), 6, "0"))
     return rows.select(
-        at.cast("long").alias("pos"), F.concat(F.lit(prefix), F.col("domain"), F.lit("_"), F.lpad(at.cast("string"), 6, "0")).alias("id"), "domain", "expression", "e",
+        at.cast("long").alias("pos"), name.alias("id"), "domain", "expression", "e",
         trace["steps"].alias("steps"), trace["answer"].alias("final_answer"), X.left_to_right(e).alias("naive_left_to_right_answer"),
         F.size(e["operators"]).cast("long").alias("operation_count"), X.tier(F.size(e["operators"])).alias("tier"),
         shape["num_terms"].cast("long").alias("num_terms"), shape["max_factors"].cast("long").alias("max_factors_in_a_term"),
@@ -93,3 +98,37 @@ def replacements(slots: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
     joined = want.join(have.select("tier", "__r", F.col("expression").alias("replacement_expression"), "domain"), ["tier", "__r"], "left")
     bad = F.raise_error(F.concat(F.lit("no candidate for "), F.col("id"))).cast("boolean")
     return joined.where(F.when(F.col("replacement_expression").isNull(), bad).otherwise(True)).drop("__r")
+
+
+def refilled(slots: DataFrame, seen: DataFrame, domain: str, seed: int, folder: str, per_slot: int = 20_000, spare: int = 8) -> DataFrame:
+    """Every slot (id, tier) with an accepted candidate of its tier whose expression is neither in seen (expression) nor in another slot: id, tier, expression, e, pos, domain.
+
+    Rounds of draws until no slot is open: a round draws `spare` candidates for each open slot (and some thousands), rejects
+    those that aren't useful, are of another tier, were seen or are taken, and gives the rest out by tier, slots in the order of
+    a shuffle by seed and candidates in the order of their draws. An error when per_slot draws for each slot have left slots open.
+    Each round is a written table in folder, which must be shared; only numbers of open slots by tier come to the driver. Ids must
+    be unique; a slot with a null tier, or one that the domain doesn't have, stays open and so is an error too.
+    """
+    spark = slots.sparkSession
+    open_ = run.written(slots.select(F.col("id").cast("string").alias("id"), "tier"), f"{folder}/open-0")
+    taken, drawn, number, rounds = None, 0, 0, []
+    total = open_.count()
+    while left := {r["tier"]: r["n"] for r in open_.groupBy("tier").agg(F.count("*").alias("n")).collect()}:
+        count = min(sum(left.values()) * spare + 4000, per_slot * total - drawn)
+        if count <= 0:
+            raise ValueError(f"slots without a candidate after {drawn} draws: {left}")
+        number += 1
+        pool = accepted(candidates(spark, count, domain, seed, drawn), domain).withColumn("tier", X.tier(F.size(F.col("e")["operators"])))
+        pool = pool.where(F.col("tier").isin([t for t in left if t])).join(seen.select("expression"), "expression", "left_anti")
+        if taken is not None:
+            pool = pool.join(taken, "expression", "left_anti")
+        have = places.running(run.written(pool, f"{folder}/pool-{number}"), ["tier"], ["pos"], {"draw": F.lit(1).cast("long")}).drop("draw_all")
+        want = ranked(open_, "tier", "id", f"{seed}:{number}")
+        filled = run.written(want.join(have, ["tier", "draw"]).select("id", "tier", "expression", "e", "pos", "domain"), f"{folder}/filled-{number}")
+        rounds.append(filled)
+        taken = filled.select("expression") if taken is None else taken.unionByName(filled.select("expression"))
+        open_ = run.written(open_.join(filled.select("id"), "id", "left_anti"), f"{folder}/open-{number}")
+        drawn += count
+    if not rounds:
+        return open_.select("id", "tier", F.lit("").alias("expression"), F.lit(None).cast("struct<operands: array<double>, operators: array<string>>").alias("e"), F.lit(0).cast("long").alias("pos"), F.lit(domain).alias("domain"))
+    return reduce(DataFrame.unionByName, rounds)

@@ -114,7 +114,7 @@ def running_rate(df: DataFrame, metric: str, pos: str, every: int = 10, by: Sequ
     """The mean of all rows so far after each `every` rows, and after the last."""
     value = F.col(metric).cast("double")
     sums = {"seen": F.lit(1).cast("long"), "__sum": value, "__of": F.when(value.isNotNull(), 1).cast("long")}
-    rows = places.running(df.select(*by, pos, metric), by, places.spread(df, pos), [pos], sums)
+    rows = places.running(df.select(*by, pos, metric), by, [pos], sums)
     rate = F.round(F.col("__sum") / F.nullif(F.col("__of"), F.lit(0)), 4).alias("rate")
     return rows.where((F.col("seen") % every == 0) | (F.col("seen") == F.col("seen_all"))).select(*by, "seen", rate)
 

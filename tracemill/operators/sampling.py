@@ -10,10 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, TimestampType
 from pyspark.sql.window import Window
 
 from . import places
+from .names import free
 
 
 def shuffle_key(id_: Column, seed: str | int) -> Column:
@@ -48,11 +48,11 @@ def sizes_of(df: DataFrame, stratum: str) -> DataFrame:
 
 def ranked(df: DataFrame, stratum: str, id_: str, seed: str | int, name: str = "draw", size: str | None = None) -> DataFrame:
     """df with the 1-based place of each row in its stratum's shuffle, ties by id, and with size the stratum's number of rows."""
-    key = shuffle_key(F.col(id_), seed)
-    rows = df.withColumn("__key", key)
+    key = free(df, "shuffle")
+    rows = df.withColumn(key, shuffle_key(F.col(id_), seed))
     # The first three hex digits of a hash are its cell.
     one = {name: F.lit(1).cast("long")}
-    placed = places.running(rows, [stratum], F.substring("__key", 1, 3), ["__key", id_], one).drop("__key")
+    placed = places.running(rows, [stratum], [key, id_], one, cell=F.substring(key, 1, 3)).drop(key)
     return placed.withColumnRenamed(f"{name}_all", size) if size else placed.drop(f"{name}_all")
 
 
@@ -126,17 +126,17 @@ def simple_sample(df: DataFrame, id_: str, size: int, seed: str | int) -> DataFr
 
 def batches(df: DataFrame, length: str, pos: str, size: int, by: Sequence[str] = ()) -> DataFrame:
     """df with batch: rows of like lengths together, `size` at a time, in order of length and then pos."""
-    rows = places.running(df, by, F.col(length), [length, pos], {"__place": F.lit(1).cast("long")})
-    return rows.select(*df.columns, F.floor((F.col("__place") - 1) / size).cast("long").alias("batch"))
+    place = free(df, "place")
+    rows = places.running(df, by, [length, pos], {place: F.lit(1).cast("long")})
+    return rows.select(*df.columns, F.floor((F.col(place) - 1) / size).cast("long").alias("batch"))
 
 
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), width: int = 6, prefix: str = "") -> DataFrame:
     """df with number (from 0 in the order given) and label, zero-padded."""
-    kind = df.schema[order[0]].dataType
-    cell = places.spread(df, order[0]) if isinstance(kind, (NumericType, TimestampType)) else F.substring(F.col(order[0]).cast("string"), 1, 2)
-    rows = places.running(df, by, cell, order, {"__place": F.lit(1).cast("long")})
+    place = free(df, "place")
+    rows = places.running(df, by, order, {place: F.lit(1).cast("long")})
     label = F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), width, "0"))
-    return rows.select(*df.columns, (F.col("__place") - 1).alias("number")).withColumn("label", label)
+    return rows.select(*df.columns, (F.col(place) - 1).alias("number")).withColumn("label", label)
 
 
 def last_wins(df: DataFrame, key: Sequence[str], pos: str) -> DataFrame:

@@ -171,7 +171,7 @@ def inconsistent_artifacts(spark, d):
 
 @query("""SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'completion' ELSE 'prompt' END AS part, text AS content, CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END AS trained
 FROM conversations""")
-def prompt_completion(spark, d):
+def masked_messages(spark, d):
     """Only the columns that training needs, messages as prompt and completion, and how many characters a mask leaves."""
     own = C("role") == "assistant"
     return table(spark, d, "conversations").select(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import hashing, parsing, trace, transcripts
-from ..operators import checks, compare, generate, metrics, mixing, rollouts
+from ..operators import checks, containment, generate, metrics, packing, rollouts
 from ..sources import readers
+from ..streaming import run
 from .registry import query, table
 
 C = F.col
@@ -100,12 +101,22 @@ def failure_classes(spark, d):
     return _scored(spark, d).groupBy(s["outcome"].alias("outcome"), metrics.bucket(s["first_illegal_reason"]).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, '2.0' AS before, '0.0' AS after FROM ({_N}) WHERE k = 3")
+@query(f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, k, {_SCORE}, CASE WHEN k = 2 THEN -0.1 WHEN k IN (0, 3) THEN 2.0 ELSE 0.0 END AS reward, k IN (0, 1, 2, 3) AS valid,
+  CASE k WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 2 END AS first, CASE WHEN k = 3 THEN CASE WHEN s <> p THEN 1 WHEN q <> p * s THEN 2 END WHEN k = 4 THEN 3 WHEN k = 5 THEN 1 WHEN k = 7 THEN 2 END AS wrong FROM ({_N})),
+c AS (SELECT *, k IN (0, 1, 2) OR (k = 3 AND wrong IS NULL) AS kept, CASE WHEN wrong IS NULL THEN CASE WHEN k = 6 THEN 1 ELSE 2 END ELSE wrong - 1 END AS right_calls FROM b),
+d AS (SELECT *, CASE WHEN k = 2 THEN 'no_answer' WHEN kept AND k <> 1 THEN 'valid_correct' WHEN kept THEN 'valid_incorrect' ELSE 'invalid_correct' END AS outcome2, CASE WHEN k = 2 THEN -0.1 WHEN kept AND k <> 1 THEN 2.0 ELSE 0.0 END AS reward2 FROM c),
+e AS (SELECT id, unnest(['reward', 'outcome', 'valid_trajectory', 'first_illegal_call_index', 'legal_call_count']) AS field, unnest([reward::DOUBLE::VARCHAR, outcome, valid::VARCHAR, first::VARCHAR, legal::VARCHAR]) AS before,
+  unnest([reward2::DOUBLE::VARCHAR, outcome2, kept::VARCHAR, wrong::VARCHAR, right_calls::VARCHAR]) AS after FROM d)
+SELECT * FROM e WHERE before IS DISTINCT FROM after""")
 def rescored_changes(spark, d):
-    """Trajectories whose reward differs under a scorer that wants the calls as they were planned."""
-    rows = _scored(spark, d).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "k", C("score")["reward"].cast("string").alias("reward")).distinct()
-    strict = rows.withColumn("reward", F.when(C("k") == 3, "0.0").otherwise(C("reward")))
-    return compare.changed(rows, strict, "id", "reward")
+    """Stored trajectories replayed through a scorer that takes any order that reduces the expression and a revised one that takes the plan only, and what differs."""
+    plan = F.transform(C("plan"), lambda c: F.struct(c["op"].alias("op"), c["a"].alias("a"), c["b"].alias("b")))
+    versions = {
+        "reduction": trace.score(C("expression"), C("calls"), C("stated"), F.lit(2), C("answer")),
+        "plan": trace.planned_score(plan, C("calls"), C("stated"), C("answer")),
+    }
+    rows = _trajectories(spark, d).withColumn("id", C("l_orderkey") * 10 + C("l_linenumber"))
+    return rollouts.replayed(rows, "id", versions, ["reward", "outcome", "valid_trajectory", "first_illegal_call_index", "legal_call_count"])
 
 
 def _call_text(op: str, a, b, name: str = "calculator"):
@@ -205,43 +216,102 @@ def transcript_build(spark, d):
         transcripts.final_text(C("m")).alias("final_text"), F.size("m").alias("n_messages"))
 
 
-def _records(spark, d=None, count: int = 1000):
-    return generate.records(generate.unseen([generate.accepted(generate.candidates(spark, count, dom, 42), dom) for dom in generate.DOMAINS]))
+_SLOTS = "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_nationkey = 0 THEN 'easy' WHEN c_mktsegment = 'BUILDING' THEN 'medium' ELSE 'hard' END AS tier, c_mktsegment AS stage FROM customer"
 
 
-@query("SELECT domain, 0::BIGINT AS violations, 0::BIGINT AS ood_violations, 0::BIGINT AS replay_failures FROM (VALUES ('id'), ('length'), ('negative'), ('float')) t(domain)")
-def generated_records(spark, d):
-    """Generated problems of all domains, with the violations of their checks."""
-    rows = _records(spark)
-    replayed = checks.replay(rows).select("id", ((C("whole") != "valid_correct") | (C("cut") != "invalid_correct")).alias("bad"))
-    return rows.join(replayed, "id").groupBy("domain").agg(
-        F.count_if(F.size(checks.record_violations()) > 0).alias("violations"), F.count_if(checks.ood_violations(C("domain"), C("e")).isNotNull()).alias("ood_violations"),
-        F.count_if("bad").alias("replay_failures"))
+def _slots(spark, d):
+    """Rows of customer as slots of a tier, and the expressions of line items, which no slot may get."""
+    tier = F.when(C("c_nationkey") == 0, "easy").when(C("c_mktsegment") == "BUILDING", "medium").otherwise("hard")
+    slots = table(spark, d, "customer").select(C("c_custkey").cast("string").alias("id"), tier.alias("tier"), C("c_mktsegment").alias("stage"))
+    seen = _problems(spark, d).select(X.render(C("e")).alias("expression")).distinct()
+    return slots, seen
 
 
-@query("SELECT tier, n AS n_slots, n AS n_replaced, n AS n_expressions, n AS n_hashed FROM (VALUES ('easy', 10::BIGINT), ('medium', 30), ('hard', 20)) t(tier, n)")
-def replacement_rows(spark, d):
-    """Slots given new expressions of their tier, each once, with hashes for a manifest."""
-    slots = spark.range(60).select(F.concat(F.lit("s"), C("id").cast("string")).alias("id"), F.when(C("id") < 10, "easy").when(C("id") < 40, "medium").otherwise("hard").alias("tier"))
-    pool = generate.accepted(generate.candidates(spark, 2000, "negative", 9), "negative")
-    got = generate.replacements(slots, pool, 1).withColumn("sha", hashing.text_sha256(C("replacement_expression")))
-    return got.groupBy("tier").agg(
-        F.count("*").alias("n_slots"), F.count("replacement_expression").alias("n_replaced"), F.countDistinct("replacement_expression").alias("n_expressions"), F.countDistinct("sha").alias("n_hashed"))
+@query(f"""SELECT tier, count(*) AS n_slots, count(*) AS n_filled, count(*) AS n_expressions, 0::BIGINT AS n_seen, 0::BIGINT AS n_other_tier, 0::BIGINT AS violations, 0::BIGINT AS ood_violations, 0::BIGINT AS replay_failures
+FROM ({_SLOTS}) GROUP BY 1""")
+def refilled_slots(spark, d):
+    """Slots of a table filled with unseen expressions of their tier by rounds of draws, and the checks of all their records."""
+    slots, seen = _slots(spark, d)
+    folder = run.scratch(spark)
+    filled = run.written(generate.refilled(slots, seen, "id", 11, folder), f"{folder}/filled")
+    rows = run.written(generate.records(filled, slots=True), f"{folder}/records")
+    replayed = checks.replay(rows).select("id", ((C("whole") != "valid_correct") | (C("cut") != "invalid_correct")).alias("bad"))
+    met = filled.select("id", "expression").join(seen.withColumn("met", F.lit(True)), "expression", "left").select("id", "met")
+    judged = rows.select("id", "expression", C("tier").alias("own_tier"), F.size(checks.record_violations()).alias("v"), checks.ood_violations(C("domain"), C("e")).alias("ood"))
+    every = slots.join(judged, "id", "left").join(replayed, "id", "left").join(met, "id", "left")
+    return every.groupBy("tier").agg(
+        F.countDistinct("id").alias("n_slots"), F.count("expression").alias("n_filled"), F.countDistinct("expression").alias("n_expressions"), F.count_if("met").alias("n_seen"),
+        F.count_if(C("tier") != C("own_tier")).alias("n_other_tier"), F.count_if(C("v") > 0).alias("violations"), F.count_if(C("ood").isNotNull()).alias("ood_violations"), F.count_if("bad").alias("replay_failures"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS stage, CASE WHEN c_custkey % 10 < 1 THEN 'length' WHEN c_custkey % 10 < 3 THEN 'negative' WHEN c_custkey % 10 < 4 THEN 'float' ELSE 'id' END AS domain, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
+e AS (SELECT domain, count(*) AS n FROM c WHERE domain <> 'id' GROUP BY 1)
+SELECT domain, n, 0::BIGINT AS repeated, 0::BIGINT AS ood_violations, 0::BIGINT AS useless FROM e""")
+def domain_splits(spark, d):
+    """A split of every other domain as large as its rows of orders, of useful expressions that no earlier one and no line item has."""
+    kind = F.when(C("c_custkey") % 10 < 1, "length").when(C("c_custkey") % 10 < 3, "negative").when(C("c_custkey") % 10 < 4, "float")
+    wanted = table(spark, d, "orders").join(table(spark, d, "customer"), C("o_custkey") == C("c_custkey")).select(C("o_orderkey").cast("string").alias("id"), kind.alias("domain")).where("domain is not null")
+    _, seen = _slots(spark, d)
+    folder, parts = run.scratch(spark), []
+    for domain in ("length", "negative", "float"):
+        # Domains take turns, each with what those before it took among the seen; longer expressions leave room in every domain.
+        slots = wanted.where(C("domain") == domain).select("id", F.lit("hard").alias("tier"))
+        got = run.written(generate.refilled(slots, seen, domain, 5, f"{folder}/{domain}"), f"{folder}/{domain}-all")
+        parts.append(got)
+        seen = seen.unionByName(got.select("expression"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    often = every.groupBy("expression").agg(F.count("*").alias("times"))
+    judged = every.join(often, "expression").select("domain", "times", checks.ood_violations(C("domain"), C("e")).alias("ood"), X.is_useful(C("e")).alias("useful"))
+    return judged.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(C("times") > 1).alias("repeated"), F.count_if(C("ood").isNotNull()).alias("ood_violations"), F.count_if(~C("useful")).alias("useless"))
+
+
+@query(f"""WITH s AS ({_SLOTS}), cells AS (SELECT stage, tier AS domain, count(*) AS n FROM s GROUP BY ALL),
+hashed AS (SELECT sum(('0x' || sha256('{{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}}')[1:15])::BIGINT::HUGEINT) AS h, count(*) AS n FROM customer)
+SELECT '{{"name":"mix","seed":7,"rows":' || (SELECT count(*) FROM s) || ',"composition":[' || (SELECT string_agg('{{"stage":"' || stage || '","domain":"' || domain || '","n":' || n || '}}', ',' ORDER BY stage, domain) FROM cells)
+  || '],"sources":[{{"name":"customer","rows":' || n || ',"fingerprint":"' || h || '"}}]}}' AS manifest FROM hashed""")
+def mix_manifest(spark, d):
+    """The manifest of a mixture, with the fingerprint of the table that it was made from."""
+    slots, _ = _slots(spark, d)
+    source = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return checks.manifest(slots.select("stage", C("tier").alias("domain")), "mix", 7, {"customer": (source, "c_custkey")})
+
+
+@query("""WITH rows AS (SELECT doc_id // 64 AS node, count(*) AS n, count(*) FILTER (WHERE doc_id % 97 = 5) AS gone, count(*) FILTER (WHERE doc_id % 101 = 7 AND doc_id % 97 <> 5) AS other, count(*) FILTER (WHERE doc_id % 211 = 9 AND doc_id % 97 <> 5) AS again FROM documents GROUP BY 1)
+SELECT node * 64 AS low, (node + 1) * 64 AS high, n AS n_before, n - gone + again AS n_after FROM rows WHERE gone + other + again > 0""")
+def changed_ranges(spark, d):
+    """Documents saved and loaded again, as they were and with rows lost, changed and repeated; the ranges of keys that differ, found from two hash trees."""
+    folder, docs = run.scratch(spark), table(spark, d, "documents")
+    k = C("doc_id")
+    edited = docs.where(k % 97 != 5).withColumn("n_chars", C("n_chars") + F.when(k % 101 == 7, 1).otherwise(0))
+    edited = edited.unionByName(edited.where(k % 211 == 9))
+    trees = []
+    for name, rows in (("before", docs), ("after", edited)):
+        saved = run.written(rows, f"{folder}/{name}")
+        trees.append(run.written(hashing.hash_tree(saved, "doc_id", 64), f"{folder}/{name}-tree"))
+    same = hashing.differing_ranges(trees[0], hashing.hash_tree(spark.read.parquet(f"{folder}/before"), "doc_id", 64), 64)
+    found = hashing.differing_ranges(*trees, 64)
+    # What was only saved and loaded differs nowhere; if it did, the rows would show here with a wrong count.
+    return found.unionByName(same.withColumn("n_after", F.lit(-1).cast("long")))
+
+
+@query("""WITH c AS (SELECT conv_id, sum(len(string_split(coalesce(text, ''), ' '))) AS n FROM conversations GROUP BY 1)
+SELECT count(*) AS n_rows, sum(n)::BIGINT AS n_tokens, count(*) AS n_placed, sum(n)::BIGINT AS n_placed_tokens, 0::BIGINT AS n_overfull, 0::BIGINT AS n_gaps, true AS within_bound FROM c""")
+def packed_sequences(spark, d):
+    """The sequences of conversations packed into bins of 512 tokens, none cut; the words of a text stand for its tokens."""
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(words).cast("long").alias("n"))
+    bins = packing.packed(rows, "n", "conv_id", 512)
+    filled = bins.groupBy("bin").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    whole = filled.agg(
+        F.sum("rows").alias("n_placed"), F.sum("tokens").alias("n_placed_tokens"), F.count_if((C("tokens") > 512) & (C("rows") > 1)).alias("n_overfull"),
+        (F.max("bin") + 1 - F.count("*")).alias("n_gaps"), F.count_if(C("tokens") <= 512).alias("bins"), F.sum(F.when(C("tokens") <= 512, C("tokens"))).alias("inner"))
+    # Best fit decreasing needs 11/9 of the best number of bins and one more; the tokens give a lower bound of that number, and rows above half a bin another.
+    least = rows.agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_tokens"), F.count_if(C("n").between(257, 512)).alias("large"))
+    best = F.greatest(F.ceil(C("inner") / 512), C("large"))
+    return least.join(whole, F.lit(True)).select("n_rows", "n_tokens", "n_placed", "n_placed_tokens", "n_overfull", "n_gaps", F.coalesce(C("bins") <= 1.5 * best + 1, F.lit(True)).alias("within_bound"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT item_id) AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contained_items(spark, d):
-    """Documents that hold a test item word for word, wherever it begins and however short it is.
-
-    A word that has white space on both sides within an item is a whole word of every text that holds the item, so
-    items meet texts by their longest such word; items without one are sought in every text. Then the whole item counts.
-    """
-    inner = F.slice(F.split("text", r"\s+"), 2, F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(0)))
-    items = table(spark, d, "benchmark").where("text is not null").select("item_id", C("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
-    size = items.agg(F.sum(F.length("item")).alias("bytes")).first()["bytes"] or 0
-    small = F.broadcast if size < 8_000_000 else lambda x: x
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    words = docs.select("text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    by_word = words.join(small(items.where("word is not null")), "word").where(F.contains("text", C("item")))
-    wordless = docs.join(small(items.where("word is null")), F.contains("text", C("item")))
-    return by_word.select("item_id").unionByName(wordless.select("item_id")).agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
+    """Documents that hold a test item word for word, wherever it begins and however short it is."""
+    return containment.contained(table(spark, d, "documents"), table(spark, d, "benchmark")).agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))

@@ -12,9 +12,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function under its name, with DuckDB SQL for the same rows where SQL can express it."""
+    """Registers a function under its name, with DuckDB SQL for the same rows where SQL can express it. A name given twice is an error."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators import rollouts
 from ..streaming import run, turns
-from .registry import query
+from .registry import query, table
 
 C = F.col
 
@@ -20,11 +22,36 @@ def stream_telemetry(spark, d):
     return run.drained(turns.telemetry_windows(rows, window="1 hour"), "complete").withColumn("utilization_mean", F.round("utilization_mean", 6))
 
 
-@query("""SELECT conv_id::VARCHAR AS id, 2::BIGINT AS n_calls, conv_id::DOUBLE AS answer, NULL::VARCHAR AS error, 3::BIGINT AS turns_used FROM conversations WHERE turn = 2""")
+def _said(rows):
+    """Each text of conversations as a turn: by its length it ends with an answer, an unclosed call or a call, or ran out of tokens."""
+    text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))
+    call = F.concat(F.lit(' <tool_call>{"name": "calculator", "arguments": {"op": "+", "a": '), n.cast("string"), F.lit(', "b": '), C("turn").cast("string"), F.lit("}}</tool_call>"))
+    tail = F.when(n % 5 == 0, F.concat(F.lit(" The answer is "), n.cast("string"), F.lit("."))).when(n % 5 == 1, " <tool_call>").otherwise(call)
+    return rows.select(C("conv_id").cast("string").alias("id"), "turn", F.concat(text, tail).alias("text"), (n % 7 == 0).alias("exhausted"))
+
+
+_TOLD = """WITH t AS (SELECT conv_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+e AS (SELECT *, CASE WHEN n % 5 > 1 THEN CASE WHEN i >= {budget} THEN 'max_tool_calls_exceeded' END WHEN n % 7 = 0 THEN 'thinking_budget_exhausted' WHEN n % 5 = 1 THEN 'unclosed_tool_call' ELSE '' END AS ended FROM t),
+f AS (SELECT conv_id, min(i) FILTER (WHERE ended IS NOT NULL) AS i, count(*) AS turns FROM e GROUP BY 1)"""
+
+
+@query(f"""{_TOLD.format(budget=2)} SELECT conv_id::VARCHAR AS id, i::BIGINT AS n_calls, CASE WHEN ended = '' THEN n END::DOUBLE AS answer, nullif(ended, '') AS error, (i + 1)::BIGINT AS turns_used
+FROM f JOIN e USING (conv_id, i)""")
 def stream_turns(spark, d):
-    """The agent loop from state by id; two calls and an answer, ids with fewer turns not ended."""
-    call = F.lit('<tool_call>{"name": "calculator", "arguments": {"op": "+", "a": 1, "b": 2}}</tool_call>')
-    rows = run.source(spark, f"{d}/conversations.parquet").select(
-        C("conv_id").cast("string").alias("id"), "turn", F.when(C("turn") < 2, call).otherwise(F.concat(F.lit("The answer is "), C("conv_id").cast("string"))).alias("text"),
-        F.lit(False).alias("exhausted"))
-    return run.drained(turns.play(rows, 6))
+    """The agent loop as a stream over the texts of conversations, its state a table of columns that ends with the id."""
+    folder = run.scratch(spark)
+    turns.play(_said(run.source(spark, f"{d}/conversations.parquet")), 2, folder).awaitTermination()
+    return turns.played(spark, folder)
+
+
+@query(f"""{_TOLD.format(budget=3)}, x AS (SELECT f.*, e.ended, e.n FROM f LEFT JOIN e USING (conv_id, i))
+SELECT conv_id::VARCHAR AS id, coalesce(i, least(turns, 4))::BIGINT AS n_calls, CASE WHEN ended = '' THEN n END::DOUBLE AS answer, CASE WHEN i IS NULL THEN 'agent_loop_exhausted' ELSE nullif(ended, '') END AS error,
+  coalesce(i + 1, least(turns, 4))::BIGINT AS turns_used FROM x""")
+def turn_rounds(spark, d):
+    """Rounds over the conversations that are still active, batched anew by length each time, each answered from its recorded turns."""
+    told = table(spark, d, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    recorded = _said(told).join(told.select(C("conv_id").cast("string").alias("id"), "turn", (F.row_number().over(order) - 1).alias("place")), ["id", "turn"])
+    prompts = told.groupBy(C("conv_id").cast("string").alias("id")).agg(F.coalesce(F.min_by(F.length("text"), "turn"), F.lit(0)).alias("length"))
+    respond = lambda active, number: active.join(recorded.where(C("place") == number), "id").select("id", "text", "exhausted")
+    return rollouts.rounds(prompts, respond, 3, 16, run.scratch(spark)).drop("length")

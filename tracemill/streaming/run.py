@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,14 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; only on a local master, where that is unset, a temporary one."""
+    """A new folder under the cluster's spark.checkpoint.dir; only on a local master, where that is unset, a temporary one. It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tracemill-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+    atexit.register(_delete_at_end, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session has ended already
+        pass
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a table at path, computed once and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def source(spark: SparkSession, path: str, files: int = 4) -> DataFrame:

@@ -2,64 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import parsing, trace
+from . import run
 
-PLAYED = "id string, n_calls long, answer double, error string, turns_used long"
+#: What is known of an id between turns: calls and turns so far, how it ended, and the batch of its last turn.
+STATE = "id string, n_calls long, turns_used long, answer double, error string, done boolean, at long, new boolean"
+RESULT = ["id", "n_calls", "answer", "error", "turns_used"]
 
 
-def parsed(turns: DataFrame, dialect: str = "standard") -> DataFrame:
-    """turns (id, turn, text, exhausted) with call, error and answer, worked out without Python."""
-    text = parsing.first_call_only(F.trim("text"))
-    got = parsing.tool_call(text, dialect=dialect)
-    return turns.select("id", "turn", "exhausted", got["call"].isNotNull().alias("has_call"), got["error"].alias("error"), parsing.final_answer(text).alias("answer"))
+def advanced(state: DataFrame, turns: DataFrame, budget: int, number: int = 0, dialect: str = "standard") -> DataFrame:
+    """The state of every id after more turns (id, turn, text, exhausted): STATE, where new marks ids that these turns ended.
 
+    Turns of one id are played in their order, as a fold over columns. Turns after the end of an id change nothing.
+    """
+    turn = F.struct("turn", "text", "exhausted")
+    told = turns.groupBy(F.col("id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    both = state.drop("new").join(told, "id", "full_outer")
+    open_ = F.col("turns").isNotNull() & ~F.coalesce("done", F.lit(False))
+    before = F.coalesce("n_calls", F.lit(0))
+    played = parsing.play(F.when(open_, F.col("turns")), (F.lit(budget) - before).cast("int"), dialect)
+    rows = both.withColumn("played", played)
+    p, ended = F.col("played"), F.col("played").isNotNull() & F.coalesce(F.col("played")["done"], F.lit(False))
+    return rows.select(
+        "id", (before + F.coalesce(F.size(p["calls"]), F.lit(0))).cast("long").alias("n_calls"), (F.coalesce("turns_used", F.lit(0)) + F.coalesce(p["turns_used"], F.lit(0))).cast("long").alias("turns_used"),
+        F.when(ended, p["answer"]).otherwise(F.col("answer")).alias("answer"), F.when(ended, p["error"]).otherwise(F.col("error")).alias("error"),
+        (ended | F.coalesce("done", F.lit(False))).alias("done"), F.when(F.col("turns").isNotNull(), number).otherwise(F.col("at")).cast("long").alias("at"), ended.alias("new"),
+    )
+
+
+def play(turns: DataFrame, budget: int, folder: str, after: int = 1, idle: int | None = None, dialect: str = "standard") -> StreamingQuery:
+    """The agent loop as a stream, started: each batch's ended ids are rows of folder/rows, the state is a table of folder/state.
+
+    turns: id, turn, text, exhausted; turns of one id come in order of batches. folder must be shared. The state of an
+    id that ended goes when no turn came for it in `after` batches, that of one that didn't end after `idle` batches
+    (None: never); a turn that comes later begins anew. A batch that is tried again reads the state before it and
+    replaces what it wrote, so each end is told once; a query started again on the folder goes on where it stopped.
+    """
+    spark = turns.sparkSession
+    place = lambda kind, number: f"{folder}/{kind}/__batch={number}"
 
-def play(turns: DataFrame, budget: int, idle_seconds: int | None = None) -> DataFrame:
-    """The agent loop as a stream: one row for each id when it ends, from state keyed by id.
+    def save(batch: DataFrame, number: int) -> None:
+        before = spark.createDataFrame([], STATE)
+        if number:
+            known = spark.read.schema(STATE).parquet(place("state", number - 1))
+            gone = F.when(F.col("done"), F.col("at") < number - after).otherwise(F.lit(False) if idle is None else F.col("at") < number - idle)
+            before = known.where(~gone)
+        advanced(before, batch, budget, number, dialect).write.mode("overwrite").parquet(place("state", number))
+        spark.read.schema(STATE).parquet(place("state", number)).where("new").select(*RESULT).write.mode("overwrite").parquet(place("rows", number))
+        run.delete(spark, place("state", number - 2))
+
+    return turns.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
-    turns: id, turn, text, exhausted, in any number of micro-batches; turns of one id come in order of turn.
-    Turns after the end of an id change nothing. With idle_seconds the state of an id that no turn came for goes after
-    that time, ended or not, so the store holds the ids of that time only; a turn that comes later begins anew. That
-    is for streams that run on: Spark looks for idle ids without end, so one with the trigger availableNow doesn't end.
-    """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        calls, used, done = state.get if state.exists else (0, 0, False)
-        rows = pd.concat(list(parts)).sort_values("turn")
-        for t in rows.itertuples():
-            if done:
-                break
-            used += 1
-            ended = None
-            if t.exhausted and not t.has_call:
-                ended = (None, "thinking_budget_exhausted")
-            elif isinstance(t.error, str):
-                ended = (None, t.error)
-            elif not t.has_call:
-                ended = (None, "missing_final_answer") if pd.isna(t.answer) else (t.answer, None)
-            elif calls >= budget:
-                ended = (None, "max_tool_calls_exceeded")
-            else:
-                calls += 1
-            if ended:
-                done = True
-                yield pd.DataFrame([(key[0], calls, *ended, used)], columns=["id", "n_calls", "answer", "error", "turns_used"])
-        state.update((calls, used, done))
-        if idle_seconds:
-            state.setTimeoutDuration(idle_seconds * 1000)
-
-    idle = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
-    return parsed(turns).groupBy("id").applyInPandasWithState(step, PLAYED, "calls long, used long, done boolean", "append", idle)
+def played(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids that have ended so far."""
+    return spark.read.schema(STATE).parquet(f"{folder}/rows").select(*RESULT)
 
 
 def scored(predictions: DataFrame) -> DataFrame:
