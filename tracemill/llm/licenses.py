@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -191,52 +191,59 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     return best.select("m.doc_id", "m.line_no", "m.license", F.round(-F.col("m.d"), 6).alias("dice"))
 
 
+def _hashes(spark: SparkSession, bigrams: set[str]) -> dict[str, int]:
+    """The 64-bit number of each bigram of the templates, as Spark's hash of its two words gives it."""
+    rows = spark.createDataFrame([(b, *b.split(" ")) for b in sorted(bigrams)], "b string, x string, y string")
+    return {r["b"]: r["h"] for r in rows.select("b", F.xxhash64("x", "y").alias("h")).collect()}
+
+
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Places of templates within whole texts: doc_id, word_no, n_words (the template's), license, dice. templates: those of lines and the BODIES unless given.
 
     A window begins where a bigram of the text, laid on the same probe bigram of a template, puts the template's
     first word, and has as many words as the template, less what would stand outside the text. Of the windows of one
     template at or above the threshold the one with the highest coefficient is given, the first of equals, then the
-    next that has no place of a given one, and so on: copies that follow each other are each given. word_no counts from 1 and is less for a template whose beginning is cut
-    off by the start of the text. Null, empty and blank texts, texts of one word and templates of fewer than two
+    next that has no place of a given one, and so on: copies that follow each other are each given. word_no counts
+    from 1 and is less for a template whose beginning is cut off by the start of the text. Null, empty and blank texts, texts of one word and templates of fewer than two
     words match nothing; an empty table gives an empty result; repeated rows match each for itself. More columns
-    of docs are ignored. 0 < threshold <= 1.
+    of docs are ignored. 0 < threshold <= 1. Bigrams are told apart by 64-bit hashes.
     """
     templates = [(n, t) for n, t in (TEMPLATES + BODIES if templates is None else templates) if template_bigrams(t)]
     spark, places = docs.sparkSession, anchors(templates, threshold)
     need = sorted({max(b.split(" "), key=lambda w: (len(w), w)) for *_, b in places})
     # A place of a template as one number: the template's in the upper bits, below it the start that it gives, less the anchor's own place.
     high, zero = 40, 1 << 20
-    codes: dict[str, list[int]] = {}
+    number_of = _hashes(spark, {b for _, t in templates for b in template_bigrams(t)})
+    codes: dict[int, list[int]] = {}
     for k, q, b in places:
-        codes.setdefault(b, []).append((k << high) + zero - q)
+        codes.setdefault(number_of[b], []).append((k << high) + zero - q)
     if not codes:
         return docs.select("doc_id", F.lit(0).cast("long").alias("word_no"), F.lit(0).cast("long").alias("n_words"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).where(F.lit(False))
-    by_probe = F.create_map(*(x for b, c in codes.items() for x in (F.lit(b), F.array(*(F.lit(v).cast("long") for v in c)))))
+    by_probe = F.create_map(*(x for b, c in codes.items() for x in (F.lit(b).cast("long"), F.array(*(F.lit(v).cast("long") for v in c)))))
     sizes = F.array(*(F.lit(len(template_bigrams(t))) for _, t in templates))
-    bodies = F.array(*(F.array(*(F.lit(b) for b in template_bigrams(t))) for _, t in templates))
+    bodies = F.array(*(F.array(*(F.lit(number_of[b]).cast("long") for b in template_bigrams(t))) for _, t in templates))
 
     raw = docs.select("doc_id", F.split(F.lower("text"), "[^a-z0-9]+").alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, need))))
-    # The explode of one list keeps its words from being cut anew wherever they are used.
-    texts = raw.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.explode(F.array(F.filter("w", lambda w: w != ""))).alias("w")).where(F.size("w") > 1)
-    pair = lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))
-    firsts = sorted({b.split(" ")[0] for b in codes})
-    hits = F.filter(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.get("w", i).isin(firsts) & pair(i).isin(list(codes)))
-    laid = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(by_probe, pair(i)), lambda c: c + i))))
+    # The explode of one list keeps what it holds from being made anew wherever it is used: words, then the number of each bigram.
+    cut = raw.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.explode(F.array(F.filter("w", lambda w: w != ""))).alias("w")).where(F.size("w") > 1)
+    numbers = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
+    texts = cut.select("doc_id", "row_id", F.explode(F.array(numbers)).alias("g"))
+    hits = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("g", i).isin(list(codes)))
+    laid = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(by_probe, F.get("g", i)), lambda c: c + i))))
     number = lambda c: F.shiftright(c, high).cast("int")
     start = lambda c: (c.bitwiseAND(F.lit((1 << high) - 1)) - zero).cast("int")
 
     first = lambda c: F.greatest(start(c), F.lit(0))
-    last = lambda c: F.least(start(c) + F.get(sizes, number(c)), F.size("w") - 1) - 1
-    window = lambda c: F.transform(F.sequence(first(c), last(c)), pair)
+    last = lambda c: F.least(start(c) + F.get(sizes, number(c)), F.size("g")) - 1
+    window = lambda c: F.slice("g", first(c) + 1, last(c) - first(c) + 1)
 
     # What a window and its template have in common is at most the bigrams of both, with the template's repeats.
     distinct = F.array(*(F.lit(len(t) - len(set(t))) for t in (template_bigrams(x) for _, x in templates)))
     most = lambda c: F.size(F.array_intersect(window(c), F.get(bodies, number(c)))) + F.get(distinct, number(c))
     least = lambda c: threshold * (last(c) - first(c) + 1 + F.get(sizes, number(c))) - 1e-9
-    near = texts.select("doc_id", "row_id", "w", F.filter(laid, lambda c: 2.0 * most(c) >= least(c)).alias("codes"))
+    near = texts.select("doc_id", "row_id", "g", F.filter(laid, lambda c: 2.0 * most(c) >= least(c)).alias("codes"))
     found = near.where(F.size("codes") > 0).select("doc_id", "row_id", F.inline(F.transform("codes", lambda c: F.struct(number(c).alias("k"), start(c).alias("s"), window(c).alias("b")))))
-    table = spark.createDataFrame([(k, n, template_bigrams(t)) for k, (n, t) in enumerate(templates)], "k int, license string, t array<string>")
+    table = spark.createDataFrame([(k, n, [number_of[b] for b in template_bigrams(t)]) for k, (n, t) in enumerate(templates)], "k int, license string, t array<long>")
     scored = found.join(F.broadcast(table), "k").select("doc_id", "row_id", "k", "s", "license", F.size("t").alias("m"), dice(F.col("b"), F.col("t")).alias("dice"))
     # Windows that may overlap come together by runs, those of one text and template whose starts are no farther apart than the template is long.
     order = Window.partitionBy("row_id", "k").orderBy("s")
