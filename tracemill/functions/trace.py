@@ -65,18 +65,53 @@ def _why(call: Column, states: Column, known: Column, stuck: Column) -> Column:
     )
 
 
+def given(text: Column, calls: Column, stated: Column, expected_calls: Column, answer: Column) -> Column:
+    """What a trajectory is judged by: start state, calls, answers, and whether a product sign stands where a number should."""
+    held = F.coalesce(calls, F.array()).cast(f"array<{CALL}>")
+    return bind(tokens(text), lambda p: F.struct(
+        start_state(p).alias("start"), (F.size(F.filter(p, lambda x, i: (i % 2 == 0) & (x == "*"))) > 0).alias("stuck"), held.alias("calls"), stated.alias("stated"),
+        expected_calls.alias("expected"), answer.alias("answer"),
+    ))
+
+
+def judged(x: Column, end: Column) -> Column:
+    """The score of a trajectory (given) whose legal calls, `legal` of them, lead to the states of end; bad: the next one is illegal in all."""
+    done = F.transform(F.slice(x["calls"], F.lit(1), end["legal"]), lambda c: calculate(c["op"], c["a"], c["b"]))
+    reason = F.when(end["bad"], _why(F.get(x["calls"], end["legal"]), end["states"], F.concat(F.filter(x["start"]["n"], lambda n: n.isNotNull()), done), x["stuck"]))
+    reduced = ~end["bad"] & F.coalesce(F.exists(end["states"], lambda s: (F.size(s["n"]) == 1) & (F.size(s["o"]) == 0) & (F.get(s["n"], F.lit(0)) == x["answer"])), F.lit(False))
+    return bind(F.struct(reason.alias("reason"), reduced.alias("reduced")), lambda r: _result(x, end, r))
+
+
+def _result(x: Column, end: Column, r: Column) -> Column:
+    n, legal = F.size(x["calls"]), ~end["bad"]
+    right_count = n == x["expected"]
+    valid, correct = r["reduced"] & F.coalesce(right_count, F.lit(False)), F.coalesce(x["stated"] == x["answer"], F.lit(False))
+    # The names of the outcomes and the fields.
+    outcome = (
+        F.when(x["stated"].isNull(), "no_answer").when(valid & correct, "valid_correct").when(~valid & ~correct, "invalid_incorrect")
+        .when(valid, "valid_incorrect").otherwise("invalid_correct")
+    )
+    reward = F.when(x["stated"].isNull(), -0.1).when(valid & correct, 2.0).when(~valid & ~correct, -1.0).otherwise(0.0)
+    return F.struct(
+        reward.alias("reward"), outcome.alias("outcome"), legal.alias("all_calls_legal"), end["legal"].alias("legal_call_count"),
+        r["reduced"].alias("fully_reduced"), right_count.alias("call_count_correct"), F.greatest(F.lit(0), n - x["expected"]).alias("overcall_count"),
+        F.when(end["bad"], end["legal"] + 1).alias("first_illegal_call_index"), r["reason"].alias("first_illegal_reason"),
+        F.when(r["reason"] == "post_completion_call", n - end["legal"]).otherwise(0).alias("post_completion_call_count"),
+        valid.alias("valid_trajectory"), correct.alias("answer_correct"),
+    )
+
+
+def next_states(states: Column, call: Column, stuck: Column) -> Column:
+    """The states that a call can lead to from any of the given ones; none if it is illegal in all."""
+    return _next(states, call, stuck)
+
+
 def score(text: Column, calls: Column, stated: Column, expected_calls: Column, answer: Column) -> Column:
     """struct of reward, outcome, legality, counts and the first illegal call of a trajectory.
 
     calls: array<struct<op, a, b>>, null for none; stated: the answer given, null if there was none. Reward is
     -0.1 without an answer, 2 for a valid and right trajectory, -1 if both are wrong, else 0.
     """
-    calls = F.coalesce(calls, F.array()).cast(f"array<{CALL}>")
-    pieces = tokens(text)
-    given = bind(pieces, lambda p: F.struct(
-        start_state(p).alias("start"), (F.size(F.filter(p, lambda x, i: (i % 2 == 0) & (x == "*"))) > 0).alias("stuck"), calls.alias("calls"), stated.alias("stated"),
-        expected_calls.alias("expected"), answer.alias("answer"),
-    ))
 
     def folded(x: Column) -> Column:
         begin = F.struct(F.array(x["start"]).alias("states"), F.lit(0).alias("legal"), F.lit(False).alias("bad"))
@@ -88,31 +123,7 @@ def score(text: Column, calls: Column, stated: Column, expected_calls: Column, a
 
         return bind(F.aggregate(x["calls"], begin, step), lambda end: judged(x, end))
 
-    def judged(x: Column, end: Column) -> Column:
-        done = F.transform(F.slice(x["calls"], F.lit(1), end["legal"]), lambda c: calculate(c["op"], c["a"], c["b"]))
-        reason = F.when(end["bad"], _why(F.get(x["calls"], end["legal"]), end["states"], F.concat(F.filter(x["start"]["n"], lambda n: n.isNotNull()), done), x["stuck"]))
-        reduced = ~end["bad"] & F.coalesce(F.exists(end["states"], lambda s: (F.size(s["n"]) == 1) & (F.size(s["o"]) == 0) & (F.get(s["n"], F.lit(0)) == x["answer"])), F.lit(False))
-        return bind(F.struct(reason.alias("reason"), reduced.alias("reduced")), lambda r: result(x, end, r))
-
-    def result(x: Column, end: Column, r: Column) -> Column:
-        n, legal = F.size(x["calls"]), ~end["bad"]
-        right_count = n == x["expected"]
-        valid, correct = r["reduced"] & F.coalesce(right_count, F.lit(False)), F.coalesce(x["stated"] == x["answer"], F.lit(False))
-        # The names of the outcomes and the fields.
-        outcome = (
-            F.when(x["stated"].isNull(), "no_answer").when(valid & correct, "valid_correct").when(~valid & ~correct, "invalid_incorrect")
-            .when(valid, "valid_incorrect").otherwise("invalid_correct")
-        )
-        reward = F.when(x["stated"].isNull(), -0.1).when(valid & correct, 2.0).when(~valid & ~correct, -1.0).otherwise(0.0)
-        return F.struct(
-            reward.alias("reward"), outcome.alias("outcome"), legal.alias("all_calls_legal"), end["legal"].alias("legal_call_count"),
-            r["reduced"].alias("fully_reduced"), right_count.alias("call_count_correct"), F.greatest(F.lit(0), n - x["expected"]).alias("overcall_count"),
-            F.when(end["bad"], end["legal"] + 1).alias("first_illegal_call_index"), r["reason"].alias("first_illegal_reason"),
-            F.when(r["reason"] == "post_completion_call", n - end["legal"]).otherwise(0).alias("post_completion_call_count"),
-            valid.alias("valid_trajectory"), correct.alias("answer_correct"),
-        )
-
-    return bind(given, folded)
+    return bind(given(text, calls, stated, expected_calls, answer), folded)
 
 
 def planned_score(plan: Column, calls: Column, stated: Column, answer: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import hashing, parsing, trace, transcripts
-from ..operators import checks, containment, generate, metrics, packing, rollouts
+from ..operators import checks, containment, generate, metrics, packing, reduction, rollouts
 from ..sources import readers
 from ..streaming import run
 from .registry import query, table
@@ -76,6 +76,15 @@ def score_trace(spark, d):
         s["first_illegal_call_index"].alias("first_illegal"), s["overcall_count"].alias("overcalls"), s["reward"].alias("reward"))
 
 
+@query(f"""SELECT l_orderkey * 10 + l_linenumber AS id, {_SCORE}, CASE k WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 2 END AS first_illegal FROM ({_N})""")
+def score_graph(spark, d):
+    """The same scores from a graph of reductions that all trajectories on an expression share."""
+    rows = _trajectories(spark, d).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "expression", "calls", "stated", F.lit(2).alias("expected"), "answer")
+    s = C("score")
+    return reduction.scored(rows, "id", run.scratch(spark)).select(
+        "id", s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"), s["first_illegal_call_index"].alias("first_illegal"))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, k NOT IN (4, 5, 7) AS valid, k IN (0, 1, 2, 3) AS complete FROM ({_N})")
 def semantic_trace(spark, d):
     """Whether calls are legal, and whether they reduce the expression to its answer."""
