@@ -88,6 +88,11 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(json_string(text), 256)
 
 
+def identity(*columns: Column) -> Column:
+    """128 bits that stand for values in groups and joins, so that a shuffle carries them in place of long texts; nulls are values too."""
+    return F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit("identity"), *columns).alias("y"))
+
+
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, length of whole files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")

@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import free
+
 
 def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """df with its rows of a table of unique keys; a key that the table lacks is an error."""
-    marked = table.withColumn("__found", F.lit(True))
-    joined = df.join(marked, key, "left")
-    checked = F.when(F.col("__found").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
-    return joined.withColumn("__found", checked).where("__found").drop("__found")
+    found = free(df.join(table, key), "found")
+    joined = df.join(table.withColumn(found, F.lit(True)), key, "left")
+    checked = F.when(F.col(found).isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return joined.withColumn(found, checked).where(F.col(found)).drop(found)
 
 
 def replace_rows(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """base with whole rows replaced by those of new with the same key; a null of a replacement replaces too."""
     names = [c for c in base.columns if c != key]
-    held = new.select(key, F.struct(*names).alias("__new"))
+    row = free(base, "new row")
+    held = new.select(key, F.struct(*names).alias(row))
     joined = base.join(held, key, "left")
-    pick = lambda c: F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c)
+    pick = lambda c: F.when(F.col(row).isNotNull(), F.col(row)[c]).otherwise(F.col(c)).alias(c)
     return joined.select(key, *(pick(c) for c in names))
 
 
@@ -88,8 +91,8 @@ def arms(pool: DataFrame, base: DataFrame, key: str, percents: Sequence[int]) ->
     """Every arm of a mixture from one pool of replacements: pool has min_percent, the first arm it belongs to."""
     spark = base.sparkSession
     dimension = F.broadcast(spark.createDataFrame([(int(p),) for p in percents], "percent int"))
-    names = [c for c in base.columns if c != key]
-    chosen = pool.join(dimension, F.col("min_percent") <= F.col("percent")).select("percent", key, F.struct(*names).alias("__new"))
+    names, row = [c for c in base.columns if c != key], free(base, "new row")
+    chosen = pool.join(dimension, F.col("min_percent") <= F.col("percent")).select("percent", key, F.struct(*names).alias(row))
     every = base.crossJoin(dimension).join(chosen, ["percent", key], "left")
-    pick = lambda c: F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c)
-    return every.select("percent", key, *(pick(c) for c in names), F.col("__new").isNotNull().alias("replaced"))
+    pick = lambda c: F.when(F.col(row).isNotNull(), F.col(row)[c]).otherwise(F.col(c)).alias(c)
+    return every.select("percent", key, *(pick(c) for c in names), F.col(row).isNotNull().alias("replaced"))

@@ -115,8 +115,9 @@ def top_with_fill(df: DataFrame, stratum: str, pos: str, wanted: dict[str, int],
     if not wanted:
         return first
     chosen = reduce(DataFrame.unionByName, (df.where(F.col(stratum) == k).orderBy(pos).limit(n) for k, n in wanted.items()))
-    fill = first.join(chosen.select(pos), pos, "left_anti").withColumn("__fill", F.lit(1))
-    return chosen.withColumn("__fill", F.lit(0)).unionByName(fill).orderBy("__fill", pos).limit(total).select(*df.columns)
+    late = free(df, "late")
+    fill = first.join(chosen.select(pos), pos, "left_anti").withColumn(late, F.lit(1))
+    return chosen.withColumn(late, F.lit(0)).unionByName(fill).orderBy(late, pos).limit(total).select(*df.columns)
 
 
 def simple_sample(df: DataFrame, id_: str, size: int, seed: str | int) -> DataFrame:

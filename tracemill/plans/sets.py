@@ -38,7 +38,8 @@ def semi_join(spark, d):
 def repeated_rows(spark, d):
     """Rows beyond the first of their text, by an anti join."""
     docs = table(spark, d, "documents")
-    return mixing.without(docs.select("doc_id"), docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")), "doc_id")
+    first = docs.groupBy(hashing.identity(C("text")).alias("text")).agg(F.min("doc_id").alias("doc_id"))
+    return mixing.without(docs.select("doc_id"), first, "doc_id")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
