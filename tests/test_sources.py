@@ -53,10 +53,19 @@ def test_archives_documents_and_samples(spark, tmp_path):
     assert readers.document(spark, str(tmp_path / "d.json")).first().a == 1
     s = spark.range(1).select(readers.device_sample(F.lit("10, 20,x,5,7.5"), F.lit("t")).alias("s")).first().s
     assert (s.memory_used_mib, s.memory_free_mib, s.power_draw_watts) == (10.0, None, 7.5)
-    files = spark.createDataFrame([("a.txt", bytearray(b"1"))], "name string, content binary")
-    assert writers.bundle(files, ["a.txt"]).first().n_files == 1
-    with pytest.raises(Exception, match="not in the bundle"):
-        writers.bundle(files, ["b.txt"]).collect()
+    files = spark.createDataFrame([(f"f{i}.{'json' if i % 3 else 'txt'}", bytearray(f"text {i} é".encode() * (i + 1))) for i in range(40)], "name string, content binary")
+    made = writers.bundles(files, f"file://{tmp_path}/bundles", ["f0.txt"], shards=3).collect()
+    assert sum(r.n_files for r in made) == 40 and len(list((tmp_path / "bundles").iterdir())) == 3
+    read = readers.zip_members(spark, f"{tmp_path}/bundles", wide=5).collect()
+    assert sorted((r.member, r.content) for r in read) == sorted((f"f{i}.json", f"text {i} é" * (i + 1)) for i in range(40) if i % 3)
+    assert sorted(z for p in (tmp_path / "bundles").iterdir() for z in zipfile.ZipFile(p).namelist()) == sorted(r.name for r in files.collect())
+    with pytest.raises(FileNotFoundError, match="not in the bundle"):
+        writers.bundles(files, f"file://{tmp_path}/more", ["b.txt"])
+    broken = bytearray((tmp_path / "z.zip").read_bytes())
+    broken[broken.index(b'{"a": 1}')] ^= 1
+    (tmp_path / "broken.zip").write_bytes(bytes(broken))
+    with pytest.raises(Exception, match="another checksum"):
+        readers.zip_members(spark, str(tmp_path / "broken.zip")).collect()
 
 
 def test_sparse_and_canonical(spark):

@@ -95,12 +95,13 @@ def report_document(spark, d):
 
 @query("""SELECT lang || '/metrics.json' AS member, '{"n":' || count(*) || ',"n_chars":' || sum(n_chars)::BIGINT || '}' AS content FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
 def archive_members(spark, d):
-    """A ZIP of one report by language with its required names checked, and the JSON members in it."""
+    """Reports by language in ZIP archives by shard, required names checked, and the JSON members read by their offsets."""
     by = table(spark, d, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
     files = by.select(F.concat("lang", F.lit("/metrics.json")).alias("name"), F.to_json(F.struct("n", "n_chars")).alias("content"))
     notes = spark.range(1).select(F.lit("notes.txt").alias("name"), F.lit("not JSON").alias("content"))
-    archive = writers.bundle(files.unionByName(notes), ["notes.txt"]).select(F.lit("bundle.zip").alias("path"), "content")
-    return readers.members(archive).select("member", "content")
+    path = scratch(spark)
+    writers.bundles(files.unionByName(notes), path, ["notes.txt"], shards=2)
+    return readers.zip_members(spark, path).select("member", "content")
 
 
 @query("""SELECT event_id, value AS memory_used_mib, user_id::DOUBLE AS memory_total_mib, NULL::DOUBLE AS memory_free_mib, (event_id % 100)::DOUBLE AS gpu_utilization_percent,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -88,23 +88,58 @@ def document(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def members(archives: DataFrame, suffix: str = ".json") -> DataFrame:
-    """archive, member, content of the members of ZIP archives (path, content) whose names end in suffix; a task holds one archive at a time."""
+def opened(path: str):
+    """A file of any file system that pyarrow opens, for reads at any place."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path.removeprefix('file:')}"
+    where, name = fs.FileSystem.from_uri(path)
+    return where.open_input_file(name)
+
+
+def zip_directory(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """archive, member, method, crc, offset, packed, size of the members of ZIP archives whose names end in suffix, from the archives' directories alone."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in z.namelist():
-                        if m.endswith(suffix):
-                            yield pd.DataFrame([(name, m, z.read(m).decode("utf-8"))], columns=["archive", "member", "content"])
+            for name in part["path"]:
+                with opened(name) as file, zipfile.ZipFile(file) as z:
+                    found = [(name, m.filename, m.compress_type, m.CRC, m.header_offset, m.compress_size, m.file_size) for m in z.infolist() if m.filename.endswith(suffix)]
+                yield pd.DataFrame(found, columns=["archive", "member", "method", "crc", "offset", "packed", "size"])
+
+    # Contents aren't selected, so the scan lists the files only.
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInPandas(run, "archive string, member string, method int, crc long, offset long, packed long, size long")
 
-    return archives.select("path", "content").mapInPandas(run, "archive string, member string, content string")
 
+def zip_members(spark: SparkSession, path: str, suffix: str = ".json", wide: int | None = None) -> DataFrame:
+    """archive, member, content of the members of the ZIP archives at a path.
 
-def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """The members of the ZIP archives at a path."""
-    return members(spark.read.format("binaryFile").load(path), suffix)
+    Members are read by their offsets, neighbours of an archive together, `wide` ranges of them (as many as shuffle
+    partitions unless given) each in a task of its own, so a task holds one member at a time and never an archive. A
+    member that is neither stored nor deflated, or whose checksum differs, is an error.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for archive, own in part.groupby("archive", sort=False):
+                with opened(archive) as file:
+                    for m in own.itertuples():
+                        file.seek(m.offset)
+                        head = file.read(30)
+                        file.seek(m.offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+                        data = file.read(m.packed)
+                        if m.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                            raise ValueError(f"{archive}: {m.member} is packed by method {m.method}")
+                        data = zlib.decompress(data, -15) if m.method == zipfile.ZIP_DEFLATED else data
+                        if zlib.crc32(data) != m.crc:
+                            raise ValueError(f"{archive}: {m.member} has another checksum")
+                        yield pd.DataFrame([(archive, m.member, data.decode("utf-8"))], columns=["archive", "member", "content"])
+
+    wide = wide or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = zip_directory(spark, path, suffix).repartitionByRange(wide, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return ranges.mapInPandas(run, "archive string, member string, content string")
 
 
 def device_sample(line: Column, timestamp: Column) -> Column:

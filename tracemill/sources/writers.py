@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -40,21 +39,40 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def bundle(files: DataFrame, required: list[str]) -> DataFrame:
-    """One row with a ZIP of files (name, content binary), for artifacts that fit in a task; a required name that is missing is an error."""
+def bundles(files: DataFrame, path: str, required: list[str], shards: int = 1) -> DataFrame:
+    """ZIP archives of files (name, content) in the folder path, one by shard: archive, n_files.
+
+    Files go to shards by a hash of their names and each into its archive as it comes, so a task holds one file at a
+    time. A required name that is missing is an error, before anything is written. Archives are named by shard and task
+    attempt; those of attempts that don't count are deleted when all are there. path must be shared and open to pyarrow.
+    """
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    names = files.select("name").where(F.col("name").isin(required)).distinct()
+    if missing := sorted(set(required) - {r["name"] for r in names.collect()}):
+        raise FileNotFoundError(f"not in the bundle: {missing}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, names = io.BytesIO(), set()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        task, count = TaskContext.get(), 0
+        where, base = fs.FileSystem.from_uri(path)
+        where.create_dir(base, recursive=True)
+        name = f"bundle-{task.partitionId():05d}-{task.taskAttemptId()}.zip"
+        with where.open_output_stream(f"{base}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for part in parts:
-                for name, content in zip(part["name"], part["content"], strict=True):
-                    z.writestr(zipfile.ZipInfo(name), content)
-                    names.add(name)
-        if missing := sorted(set(required) - names):
-            raise FileNotFoundError(f"not in the bundle: {missing}")
-        yield pd.DataFrame([(out.getvalue(), len(names))], columns=["content", "n_files"])
-
-    return files.select("name", F.col("content").cast("binary")).coalesce(1).mapInPandas(run, "content binary, n_files long")
+                for file, content in zip(part["name"], part["content"], strict=True):
+                    z.writestr(zipfile.ZipInfo(file), content, zipfile.ZIP_DEFLATED)
+                    count += 1
+        yield pd.DataFrame([(name, count)], columns=["archive", "n_files"])
+
+    dealt = files.select("name", F.col("content").cast("binary").alias("content")).repartition(shards, "name").sortWithinPartitions("name")
+    made = files.sparkSession.createDataFrame(dealt.mapInPandas(run, "archive string, n_files long").collect(), "archive string, n_files long")  # one row a shard
+    where, base = fs.FileSystem.from_uri(path)
+    kept = {r["archive"] for r in made.collect()}
+    for info in where.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.base_name.startswith("bundle-") and info.base_name not in kept:
+            where.delete_file(info.path)
+    return made
 
 
 def report(df: DataFrame, rows: int = 50) -> None:
