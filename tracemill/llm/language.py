@@ -153,7 +153,7 @@ def fit_rows(buckets: list[np.ndarray], counts: list[np.ndarray], langs: list[st
         x = np.zeros((len(own), size), np.float32)
         for j, i in enumerate(own):
             x[j, buckets[i]] = (1 + np.log(counts[i])) * idf[buckets[i]]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
         centre = _kmeans(x, CENTROIDS)
         cosine, total = x @ centre.T, np.array([counts[i].sum() for i in own])
         long, seen_by[name] = total >= REJECT_FROM, (total, _unseen_cosine(x, cosine))
@@ -184,9 +184,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_R
     share = size.crossJoin(F.broadcast(size.agg(F.count("*").alias("langs")))).select("lang", (each / F.col("n")).alias("share"))
     drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     rows = drawn.select("text", "lang", F.xxhash64("doc_id").alias("place")).mapInArrow(_counts, "buckets array<int>, counts array<int>, lang string, place long")
-    got = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
-    model = fit_rows(*(list(got.column(c).to_numpy(zero_copy_only=False)) for c in ("buckets", "counts")), got.column("lang").to_pylist())
-    del got
+    got, order = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
+    columns = [got.column(c).to_numpy(zero_copy_only=False) for c in ("buckets", "counts", "lang")]
+    model = fit_rows(*([c[i] for i in order] for c in columns))
+    del got, columns
     trim()
     return model
 

@@ -172,9 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bucket
     )
     table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
     rows = table.mapInArrow(_rows, "buckets array<int>, label int, place long")
-    got = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
-    model = fit_rows(list(got.column("buckets").to_numpy(zero_copy_only=False)), got.column("label").to_numpy().astype(np.int64))
-    del got
+    got, order = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
+    buckets = got.column("buckets").to_numpy(zero_copy_only=False)
+    model = fit_rows([buckets[i] for i in order], got.column("label").to_numpy()[order].astype(np.int64))
+    del got, buckets
     trim()
     return model
 

@@ -50,16 +50,17 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def bounded(df: DataFrame, place: str, size: Column, most: int) -> pa.Table:
-    """A written table's rows in the order of place (a long that tells rows apart), on the driver: the first whose sizes come to `most` together.
+def bounded(df: DataFrame, place: str, size: Column, most: int) -> tuple[pa.Table, list[int]]:
+    """A written table's rows on the driver, the first in the order of place (a long that tells rows apart) whose sizes come to `most` together, and their order.
 
-    The sizes of all rows come to the driver first, so their number must be bounded.
+    The sizes of all rows come to the driver first, so their number must be bounded. Rows stay as they come, so that there is one copy of them.
     """
     sizes = df.select(place, size.cast("long").alias("size")).toArrow().sort_by(place)
     ends = np.cumsum(sizes.column("size").to_numpy())
     if len(ends) and ends[-1] > most:
         df = df.where(F.col(place) <= sizes.column(place)[max(0, int(np.searchsorted(ends, most, "right")) - 1)].as_py())
-    return df.toArrow().sort_by(place)
+    rows = df.toArrow()
+    return rows, np.argsort(rows.column(place).to_numpy(), kind="stable").tolist()
 
 
 def freed(spark: SparkSession, folder: str, *names: str) -> None:
