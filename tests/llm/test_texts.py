@@ -480,3 +480,12 @@ def test_naive_blocks_of_tag_soup():
             text = " ".join(re.sub("</?[a-z0-9]+>", "", part).replace("&amp;", "&").split())
             want += [text] if text else []
         assert [b.text for b in blocks(page)] == want
+
+
+def test_indicators_depend_on_their_own_text_only():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "bb", "C!", "the", "x9"], k=rng.randint(0, 6))) for _ in range(200)]
+    of = lambda rows: [i.tolist() for _, _, data, offsets in slices(pa.array(rows)) for i in quality.indicators(data, offsets)]
+    assert of(texts) == [of([t])[0] for t in texts]

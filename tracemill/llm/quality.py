@@ -64,9 +64,10 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     starts, ends, first = word_spans(data, offsets)
     same = span_hashes(data, starts, ends)
     kinds = np.bitwise_or.reduceat(_KIND[data], starts) if len(starts) else np.zeros(0, np.uint8)
+    inner = np.arange(len(same)) - np.repeat(first[:-1], np.diff(first))  # a word's place in its own text, where alone it can come again
     back = np.zeros(len(same), np.uint64)
     for i in range(BACK, 0, -1):
-        back[i:][same[i:] == same[:-i]] = i
+        back[i:][(same[i:] == same[:-i]) & (inner[i:] >= i)] = i
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     long = np.minimum(np.log2(ends - starts + 1), 5).astype(np.uint64)
     shapes = kinds.astype(np.uint64) | np.where(_KIND[last] == 8, last, 0).astype(np.uint64) << np.uint64(8) | back << np.uint64(16)
