@@ -156,7 +156,7 @@ def _rows(part: pa.Table) -> list[tuple[int, str]]:
 def _scan(docs: DataFrame, held: Broadcast) -> DataFrame:
     """docs with the hits of the items of one chunk."""
     name = uuid4().hex
-    schema = StructType([*docs.schema, StructField(HITS, ddl(_TYPE))])
+    schema = StructType([*docs.schema, StructField(HITS, ddl(_TYPE), False)])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("length", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
