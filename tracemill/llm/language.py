@@ -75,6 +75,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, lang, place -> buckets, counts, lang, place."""
+    release()
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(0)):
             rows = [np.unique(x, return_counts=True) for x in grams(data, offsets)]

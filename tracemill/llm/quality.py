@@ -101,6 +101,7 @@ def indicators(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, label, place -> buckets, label, place."""
+    release()
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(0)):
             rows = [x.astype(np.int32) for x in indicators(data, offsets)]
