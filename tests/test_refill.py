@@ -80,3 +80,20 @@ def test_manifest(spark):
     print_ = hashing.fingerprint(source.orderBy(F.desc("k")), "k").first()
     assert told == {"name": "m", "seed": 3, "rows": 3, "composition": [{"stage": "eval", "domain": "float", "n": 1}, {"stage": "train", "domain": "id", "n": 2}], "sources": [{"name": "s", "rows": 2, "fingerprint": print_.fingerprint}]}
     assert json.loads(checks.manifest(df.limit(0), "m", 3).first().manifest) == {"name": "m", "seed": 3, "rows": 0, "composition": []}
+
+
+def test_slots_beyond_the_first_operands(spark, tmp_path):
+    """More easy slots than there are easy expressions of operands up to 20: the operands grow, and nothing is drawn on and on."""
+    want = spark.range(30_000).select(F.col("id").cast("string").alias("id"), F.lit("easy").alias("tier"))
+    seen = spark.createDataFrame([("2 + 3*4",)], "expression string")
+    got = generate.refilled(want, seen, "id", 4, str(tmp_path), per_slot=60)
+    told = got.agg(F.countDistinct("id"), F.countDistinct("expression"), F.bool_and(X.is_useful(F.col("e")) & (X.render(F.col("e")) == F.col("expression"))), F.max(F.array_max(F.col("e")["operands"]))).first()
+    assert told[:3] == (30_000, 30_000, True) and 20 < told[3] <= generate.HIGHEST
+
+
+def test_extent(spark):
+    """Answer and largest step without the steps, against those of the trace."""
+    rows = generate.candidates(spark, 3000, "negative", 9).unionByName(generate.candidates(spark, 3000, "length", 9))
+    t, x = X.precedence_trace(F.col("e")), X.extent(F.col("e"))
+    both = rows.select(t["answer"].alias("a"), F.array_max(F.transform(t["steps"], lambda s: F.abs(s["result"]))).alias("m"), x["answer"].alias("b"), x["most"].alias("n"))
+    assert both.where(~(F.col("a").eqNullSafe(F.col("b")) & F.col("m").eqNullSafe(F.col("n")))).count() == 0

@@ -105,8 +105,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def extent(e: Column) -> Column:
+    """struct<answer, most>: the answer with precedence and the greatest size of a step's result, without the steps; most is null without any."""
+    none = F.lit(None)
+    # Sum of the terms so far, null before the first has ended, the operator before the last term (null: the first) and its value.
+    start = F.struct(none.cast("double").alias("total"), none.cast("string").alias("op"), F.get(e["operands"], F.lit(0)).alias("n"), none.cast("double").alias("most"))
+    closed = lambda s: F.when(s["op"].isNull(), s["n"]).otherwise(calculate(s["op"], s["total"], s["n"]))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        times = once(s["n"] * x["n"], lambda n: F.struct(s["total"].alias("total"), s["op"].alias("op"), n.alias("n"), F.greatest(s["most"], F.abs(n)).alias("most")))
+        other = once(closed(s), lambda t: F.struct(t.alias("total"), x["op"].alias("op"), x["n"].alias("n"), F.when(s["op"].isNull(), s["most"]).otherwise(F.greatest(s["most"], F.abs(t))).alias("most")))
+        return F.when(x["op"] == "*", times).otherwise(other)
+
+    end = lambda s: once(closed(s), lambda t: F.struct(t.alias("answer"), F.when(s["op"].isNull(), s["most"]).otherwise(F.greatest(s["most"], F.abs(t))).alias("most")))
+    return F.aggregate(_pairs(e), start, step, end)
+
+
 def is_useful(e: Column, limit: float = 100_000, trace: Column | None = None) -> Column:
     """Precedence matters, and the answer and every intermediate result are within the limit. trace: that of e, where it is there already."""
     within = lambda t: (left_to_right(e) != t["answer"]) & (F.abs(t["answer"]) <= limit) & F.forall(t["steps"], lambda s: F.abs(s["result"]) <= limit)
     mixed = F.array_contains(e["operators"], "*") & F.exists(e["operators"], lambda x: x != "*")
-    return mixed & (F.get(F.transform(F.array(precedence_trace(e)), within), F.lit(0)) if trace is None else within(trace))
+    if trace is not None:
+        return mixed & within(trace)
+    bounded = lambda t: (left_to_right(e) != t["answer"]) & (F.abs(t["answer"]) <= limit) & (t["most"] <= limit)
+    return mixed & F.get(F.transform(F.array(extent(e)), bounded), F.lit(0))

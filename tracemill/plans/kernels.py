@@ -16,12 +16,17 @@ _N = "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, l_partkey % 19 +
 _KEYS = ["l_orderkey", "l_linenumber"]
 
 
+_NUMBERS = [C("l_quantity").alias("q"), (C("l_partkey") % 19 + 2).cast("double").alias("p"), (C("l_suppkey") % 17 + 2).cast("double").alias("s")]
+
+
+def _expression():
+    return X.expression(F.array("q", "p", "s"), F.array(F.lit("+"), F.lit("*")))
+
+
 def _problems(spark, d):
     """q + p*s with its parts."""
     lines = readers.dealt(table(spark, d, "lineitem").select(*_KEYS, "l_quantity", "l_partkey", "l_suppkey"))
-    rows = lines.select(
-        *_KEYS, C("l_quantity").alias("q"), (C("l_partkey") % 19 + 2).cast("double").alias("p"), (C("l_suppkey") % 17 + 2).cast("double").alias("s"), (C("l_orderkey") % 8).alias("k"))
-    return rows.withColumn("e", X.expression(F.array("q", "p", "s"), F.array(F.lit("+"), F.lit("*"))))
+    return lines.select(*_KEYS, *_NUMBERS, (C("l_orderkey") % 8).alias("k")).withColumn("e", _expression())
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, q || ' + ' || p || '*' || s AS expression, ((q + p) * s)::DOUBLE AS naive, (q + p * s)::DOUBLE AS answer,
@@ -232,8 +237,9 @@ def _slots(spark, d):
     """Rows of customer as slots of a tier, and the expressions of line items, which no slot may get."""
     tier = F.when(C("c_nationkey") == 0, "easy").when(C("c_mktsegment") == "BUILDING", "medium").otherwise("hard")
     slots = table(spark, d, "customer").select(C("c_custkey").cast("string").alias("id"), tier.alias("tier"), C("c_mktsegment").alias("stage"))
-    seen = _problems(spark, d).select(X.render(C("e")).alias("expression")).distinct()
-    return slots, seen
+    # Equal numbers are put into words once: line items share them.
+    numbers = table(spark, d, "lineitem").select(*_NUMBERS).distinct()
+    return slots, numbers.select(X.render(_expression()).alias("expression")).distinct()
 
 
 @query(f"""SELECT tier, count(*) AS n_slots, count(*) AS n_filled, count(*) AS n_expressions, 0::BIGINT AS n_seen, 0::BIGINT AS n_other_tier, 0::BIGINT AS violations, 0::BIGINT AS ood_violations, 0::BIGINT AS replay_failures
@@ -242,6 +248,7 @@ def refilled_slots(spark, d):
     """Slots of a table filled with unseen expressions of their tier by rounds of draws, and the checks of all their records."""
     slots, seen = _slots(spark, d)
     folder = run.scratch(spark)
+    seen = run.written(seen, f"{folder}/seen")
     filled = run.written(generate.refilled(slots, seen, "id", 11, folder), f"{folder}/filled")
     rows = run.written(generate.records(filled, slots=True), f"{folder}/records")
     replayed = checks.replay(rows).select("id", ((C("whole") != "valid_correct") | (C("cut") != "invalid_correct")).alias("bad"))
