@@ -267,8 +267,8 @@ def domain_splits(spark, d):
     """A split of every other domain as large as its rows of orders, of useful expressions that no earlier one and no line item has."""
     kind = F.when(C("c_custkey") % 10 < 1, "length").when(C("c_custkey") % 10 < 3, "negative").when(C("c_custkey") % 10 < 4, "float")
     wanted = table(spark, d, "orders").join(table(spark, d, "customer"), C("o_custkey") == C("c_custkey")).select(C("o_orderkey").cast("string").alias("id"), kind.alias("domain")).where("domain is not null")
-    _, seen = _slots(spark, d)
     folder, parts = run.scratch(spark), []
+    seen = run.written(_slots(spark, d)[1], f"{folder}/seen")
     for domain in ("length", "negative", "float"):
         # Domains take turns, each with what those before it took among the seen; longer expressions leave room in every domain.
         slots = wanted.where(C("domain") == domain).select("id", F.lit("hard").alias("tier"))
