@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import hashing, parsing, trace, transcripts
-from ..operators import checks, containment, generate, metrics, packing, reduction, rollouts
+from ..operators import checks, containment, generate, metrics, packing, reduction, rollouts, shared
 from ..sources import readers
 from ..streaming import run
 from .registry import query, table
 
 C = F.col
 _N = "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, l_partkey % 19 + 2 AS p, l_suppkey % 17 + 2 AS s, l_orderkey % 8 AS k FROM lineitem"
-_KEYS = ["l_orderkey", "l_linenumber"]
+_KEYS, _INPUTS = ["l_orderkey", "l_linenumber"], ["q", "p", "s", "k"]
 
 
 _NUMBERS = [C("l_quantity").alias("q"), (C("l_partkey") % 19 + 2).cast("double").alias("p"), (C("l_suppkey") % 17 + 2).cast("double").alias("s")]
@@ -23,6 +25,11 @@ def _expression():
     return X.expression(F.array("q", "p", "s"), F.array(F.lit("+"), F.lit("*")))
 
 
+def _lines(spark, d):
+    """Keys and numbers of line items."""
+    return table(spark, d, "lineitem").select(*_KEYS, *_NUMBERS, (C("l_orderkey") % 8).alias("k"))
+
+
 def _problems(spark, d):
     """q + p*s with its parts."""
     lines = readers.dealt(table(spark, d, "lineitem").select(*_KEYS, "l_quantity", "l_partkey", "l_suppkey"))
@@ -48,7 +55,15 @@ def tokenize_eval(spark, d):
     return _problems(spark, d).select(*_KEYS, F.array_join(X.tokens(X.render(C("e"))), "|").alias("tokens"), F.array_join(X.tokens(signed), "|").alias("signed"))
 
 
-def _trajectories(spark, d):
+def _once(spark, d, work, inputs=_INPUTS):
+    """The keys of line items with what work makes of their problems; equal problems, as most line items have, are worked on once."""
+    made = lambda rows: work(rows.withColumn("e", _expression()) if "s" in inputs else rows)
+    lines = _lines(spark, d)
+    told = shared.once(lines, inputs, made, f"{run.scratch(spark)}/told")
+    return told.select(*_KEYS, *(c for c in told.columns if c not in lines.columns))
+
+
+def _trajectories(problems):
     """Problems with calls and a stated answer that are right or spoiled by key."""
     q, p, s, k = C("q"), C("p"), C("s"), C("k")
     call = lambda op, a, b: F.struct(F.lit(op).alias("op"), a.alias("a"), b.alias("b"))
@@ -58,7 +73,7 @@ def _trajectories(spark, d):
         .when(k == 5, F.array(call("+", q, p), good[0])).when(k == 6, F.array(good[0])).otherwise(F.array(good[0], call("+", F.lit(-5.0), F.lit(-7.0))))
     )
     stated = F.when(k == 1, answer + 1).when(k == 2, None).otherwise(answer)
-    return _problems(spark, d).select(*_KEYS, "k", X.render(C("e")).alias("expression"), calls.alias("calls"), stated.alias("stated"), answer.alias("answer"),
+    return problems.select("*", X.render(C("e")).alias("expression"), calls.alias("calls"), stated.alias("stated"), answer.alias("answer"),
         X.precedence_trace(C("e"))["steps"].alias("plan"))
 
 
@@ -67,8 +82,8 @@ _SCORE = """CASE k WHEN 1 THEN 'valid_incorrect' WHEN 2 THEN 'no_answer' WHEN 0
   CASE k WHEN 5 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 1 ELSE 2 END AS legal"""
 
 
-def _scored(spark, d):
-    return _trajectories(spark, d).withColumn("score", trace.score(C("expression"), C("calls"), C("stated"), F.lit(2), C("answer")))
+def _scored(problems):
+    return _trajectories(problems).withColumn("score", trace.score(C("expression"), C("calls"), C("stated"), F.lit(2), C("answer")))
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, {_SCORE}, CASE k WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 2 END AS first_illegal, (k = 4)::INTEGER AS overcalls,
@@ -76,7 +91,7 @@ def _scored(spark, d):
 def score_trace(spark, d):
     """Legality of call sequences, class of the first illegal call, outcome and reward."""
     s = C("score")
-    return _scored(spark, d).select(
+    return _scored(_problems(spark, d)).select(
         *_KEYS, s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"),
         s["first_illegal_call_index"].alias("first_illegal"), s["overcall_count"].alias("overcalls"), s["reward"].alias("reward"))
 
@@ -84,7 +99,7 @@ def score_trace(spark, d):
 @query(f"""SELECT l_orderkey * 10 + l_linenumber AS id, {_SCORE}, CASE k WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 2 END AS first_illegal FROM ({_N})""")
 def score_graph(spark, d):
     """The same scores from a graph of reductions that all trajectories on an expression share."""
-    rows = _trajectories(spark, d).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "expression", "calls", "stated", F.lit(2).alias("expected"), "answer")
+    rows = _trajectories(_problems(spark, d)).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "expression", "calls", "stated", F.lit(2).alias("expected"), "answer")
     s = C("score")
     return reduction.scored(rows, "id", run.scratch(spark)).select(
         "id", s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"), s["first_illegal_call_index"].alias("first_illegal"))
@@ -94,7 +109,7 @@ def score_graph(spark, d):
 def semantic_trace(spark, d):
     """Whether calls are legal, and whether they reduce the expression to its answer."""
     t = trace.semantic_trace(C("expression"), C("calls"), C("answer"), F.lit(2))
-    return _trajectories(spark, d).select(*_KEYS, t["valid"].alias("valid"), t["complete"].alias("complete"))
+    return _trajectories(_problems(spark, d)).select(*_KEYS, t["valid"].alias("valid"), t["complete"].alias("complete"))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, k, {_SCORE}, CASE WHEN k = 2 THEN -0.1 WHEN k IN (0, 3) THEN 2.0 ELSE 0.0 END AS r FROM ({_N}))
@@ -104,7 +119,7 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN k = 2 THEN r ELSE r + 0.1 * lea
 def reward_modes(spark, d):
     """The four ways of shaping a reward."""
     shaped = lambda **mode: F.round(trace.shaped_reward(C("score"), F.lit(2), **mode)["reward"], 6)
-    return _scored(spark, d).select(
+    return _scored(_problems(spark, d)).select(
         *_KEYS, shaped(max_bonus=0.1).alias("normalized"), shaped(per_call_bonus=0.5).alias("per_call"), shaped(strict=True).alias("strict"), shaped(binary=True).alias("binary"))
 
 
@@ -112,7 +127,7 @@ def reward_modes(spark, d):
 def failure_classes(spark, d):
     """Counts of outcomes and classes of failures."""
     s = C("score")
-    return _scored(spark, d).groupBy(s["outcome"].alias("outcome"), metrics.bucket(s["first_illegal_reason"]).alias("reason")).agg(F.count("*").alias("n"))
+    return _scored(_problems(spark, d)).groupBy(s["outcome"].alias("outcome"), metrics.bucket(s["first_illegal_reason"]).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, k, {_SCORE}, CASE WHEN k = 2 THEN -0.1 WHEN k IN (0, 3) THEN 2.0 ELSE 0.0 END AS reward, k IN (0, 1, 2, 3) AS valid,
@@ -129,8 +144,12 @@ def rescored_changes(spark, d):
         "reduction": trace.score(C("expression"), C("calls"), C("stated"), F.lit(2), C("answer")),
         "plan": trace.planned_score(plan, C("calls"), C("stated"), C("answer")),
     }
-    rows = _trajectories(spark, d).withColumn("id", C("l_orderkey") * 10 + C("l_linenumber"))
-    return rollouts.replayed(rows, "id", versions, ["reward", "outcome", "valid_trajectory", "first_illegal_call_index", "legal_call_count"])
+    fields = ["reward", "outcome", "valid_trajectory", "first_illegal_call_index", "legal_call_count"]
+
+    def changes(problems):
+        return rollouts.replayed(_trajectories(problems).withColumn("id", F.struct(*_INPUTS)), "id", versions, fields).select("id.*", "field", "before", "after")
+
+    return _once(spark, d, changes).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "field", "before", "after")
 
 
 def _call_text(op: str, a, b, name: str = "calculator"):
@@ -201,7 +220,7 @@ def turn_machine(spark, d):
   k IN (0, 3) AS task_success FROM ({_N})""")
 def row_metrics(spark, d):
     """Metrics of a prediction against its plan; an answer that is missing is never right."""
-    rows, plan = _scored(spark, d), F.transform(C("plan"), lambda c: F.struct(c["op"].alias("op"), c["a"].alias("a"), c["b"].alias("b")))
+    rows, plan = _scored(_problems(spark, d)), F.transform(C("plan"), lambda c: F.struct(c["op"].alias("op"), c["a"].alias("a"), c["b"].alias("b")))
     correct = F.coalesce(C("stated") == C("answer"), F.lit(False))
     return rows.select(
         *_KEYS, correct.alias("answer_correct"), (F.size("calls") > 0).alias("used_tool"), C("stated").isNotNull().alias("parseable_completion"),
@@ -215,7 +234,7 @@ def row_metrics(spark, d):
 def case_lines(spark, d):
     """A line of a report for each trajectory that failed."""
     s, n = C("score"), F.size("calls")
-    return _scored(spark, d).where(~(s["valid_trajectory"] & s["answer_correct"])).select(
+    return _scored(_problems(spark, d)).where(~(s["valid_trajectory"] & s["answer_correct"])).select(
         *_KEYS, rollouts.case_line(X.tier(F.lit(2)), F.lit(2), C("expression"), C("answer"), C("stated"), s["answer_correct"], s["valid_trajectory"], n).alias("line"))
 
 
