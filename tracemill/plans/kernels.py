@@ -234,8 +234,10 @@ def row_metrics(spark, d):
 def case_lines(spark, d):
     """A line of a report for each trajectory that failed."""
     s, n = C("score"), F.size("calls")
-    return _scored(_problems(spark, d)).where(~(s["valid_trajectory"] & s["answer_correct"])).select(
-        *_KEYS, rollouts.case_line(X.tier(F.lit(2)), F.lit(2), C("expression"), C("answer"), C("stated"), s["answer_correct"], s["valid_trajectory"], n).alias("line"))
+    line = rollouts.case_line(X.tier(F.lit(2)), F.lit(2), C("expression"), C("answer"), C("stated"), s["answer_correct"], s["valid_trajectory"], n)
+    # As the variable of a function the score is worked out once; a plain condition on it would be moved before it, with the score in each of its terms.
+    failed = F.explode(F.filter(F.array("score"), lambda x: ~(x["valid_trajectory"] & x["answer_correct"])))
+    return _once(spark, d, lambda problems: _scored(problems).select(*_INPUTS, "expression", "answer", "stated", "calls", failed.alias("score")).select(*_INPUTS, line.alias("line")))
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, 2 AS n_calls, '*,+' AS ops, p * s || ',' || (q + p * s) AS results, 'The answer is ' || (q + p * s) || '.' AS final_text, 7 AS n_messages FROM ({_N})""")
