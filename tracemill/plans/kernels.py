@@ -99,10 +99,16 @@ def score_trace(spark, d):
 @query(f"""SELECT l_orderkey * 10 + l_linenumber AS id, {_SCORE}, CASE k WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 2 END AS first_illegal FROM ({_N})""")
 def score_graph(spark, d):
     """The same scores from a graph of reductions that all trajectories on an expression share."""
-    rows = _trajectories(_problems(spark, d)).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "expression", "calls", "stated", F.lit(2).alias("expected"), "answer")
     s = C("score")
-    return reduction.scored(rows, "id", run.scratch(spark)).select(
-        "id", s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"), s["first_illegal_call_index"].alias("first_illegal"))
+
+    def walked(problems):
+        # The rows that agree in all inputs are one trajectory of the graph.
+        rows = _trajectories(problems).select(F.struct(*_INPUTS).alias("id"), "expression", "calls", "stated", F.lit(2).alias("expected"), "answer")
+        return reduction.scored(rows, "id", run.scratch(spark)).select(
+            *(C("id")[c].alias(c) for c in _INPUTS), s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"),
+            s["first_illegal_call_index"].alias("first_illegal"))
+
+    return _once(spark, d, walked).select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), "outcome", "reason", "legal", "first_illegal")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, k NOT IN (4, 5, 7) AS valid, k IN (0, 1, 2, 3) AS complete FROM ({_N})")
