@@ -25,7 +25,7 @@ def test_once(spark, tmp_path):
 
 
 #: The queries that work on equal problems once.
-QUERIES = """rescored_changes case_lines score_graph""".split()
+QUERIES = """rescored_changes case_lines score_graph transcript_build""".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -249,12 +249,16 @@ def case_lines(spark, d):
 @query(f"""SELECT l_orderkey, l_linenumber, 2 AS n_calls, '*,+' AS ops, p * s || ',' || (q + p * s) AS results, 'The answer is ' || (q + p * s) || '.' AS final_text, 7 AS n_messages FROM ({_N})""")
 def transcript_build(spark, d):
     """A transcript built from a trace, and its calls, observations and final text read back."""
-    t = X.precedence_trace(C("e"))
-    m = transcripts.build(F.lit("system"), X.render(C("e")), t["steps"], t["answer"], C("l_orderkey"))
-    return _problems(spark, d).select(*_KEYS, m.alias("m")).select(
-        *_KEYS, F.size(transcripts.expected_calls(C("m"))).alias("n_calls"), F.array_join(F.transform(transcripts.expected_calls(C("m")), lambda c: c["op"]), ",").alias("ops"),
+    t, inputs = C("t"), ["q", "p", "s", "turn"]
+    # The wording goes by the order's key modulo the number of sentences, so equal problems of one remainder have equal transcripts.
+    sentences = math.lcm(*map(len, transcripts.WORDING.values()))
+    lines = _lines(spark, d).withColumn("turn", F.pmod("l_orderkey", F.lit(sentences)))
+    m = transcripts.build(F.lit("system"), X.render(C("e")), t["steps"], t["answer"], C("turn"))
+    built = lambda problems: problems.withColumn("e", _expression()).withColumn("t", X.precedence_trace(C("e"))).select(*inputs, m.alias("m")).select(
+        *inputs, F.size(transcripts.expected_calls(C("m"))).alias("n_calls"), F.array_join(F.transform(transcripts.expected_calls(C("m")), lambda c: c["op"]), ",").alias("ops"),
         F.array_join(F.transform(transcripts.observations(C("m")), lambda x: X.number_text(transcripts.read_result(x))), ",").alias("results"),
         transcripts.final_text(C("m")).alias("final_text"), F.size("m").alias("n_messages"))
+    return shared.once(lines, inputs, built, f"{run.scratch(spark)}/told").drop("q", "p", "s", "k", "turn")
 
 
 _SLOTS = "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_nationkey = 0 THEN 'easy' WHEN c_mktsegment = 'BUILDING' THEN 'medium' ELSE 'hard' END AS tier, c_mktsegment AS stage FROM customer"
