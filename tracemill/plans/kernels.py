@@ -218,8 +218,9 @@ def turn_machine(spark, d):
         .otherwise(F.array(turn(call), turn(answer)))
     )
     played = parsing.play(C("turns"), 1)
-    return _problems(spark, d).select(*_KEYS, turns.alias("turns")).select(*_KEYS, played.alias("r")).select(
-        *_KEYS, "r.error", "r.answer", F.size("r.calls").alias("n_calls"), "r.turns_used")
+    inputs = ["q", "p", "k"]
+    return _once(spark, d, lambda problems: problems.select(*inputs, turns.alias("turns")).select(*inputs, played.alias("r")).select(
+        *inputs, "r.error", "r.answer", F.size("r.calls").alias("n_calls"), "r.turns_used"), inputs)
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, k NOT IN (1, 2) AS answer_correct, true AS used_tool, k <> 2 AS parseable_completion, k NOT IN (4, 6) AS tool_call_count_correct, k IN (0, 1, 2) OR (k = 3 AND p = s AND q = p * s) AS exact_trace,
