@@ -91,9 +91,9 @@ def _scored(problems):
 def score_trace(spark, d):
     """Legality of call sequences, class of the first illegal call, outcome and reward."""
     s = C("score")
-    return _scored(_problems(spark, d)).select(
-        *_KEYS, s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"),
-        s["first_illegal_call_index"].alias("first_illegal"), s["overcall_count"].alias("overcalls"), s["reward"].alias("reward"))
+    return _once(spark, d, lambda problems: _scored(problems).select(
+        *_INPUTS, s["outcome"].alias("outcome"), s["first_illegal_reason"].alias("reason"), s["legal_call_count"].alias("legal"),
+        s["first_illegal_call_index"].alias("first_illegal"), s["overcall_count"].alias("overcalls"), s["reward"].alias("reward")))
 
 
 @query(f"""SELECT l_orderkey * 10 + l_linenumber AS id, {_SCORE}, CASE k WHEN 4 THEN 3 WHEN 5 THEN 1 WHEN 7 THEN 2 END AS first_illegal FROM ({_N})""")
@@ -115,7 +115,7 @@ def score_graph(spark, d):
 def semantic_trace(spark, d):
     """Whether calls are legal, and whether they reduce the expression to its answer."""
     t = trace.semantic_trace(C("expression"), C("calls"), C("answer"), F.lit(2))
-    return _trajectories(_problems(spark, d)).select(*_KEYS, t["valid"].alias("valid"), t["complete"].alias("complete"))
+    return _once(spark, d, lambda problems: _trajectories(problems).select(*_INPUTS, t["valid"].alias("valid"), t["complete"].alias("complete")))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, k, {_SCORE}, CASE WHEN k = 2 THEN -0.1 WHEN k IN (0, 3) THEN 2.0 ELSE 0.0 END AS r FROM ({_N}))
@@ -133,7 +133,8 @@ def reward_modes(spark, d):
 def failure_classes(spark, d):
     """Counts of outcomes and classes of failures."""
     s = C("score")
-    return _scored(_problems(spark, d)).groupBy(s["outcome"].alias("outcome"), metrics.bucket(s["first_illegal_reason"]).alias("reason")).agg(F.count("*").alias("n"))
+    told = _once(spark, d, lambda problems: _scored(problems).select(*_INPUTS, s["outcome"].alias("outcome"), metrics.bucket(s["first_illegal_reason"]).alias("reason")))
+    return told.groupBy("outcome", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS id, k, {_SCORE}, CASE WHEN k = 2 THEN -0.1 WHEN k IN (0, 3) THEN 2.0 ELSE 0.0 END AS reward, k IN (0, 1, 2, 3) AS valid,
