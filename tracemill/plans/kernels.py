@@ -228,12 +228,12 @@ def turn_machine(spark, d):
   k IN (0, 3) AS task_success FROM ({_N})""")
 def row_metrics(spark, d):
     """Metrics of a prediction against its plan; an answer that is missing is never right."""
-    rows, plan = _scored(_problems(spark, d)), F.transform(C("plan"), lambda c: F.struct(c["op"].alias("op"), c["a"].alias("a"), c["b"].alias("b")))
+    plan = F.transform(C("plan"), lambda c: F.struct(c["op"].alias("op"), c["a"].alias("a"), c["b"].alias("b")))
     correct = F.coalesce(C("stated") == C("answer"), F.lit(False))
-    return rows.select(
-        *_KEYS, correct.alias("answer_correct"), (F.size("calls") > 0).alias("used_tool"), C("stated").isNotNull().alias("parseable_completion"),
+    return _once(spark, d, lambda problems: _scored(problems).select(
+        *_INPUTS, correct.alias("answer_correct"), (F.size("calls") > 0).alias("used_tool"), C("stated").isNotNull().alias("parseable_completion"),
         (F.size("calls") == 2).alias("tool_call_count_correct"), (C("calls") == plan).alias("exact_trace"),
-        (correct & (F.size("calls") > 0) & C("score")["fully_reduced"]).alias("task_success"))
+        (correct & (F.size("calls") > 0) & C("score")["fully_reduced"]).alias("task_success")))
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, format('[{{:>6}}] ops={{}}  {{:<30}}  expected={{:<8}}  got={{:<8}}  ans={{:<7}}  trace={{:<7}}  calls={{}}/{{}}', 'easy', 2, q || ' + ' || p || '*' || s, q + p * s,
