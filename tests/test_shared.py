@@ -25,7 +25,7 @@ def test_once(spark, tmp_path):
 
 
 #: The queries that work on equal problems once.
-QUERIES = """rescored_changes case_lines score_graph transcript_build turn_machine score_trace semantic_trace failure_classes row_metrics""".split()
+QUERIES = """rescored_changes case_lines score_graph transcript_build turn_machine score_trace semantic_trace failure_classes row_metrics reward_modes""".split()
 
 
 @pytest.mark.parametrize("name", QUERIES)

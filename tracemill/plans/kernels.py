@@ -125,8 +125,8 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN k = 2 THEN r ELSE r + 0.1 * lea
 def reward_modes(spark, d):
     """The four ways of shaping a reward."""
     shaped = lambda **mode: F.round(trace.shaped_reward(C("score"), F.lit(2), **mode)["reward"], 6)
-    return _scored(_problems(spark, d)).select(
-        *_KEYS, shaped(max_bonus=0.1).alias("normalized"), shaped(per_call_bonus=0.5).alias("per_call"), shaped(strict=True).alias("strict"), shaped(binary=True).alias("binary"))
+    return _once(spark, d, lambda problems: _scored(problems).select(
+        *_INPUTS, shaped(max_bonus=0.1).alias("normalized"), shaped(per_call_bonus=0.5).alias("per_call"), shaped(strict=True).alias("strict"), shaped(binary=True).alias("binary")))
 
 
 @query(f"SELECT outcome, coalesce(reason, 'none') AS reason, count(*) AS n FROM (SELECT {_SCORE} FROM ({_N})) GROUP BY ALL")
