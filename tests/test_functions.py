@@ -218,3 +218,15 @@ def test_case_line(spark):
     got = [r[0] for r in df.select(rollouts.case_line(*(F.col(c) for c in df.columns))).collect()]
     assert got == [f"[{'hard':>6}] ops=12  {'x' * 40}  expected={0.5:<8}  got={'None':<8}  ans={'wrong':<7}  trace={'invalid':<7}  calls=0/12",
         f"[{'easy':>6}] ops=2  {'1 + 2*3':<30}  expected={7:<8}  got={9:<8}  ans={'wrong':<7}  trace={'valid':<7}  calls=2/2"]
+
+
+def test_json_strings_in_one_pass(spark):
+    """Every character that needs an escape and some that don't, as Python's json writes them; only odd ones take the escapes one by one."""
+    texts = [*(f"a{chr(c)}b" for c in (*range(0x30), 0x5C, 0x7F, 0x80, 0xE9, 0x2028, 0xFFFD, 0x1F600)), "", "[x]", "\\u0041 \\\\ \"q\"\n\r\t\f\b/", "\n" * 50 + "\x0b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", hashing.json_string(F.col("t")).alias("j")).collect():
+        assert r.j == (None if texts[r.i] is None else json.dumps(texts[r.i], ensure_ascii=False)), repr(texts[r.i])
+    odd = spark.sql("SELECT cast(X'61FF' AS string) AS t UNION ALL SELECT cast(X'61FE' AS string)")
+    assert odd.select(F.hex(hashing.json_string(F.col("t"))).alias("h")).distinct().count() == 2
+    plan = df.select(hashing.json_string(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" in plan.lower()

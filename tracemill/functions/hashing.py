@@ -28,14 +28,14 @@ _SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f":
 
 
 def json_string(text: Column) -> Column:
-    """A string as JSON."""
-    for c, short in _SHORT.items():
-        if c >= " ":
-            text = F.replace(text, F.lit(c), F.lit(short))
-    plain = rare = text
-    for c in map(chr, range(32)):
+    """A string as JSON, in one pass; only one with control characters that have no letter, or that isn't UTF-8, goes through all escapes one by one."""
+    rare = text
+    for c in (*(c for c in _SHORT if c >= " "), *map(chr, range(32))):
         rare = F.replace(rare, F.lit(c), F.lit(_SHORT.get(c, f"\\u{ord(c):04x}")))
-    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), rare).otherwise(plain), F.lit('"'))
+    # Spark writes \\u with capital digits.
+    listed = F.to_json(F.array(text))
+    plain = ~F.contains(listed, F.lit("\\u00")) & F.is_valid_utf8(text)
+    return F.when(plain, F.substring(listed, F.lit(2), F.length(listed) - 2)).when(text.isNotNull(), F.concat(F.lit('"'), rare, F.lit('"')))
 
 
 def json_number(x: Column) -> Column:
