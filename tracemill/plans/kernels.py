@@ -18,7 +18,8 @@ _N = "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q, l_partkey % 19 +
 _KEYS, _INPUTS = ["l_orderkey", "l_linenumber"], ["q", "p", "s", "k"]
 
 
-_NUMBERS = [C("l_quantity").alias("q"), (C("l_partkey") % 19 + 2).cast("double").alias("p"), (C("l_suppkey") % 17 + 2).cast("double").alias("s")]
+def _numbers():
+    return [C("l_quantity").alias("q"), (C("l_partkey") % 19 + 2).cast("double").alias("p"), (C("l_suppkey") % 17 + 2).cast("double").alias("s")]
 
 
 def _expression():
@@ -27,13 +28,13 @@ def _expression():
 
 def _lines(spark, d):
     """Keys and numbers of line items."""
-    return table(spark, d, "lineitem").select(*_KEYS, *_NUMBERS, (C("l_orderkey") % 8).alias("k"))
+    return table(spark, d, "lineitem").select(*_KEYS, *_numbers(), (C("l_orderkey") % 8).alias("k"))
 
 
 def _problems(spark, d):
     """q + p*s with its parts."""
     lines = readers.dealt(table(spark, d, "lineitem").select(*_KEYS, "l_quantity", "l_partkey", "l_suppkey"))
-    return lines.select(*_KEYS, *_NUMBERS, (C("l_orderkey") % 8).alias("k")).withColumn("e", _expression())
+    return lines.select(*_KEYS, *_numbers(), (C("l_orderkey") % 8).alias("k")).withColumn("e", _expression())
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, q || ' + ' || p || '*' || s AS expression, ((q + p) * s)::DOUBLE AS naive, (q + p * s)::DOUBLE AS answer,
@@ -271,7 +272,7 @@ def _slots(spark, d):
     tier = F.when(C("c_nationkey") == 0, "easy").when(C("c_mktsegment") == "BUILDING", "medium").otherwise("hard")
     slots = table(spark, d, "customer").select(C("c_custkey").cast("string").alias("id"), tier.alias("tier"), C("c_mktsegment").alias("stage"))
     # Equal numbers are put into words once: line items share them.
-    numbers = table(spark, d, "lineitem").select(*_NUMBERS).distinct()
+    numbers = table(spark, d, "lineitem").select(*_numbers()).distinct()
     return slots, numbers.select(X.render(_expression()).alias("expression")).distinct()
 
 
