@@ -489,3 +489,37 @@ def test_indicators_depend_on_their_own_text_only():
     texts = [" ".join(rng.choices(["a", "bb", "C!", "the", "x9"], k=rng.randint(0, 6))) for _ in range(200)]
     of = lambda rows: [i.tolist() for _, _, data, offsets in slices(pa.array(rows)) for i in quality.indicators(data, offsets)]
     assert of(texts) == [of([t])[0] for t in texts]
+
+
+def test_fits_hold_their_rows_once():
+    """What a fit takes on the driver beyond its rows is less than those rows, dense or scaled, would take together."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    draw = lambda n, size: [np.unique(rng.integers(0, size, 1500)).astype(np.uint16) for _ in range(n)]
+    rows, label = draw(1000, 1 << quality.BITS), np.arange(1000) % 2
+    texts = draw(400, 1 << language.BITS)
+    counts = [np.ones(len(x), np.uint8) for x in texts]
+    scaled, dense = 4 * sum(map(len, rows)), 4 * len(texts) << language.BITS
+    for fit, most in ((lambda: quality.fit_rows(rows, label), scaled), (lambda: language.fit_rows(texts, counts, ["xx"] * len(texts)), dense // 2)):
+        tracemalloc.start()
+        fit()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    # Counts of any width are whole numbers all the same.
+    wide = language.fit_rows([x.astype(np.int32) for x in texts], [x.astype(np.int32) for x in counts], ["xx"] * len(texts))
+    narrow = language.fit_rows(texts, counts, ["xx"] * len(texts))
+    assert (wide.centroids == narrow.centroids).all() and (wide.least == narrow.least).all()
+
+
+def test_rows_come_to_the_driver_in_slices(spark):
+    """Slices in order of their places hold all rows once, whatever their size; rows of one place stay together."""
+    rows = [(k * 7919 % 101 - 50, k % 5) for k in range(101)] + [(3, 4), (3, 0)]
+    table = store.written(spark.createDataFrame(rows, "place long, n long").repartition(5), store.shared_dir(spark), "sliced")
+    for each in (1, 7, 40, 10_000):
+        got = [x.to_pydict() for x in store.slices(table, "place", F.col("n"), 10_000, each)]
+        places = [x["place"] for x in got]
+        assert sum(places, []) == sorted(p for p, _ in rows) and sorted(zip(sum(places, []), sum((x["n"] for x in got), []), strict=True)) == sorted(rows)
+        assert all(sum(x["n"]) < each + 12 for x in got) and (len(got) > 1) == (each < 1000)
+    assert [x.num_rows for x in store.slices(table.where("n > 9"), "place", F.col("n"), 10)] == [0]

@@ -11,7 +11,7 @@ The fit uses a bounded sample by hash, about PER_LANGUAGE rows of each language
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ from .textkeys import mix, slices
 PER_LANGUAGE, MAX_ROWS, BITS, CENTROIDS, ROUNDS = 800, 6400, 15, 4, 8
 #: Buckets of all rows of the fit together.
 MAX_BUCKETS = 15_000_000
+#: Rows of a fit that are dense at a time.
+AT_ONCE = 64
 #: Grams from which the least cosine of a centroid's own training rows counts too, and the share of a least training cosine that a text must reach.
 REJECT_FROM, REJECT_SHARE = 1000, 0.4
 #: Bands of gram counts, each twice as wide as the last, and the share of a band's median cosine below which a training row is an odd one.
@@ -87,16 +89,49 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["buckets", "counts", "lang", "place"])
 
 
-def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
+class _Rows:
+    """Unit rows of one language; only AT_ONCE of them are dense at a time, for all together take 100 MB of the driver."""
+
+    def __init__(self, buckets: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray):
+        self.buckets, self.counts, self.idf = buckets, counts, idf
+
+    def __len__(self) -> int:
+        return len(self.buckets)
+
+    def dense(self, rows: Sequence[int]) -> np.ndarray:
+        x = np.zeros((len(rows), len(self.idf)), np.float32)
+        for j, i in enumerate(rows):
+            x[j, self.buckets[i]] = (1 + np.log(self.counts[i], dtype=np.float64)) * self.idf[self.buckets[i]]
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+        return x
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for a in range(0, len(self), AT_ONCE):
+            yield self.dense(range(a, min(a + AT_ONCE, len(self))))
+
+    def cosine(self, centre: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ centre.T for x in self.blocks()])
+
+
+def _members(own: np.ndarray, k: int, kind: np.dtype) -> np.ndarray:
+    return (own == np.arange(k)[:, None]).astype(kind)
+
+
+def _kmeans(rows: _Rows, k: int) -> np.ndarray:
     """Unit centroids of unit rows by cosine; begins with rows far from one another."""
     start = [0]
-    while len(start) < min(k, len(x)):
-        start.append(int((x @ x[start].T).max(1).argmin()))
-    centre = x[start]
+    near = rows.cosine(rows.dense(start))[:, 0]
+    while len(start) < min(k, len(rows)):
+        start.append(int(near.argmin()))
+        near = np.maximum(near, rows.cosine(rows.dense(start[-1:]))[:, 0])
+    centre = rows.dense(start)
     for _ in range(ROUNDS):
-        own = (x @ centre.T).argmax(1)
-        members = (own == np.arange(len(centre))[:, None]).astype(x.dtype)
-        sums = np.where(members.any(1)[:, None], members @ x, centre)
+        sums, some = np.zeros_like(centre), np.zeros(len(centre), bool)
+        for x in rows.blocks():
+            members = _members((x @ centre.T).argmax(1), len(centre), x.dtype)
+            sums += members @ x
+            some |= members.any(1)
+        sums = np.where(some[:, None], sums, centre)
         centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centre
 
@@ -106,16 +141,17 @@ def _band(grams: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(grams, 1)).astype(np.int64), BANDS - 1)
 
 
-def _unseen_cosine(x: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+def _unseen_cosine(rows: _Rows, cosine: np.ndarray) -> np.ndarray:
     """Cosine of each row with the nearest centroid, were the row not part of its own one; NaN for a row without others."""
-    rows, own = np.arange(len(x)), cosine.argmax(1)
-    members = (own == np.arange(cosine.shape[1])[:, None]).astype(x.dtype)
-    sums = members @ x
-    dot = np.einsum("ij,ij->i", x, sums[own])
+    own, k = cosine.argmax(1), cosine.shape[1]
+    by_block = lambda: zip(rows.blocks(), np.split(own, range(AT_ONCE, len(own), AT_ONCE)), strict=True)
+    sums = sum(_members(at, k, x.dtype) @ x for x, at in by_block())
+    dot = np.concatenate([np.einsum("ij,ij->i", x, sums[at]) for x, at in by_block()])
+    size = np.bincount(own, minlength=k)
     rest = (sums * sums).sum(1)[own] - 2 * dot + 1
     out = cosine.astype(np.float64)
-    out[rows, own] = np.where(members.sum(1)[own] > 1, (dot - 1) / np.sqrt(np.maximum(rest, 1e-9)), -1)
-    out[:, members.sum(1) == 0] = -1
+    out[np.arange(len(own)), own] = np.where(size[own] > 1, (dot - 1) / np.sqrt(np.maximum(rest, 1e-9)), -1)
+    out[:, size == 0] = -1
     best = out.max(1)
     return np.where(best < 0, np.nan, best)
 
@@ -146,18 +182,17 @@ def fit_rows(buckets: list[np.ndarray], counts: list[np.ndarray], langs: list[st
     size = 1 << BITS
     if not rows:
         return Model(np.zeros(size), np.zeros((0, size), np.float32), [], np.zeros((0, BANDS)))
-    seen = np.bincount(np.concatenate([buckets[i] for i in rows]), minlength=size)
+    seen = np.zeros(size, np.int64)
+    for i in rows:
+        seen += np.bincount(buckets[i], minlength=size)
     idf = (np.log((1 + len(rows)) / (1 + seen)) + 0.1) * (seen > 0)
     centroids, lang, least, seen_by = [], [], [], {}
     for name in sorted({langs[i] for i in rows}):
         own = [i for i in rows if langs[i] == name]
-        x = np.zeros((len(own), size), np.float32)
-        for j, i in enumerate(own):
-            x[j, buckets[i]] = (1 + np.log(counts[i])) * idf[buckets[i]]
-        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
-        centre = _kmeans(x, CENTROIDS)
-        cosine, total = x @ centre.T, np.array([counts[i].sum() for i in own])
-        long, seen_by[name] = total >= REJECT_FROM, (total, _unseen_cosine(x, cosine))
+        unit = _Rows([buckets[i] for i in own], [counts[i] for i in own], idf)
+        centre = _kmeans(unit, CENTROIDS)
+        cosine, total = unit.cosine(centre), np.array([counts[i].sum() for i in own], np.int64)
+        long, seen_by[name] = total >= REJECT_FROM, (total, _unseen_cosine(unit, cosine))
         for j in range(len(centre)):
             mine = cosine[(cosine.argmax(1) == j) & long, j]
             least.append(REJECT_SHARE * float(mine.min()) if len(mine) else 0.0)
@@ -185,10 +220,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_R
     share = size.crossJoin(F.broadcast(size.agg(F.count("*").alias("langs")))).select("lang", (each / F.col("n")).alias("share"))
     drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     rows = drawn.select("text", "lang", F.xxhash64("doc_id").alias("place")).mapInArrow(_counts, "buckets array<int>, counts array<int>, lang string, place long")
-    got, order = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
-    columns = [got.column(c).to_numpy(zero_copy_only=False) for c in ("buckets", "counts", "lang")]
-    model = fit_rows(*([c[i] for i in order] for c in columns))
-    del got, columns
+    table, buckets, counts, langs = store.written(rows, store.shared_dir(docs.sparkSession), "fit"), [], [], []
+    for got in store.slices(table, "place", F.size("buckets"), max_buckets):
+        buckets += [x.astype(np.uint16) for x in got.column("buckets").to_numpy(zero_copy_only=False)]
+        counts += [x.astype(np.min_scalar_type(x.max(initial=0))) for x in got.column("counts").to_numpy(zero_copy_only=False)]
+        langs += got.column("lang").to_pylist()
+    trim()
+    model = fit_rows(buckets, counts, langs)
+    del buckets, counts
     trim()
     return model
 

@@ -10,7 +10,7 @@ The fit uses a bounded sample of the labelled rows, MAX_ROWS with MAX_BUCKETS bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,7 +109,20 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, np.concatenate(rows)), *(batch.column(i).slice(a, b - a) for i in (1, 2))], ["buckets", "label", "place"])
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, costs: np.ndarray, size: int, passes: int, seed: int = 1) -> np.ndarray:
+class _Scaled(Sequence):
+    """Of each row its buckets' ratios by the root of their number, made when asked for: held, they'd take twice the room of the rows."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return (self.ratio[self.rows[i]] / max(1.0, np.sqrt(len(self.rows[i])))).astype(np.float32)
+
+
+def descend(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, costs: np.ndarray, size: int, passes: int, seed: int = 1) -> np.ndarray:
     """Dual coordinate descent for the hinge loss: the weights after `passes` passes over shuffled rows."""
     w, alpha = np.zeros(size), np.zeros(len(rows))
     squares = np.array([max(1e-12, float(v @ v)) for v in values])
@@ -144,17 +157,19 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray) -> Model:
         return Model(np.zeros(size), 0.0, 4.0 if label.sum() or not len(label) else -4.0)
     ratio = np.zeros(size)
     for value, sign in ((1, 1.0), (0, -1.0)):
-        flat = np.concatenate([r for r, y in zip(rows, label, strict=True) if y == value] or [np.zeros(0, np.int64)])
-        count = np.bincount(flat, minlength=size) + ALPHA
+        count = np.full(size, ALPHA)
+        for r in (r for r, y in zip(rows, label, strict=True) if y == value):
+            count += np.bincount(r, minlength=size)
         ratio += sign * np.log(count / count.sum())
-    values = [(ratio[r] / max(1.0, np.sqrt(len(r)))).astype(np.float32) for r in rows]
+    values = _Scaled(rows, ratio)
     y = np.where(label == 1, 1.0, -1.0)
     costs = COST * len(y) / 2 / np.where(label == 1, (label == 1).sum(), (label == 0).sum())
     # Margins of rows that a model hasn't seen fit the curve: two halves score each other.
     half, margin = np.arange(len(rows)) % 2, np.zeros(len(rows))
     for part in (0, 1):
         own = np.flatnonzero(half != part)
-        w = descend([rows[i] for i in own], [values[i] for i in own], y[own], costs[own], size, PASSES)
+        some = [rows[i] for i in own]
+        w = descend(some, _Scaled(some, ratio), y[own], costs[own], size, PASSES)
         for i in np.flatnonzero(half == part):
             margin[i] = w[rows[i]] @ values[i]
     slope, shift = _logistic(margin, label.astype(float))
@@ -174,10 +189,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bucket
     )
     table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place"))
     rows = table.mapInArrow(_rows, "buckets array<int>, label int, place long")
-    got, order = store.bounded(store.written(rows, store.shared_dir(docs.sparkSession), "fit"), "place", F.size("buckets"), max_buckets)
-    buckets = got.column("buckets").to_numpy(zero_copy_only=False)
-    model = fit_rows([buckets[i] for i in order], got.column("label").to_numpy()[order].astype(np.int64))
-    del got, buckets
+    table, buckets, label = store.written(rows, store.shared_dir(docs.sparkSession), "fit"), [], []
+    for got in store.slices(table, "place", F.size("buckets"), max_buckets):
+        buckets += [x.astype(np.uint16) for x in got.column("buckets").to_numpy(zero_copy_only=False)]
+        label += got.column("label").to_pylist()
+    trim()
+    model = fit_rows(buckets, np.array(label, np.int64))
+    del buckets
     trim()
     return model
 

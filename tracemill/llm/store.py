@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What the rows that come to the driver at once may have together: 8 MB of whole numbers.
+SLICE = 2_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
@@ -50,17 +54,31 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def bounded(df: DataFrame, place: str, size: Column, most: int) -> tuple[pa.Table, list[int]]:
-    """A written table's rows on the driver, the first in the order of place (a long that tells rows apart) whose sizes come to `most` together, and their order.
+def slices(df: DataFrame, place: str, size: Column, most: int, each: int = SLICE) -> Iterator[pa.Table]:
+    """A written table's rows, the first in the order of place (a long that tells rows apart) whose sizes come to `most` together, in that order.
 
-    The sizes of all rows come to the driver first, so their number must be bounded. Rows stay as they come, so that there is one copy of them.
+    They come to the driver in slices of sizes of about `each` together, one at a time. The sizes of all rows come first, so their number must be bounded.
     """
     sizes = df.select(place, size.cast("long").alias("size")).toArrow().sort_by(place)
-    ends = np.cumsum(sizes.column("size").to_numpy())
-    if len(ends) and ends[-1] > most:
-        df = df.where(F.col(place) <= sizes.column(place)[max(0, int(np.searchsorted(ends, most, "right")) - 1)].as_py())
-    rows = df.toArrow()
-    return rows, np.argsort(rows.column(place).to_numpy(), kind="stable").tolist()
+    places, ends = sizes.column(place).to_numpy(), np.cumsum(sizes.column("size").to_numpy())
+    if not len(ends):
+        yield df.limit(0).toArrow()
+        return
+    last = places[max(0, int(np.searchsorted(ends, most, "right")) - 1)]
+    # The last place of each slice; rows of one place stay together.
+    tops = np.unique(places[np.flatnonzero(np.diff(ends // each, append=ends[-1] // each + 1))])
+    before = None
+    for top in [*(int(x) for x in tops if x < last), int(last)]:
+        within = F.col(place) <= top
+        rows = df.where(within if before is None else within & (F.col(place) > before)).toArrow()
+        yield rows.take(pa.array(np.argsort(rows.column(place).to_numpy(), kind="stable")))
+        before = top
+
+
+def bounded(df: DataFrame, place: str, size: Column, most: int) -> tuple[pa.Table, list[int]]:
+    """The rows of slices() as one table, and their order."""
+    rows = pa.concat_tables(slices(df, place, size, most))
+    return rows, list(range(rows.num_rows))
 
 
 def freed(spark: SparkSession, folder: str, *names: str) -> None:
