@@ -90,6 +90,23 @@ def test_token_files_of_query(spark, tmp_path):
         start += len(ids)
 
 
+def test_token_words_go_to_the_library_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(BPE), random.Random(5)
+    words = ["".join(rng.choices("anetiorshé", k=9)) + "x" for _ in range(300)]
+    texts = [None, "", *("".join(rng.choice(" \n") + rng.choice(words) + rng.choice(["", ".", ",", ";)", "***"]) for _ in range(200)) for _ in range(60))]
+    encoder, given, ids, sizes = tokenids.Encoder(BPE, 0, True), [], [], []
+    monkeypatch.setattr(encoder, "_ids", lambda x, f=encoder._ids: given.extend(x) or f(x))
+    for pieces_, counts in encoder.encode(pa.array(texts)):
+        ids += np.concatenate(pieces_).tolist()
+        sizes += counts.tolist()
+    want = [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+    assert ids == sum(want, []) and sizes == list(map(len, want))
+    assert sum(map(len, given)) < 2.2 * sum(len(w) + 1 for w in words)  # after a blank and after a line feed, whatever marks follow
+
+
 def test_wordpiece(odd):
     vocabulary = wordpiece.load(BPE)
     counter, known, rng = wordpiece.Counter(vocabulary), set(vocabulary), random.Random(2)

@@ -7,9 +7,11 @@ Format of a folder: for each part NNNNN, in ascending order of doc_id over the p
 A part's first id has as its place in the whole the sum of the earlier parts' sizes, the prefix sum of the
 table of parts that the writer returns.
 
-Texts are cut before every blank that a visible character follows, and on both sides of a line feed between visible
-characters. The byte-level pattern always ends a token there, so the parts' ids put together are the text's ids;
-each distinct part is encoded once by the tokenizers library, many at a time, while it stays in a bounded table.
+Texts are cut before every blank that a visible character follows, before a line feed between visible characters,
+and before a mark behind a letter. The byte-level pattern always starts a token there, whatever stands before, so the
+parts' ids put together are the text's ids. Arrow numbers the distinct parts of some megabytes of texts, and each of
+these is looked up once in a bounded table; those that it lacks go through the tokenizers library, many at a time.
+The ids are then gathered by number in numpy.
 A text that holds an added token of the file, such as <|endoftext|>, is encoded whole where these count as tokens.
 Every attempt of a task writes files of its own name. The table of parts, which Spark commits, names the attempt that
 counts; files of others are deleted when the table is there, so a retry or a speculative attempt replaces nothing.
@@ -25,6 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,23 +36,47 @@ from pyspark.sql.window import Window
 
 from . import store
 from .resident import resident
+from .textkeys import slices
 
-#: Parts that a worker keeps encoded, documents encoded at a time, and parts that are encoded as one text.
-KEPT, AT_ONCE, JOINED = 800_000, 400, 500
-#: Characters that no Unicode version counts as white space.
-_VISIBLE = "!-~¡-ᙿᚁ-᠍"
-_AWKWARD, _BOUNDARY = re.compile(f" (?![{_VISIBLE}])"), re.compile(f"(?= [{_VISIBLE}])")
-_LINE = re.compile(f"(?<=[{_VISIBLE}])\\n(?=[{_VISIBLE}])")
+#: Parts that a worker keeps encoded, bytes of texts encoded at a time, parts that are encoded as one text, and parts whose ids are gathered at a time.
+KEPT, AT_ONCE, JOINED, GATHERED = 800_000, 8 << 20, 500, 1 << 16
+
+
+def _bytes(*spans: range | list[int]) -> np.ndarray:
+    return np.isin(np.arange(256), [x for r in spans for x in r])
+
+
+#: Bytes by kind. VISIBLE: first bytes of characters that no Unicode version counts as white space (ASCII, U+00C0 to U+0FFF). MARK: ASCII
+#: characters that are no letters, numbers or white space. LETTER: ASCII letters. TWO, LATIN: first bytes of characters of two bytes, and of
+#: those that are letters (U+00C0 to U+017F) unless the second byte is one of SIGN, as in U+00D7 and U+00F7.
+_VISIBLE, _TWO, _LATIN, _SIGN = _bytes(range(0x21, 0x7F), range(0xC3, 0xE1)), _bytes(range(0xC3, 0xE0)), _bytes(range(0xC3, 0xC6)), _bytes([0x97, 0xB7])
+_LETTER = _bytes(range(0x41, 0x5B), range(0x61, 0x7B))
+_MARK = _bytes(range(0x21, 0x30), range(0x3A, 0x41), range(0x5B, 0x61), range(0x7B, 0x7F))
+_PLACE = _MARK | _bytes([0x20, 0x0A])
+#: A part that starts with a visible character, or with one blank or line feed and such a character.
+_PLAIN = re.compile("[ \n]?[!-~À-\u0fff]")
 _SPACED = re.compile(r"\s")
 
 
-def cut(text: str) -> tuple[str, list[str]]:
-    """What stands before the first boundary, and the parts after it: words without their blank, or words after a line feed with it."""
-    if _AWKWARD.search(text):
-        first, *rest = _BOUNDARY.split(text)
-        return first, [x[1:] for x in rest]
-    first, *rest = (_LINE.sub(" \n", text) if "\n" in text else text).split(" ")
-    return first, rest
+def cut(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the parts of texts start in their bytes, ascending. whole: texts that aren't cut."""
+    at = np.flatnonzero(_PLACE[data])
+    here, one, two, after = data[at], data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)], data[np.minimum(at + 1, len(data) - 1)]
+    mark, double = _MARK[here], one >= 0x80
+    marks = mark & (_LETTER[one] | (_LATIN[two] & double & ~_SIGN[one]))
+    spaces = ~mark & _VISIBLE[after] & ((here == 0x20) | (_VISIBLE[one] & ~double) | (_TWO[two] & double))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # what follows a text's last byte is another text
+    at = at[marks | (spaces & ~edge[at + 1])]
+    if whole.any():
+        at = at[~whole[np.searchsorted(offsets, at, "right") - 1]]
+    edge[at] = True
+    return np.flatnonzero(edge[:-1])
+
+
+def _lengths(texts: list[str]) -> np.ndarray:
+    """Bytes of each."""
+    return pc.binary_length(pa.array(texts, pa.large_string())).to_numpy().astype(np.int64)
 
 
 class Encoder:
@@ -63,7 +90,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         #: Parts put together must not make a token that holds white space.
-        self.joined = 1 if any(_SPACED.search(t) for t in self.added) else JOINED
+        self.joined = 0 if any(_SPACED.search(t) for t in self.added) else JOINED
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if max(len(vocabulary), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
@@ -76,44 +103,63 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each part, with a blank in front of words. Many make one text, whose tokens' bytes tell where each ends."""
-        out = []
-        groups = [words[k : k + self.joined] for k in range(0, len(words), self.joined)]
-        for group, ids in zip(groups, self._ids(["".join([w if w[0] == "\n" else " " + w for w in g]) for g in groups]), strict=True):
-            ends = np.cumsum([(w[0] != "\n") + (len(w) if w.isascii() else len(w.encode())) for w in group])
-            sums = np.cumsum(self.length[ids])
-            at = np.searchsorted(sums, ends)
-            if at[-1] >= len(sums) or (sums[at] != ends).any():
-                raise ValueError("a token crosses a word's end; the tokenizer isn't a byte-level one")
-            data, size = ids.tobytes(), self.kind.itemsize
-            cuts = ((at + 1) * size).tolist()
-            out += [data[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of each part. Many make one text, each with its blank or line feed or else a line feed of ours in front; the tokens' bytes tell where each ends."""
+        plain = [w for w in parts if _PLAIN.match(w)] if self.joined else []
+        every = "\n".join(plain)
+        for token in self.added:
+            plain = [w for w in plain if token not in w] if token in every else plain
+        out, size = {}, self.kind.itemsize
+        led = [w if w[0] in " \n" else "\n" + w for w in plain]
+        bounds = range(0, len(plain), JOINED)
+        for k, ids in zip(bounds, self._ids(["".join(led[k : k + JOINED]) for k in bounds]), strict=True):
+            ends = np.cumsum(_lengths(led[k : k + JOINED]))
+            starts = ends - _lengths(plain[k : k + JOINED])
+            sums = np.concatenate([[0], np.cumsum(self.length[ids])])
+            x, y = np.searchsorted(sums, starts), np.searchsorted(sums, ends)
+            if y[-1] != len(sums) - 1 or (sums[x] != starts).any() or (sums[y] != ends).any():
+                raise ValueError("a token crosses a part's end; the tokenizer isn't a byte-level one")
+            data = ids.tobytes()
+            out.update(zip(plain[k : k + JOINED], [data[a:b] for a, b in zip((x * size).tolist(), (y * size).tolist(), strict=True)], strict=True))
+        alone = [w for w in parts if w not in out]
+        out.update(zip(alone, [ids.tobytes() for ids in self._ids(alone)], strict=True))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of some distinct parts."""
         if len(self.kept) > KEPT:  # the parts met first are mostly the frequent ones
             self.kept = dict(islice(self.kept.items(), KEPT // 2))
-        kept, rows = self.kept, [(t, []) if t and any(a in t for a in self.added) else cut(t or "") for t in texts]
-        ids_of, bodies, late, new = kept.__getitem__, [], [], set()
-        for k, (_, words) in enumerate(rows):
-            try:
-                bodies.append(b"".join(map(ids_of, words)))
-            except KeyError:
-                bodies.append(b"")
-                late.append(k)
-                new.update(words)
-        new = [w for w in new if w not in kept]
-        kept.update(zip(new, self.words(new), strict=True))
+        out = list(map(self.kept.get, parts))
+        late = [k for k, ids in enumerate(out) if ids is None]
+        new = self._fresh([parts[k] for k in late])
         for k in late:
-            bodies[k] = b"".join(map(ids_of, rows[k][1]))
-        firsts = self._ids([first for first, _ in rows])
-        out = [first.tobytes() + body + self.end for first, body in zip(firsts, bodies, strict=True)]
-        for w in new:
-            if len(w) > 24:
-                del kept[w]
+            out[k] = new[parts[k]]
+        self.kept.update((w, ids) for w, ids in new.items() if len(w) <= 24)
         return out
 
+    def encode(self, texts: pa.Array) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """For some texts at a time: pieces of their ids, which follow each other, and the number of ids of each text; end ids are in both."""
+        for a, b, data, offsets in slices(texts, AT_ONCE):
+            whole = np.zeros(b - a, bool)
+            for token in self.added:
+                whole |= pc.fill_null(pc.match_substring(texts.slice(a, b - a), token), False).to_numpy(zero_copy_only=False)
+            starts = cut(data, offsets, whole)
+            spans = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+            numbered = pa.Array.from_buffers(pa.large_string(), len(starts), spans).dictionary_encode()
+            ids = [*self.parts(numbered.dictionary.to_numpy(zero_copy_only=False).tolist()), self.end]
+            last = np.searchsorted(starts, offsets[1:])
+            numbers = np.insert(numbered.indices.to_numpy(), last, len(ids) - 1)
+            table = np.frombuffer(b"".join(ids), self.kind)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+            place, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes[numbers])
+            out = []
+            for k in range(0, len(numbers), GATHERED):
+                some = numbers[k : k + GATHERED]
+                before = np.cumsum(sizes[some]) - sizes[some]
+                at = np.repeat(place[some] - before, sizes[some])
+                out.append(table[at + np.arange(len(at))])
+            yield out, np.diff(ends[last + np.arange(b - a)], prepend=0)
+
 
 def _put(where: fs.FileSystem, path: str, data: bytes) -> None:
     with where.open_output_stream(path) as out:
@@ -151,10 +197,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, added:
         width, ids, sizes = encoder.kind.itemsize, [], [np.zeros(1, np.int64)]
         with where.open_output_stream(f"{stem}.u{width}") as out:
             for batch in batches:
-                for a in range(0, batch.num_rows, AT_ONCE):
-                    got = encoder.encode(batch.column(1).slice(a, AT_ONCE).to_pylist())
-                    out.write(b"".join(got))
-                    sizes.append(np.array([len(x) // width for x in got], np.int64))
+                for pieces, counts in encoder.encode(batch.column(1)):
+                    for piece in pieces:
+                        out.write(piece.data)
+                    sizes.append(counts)
                 ids.append(batch.column(0).to_numpy())
         offsets = np.cumsum(np.concatenate(sizes))
         _put(where, f"{stem}.off", offsets.astype("<i8").tobytes())
